@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandplan.llm import decontaminate, exact_dedup, packing, quality, sharding, simhash, token_counts, url_filters
+from strandplan.llm import decontaminate, exact_dedup, lm_score, packing, quality, sharding, simhash, substring_dedup, token_counts, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` has no fetch time, so one within 2024 follows from page_id."""
     second = F.pmod(F.col("page_id") * 7919, F.lit(366 * 24)) * 3600 + 1704067200
@@ -48,7 +52,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_benchmark_decontamination, op4_sharding, op5_quality_classifier, op7_url_filters, op8_simhash_near_dedup, op9_exact_dedup)} | {"pipeline": corpus_pipeline.run}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_benchmark_decontamination, op4_sharding, op5_quality_classifier, op6_lm_scoring, op7_url_filters, op8_simhash_near_dedup, op9_exact_dedup, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
 
 _NORMALISED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
