@@ -1,6 +1,564 @@
-"""The library's queries over the driver's tables."""
+"""The library's queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandplan.functions import geo, labels
+from strandplan.lineage import shared_folder
+from strandplan.operators import clusters, design, projects, roads, spatial
+from strandplan.plans import bridge
+from strandplan.sources import kml, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+_POP = design.POP
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def _nearest_sql(points: str, sites: str, key: str) -> str:
+    return f"""near AS (
+        SELECT {key}, s.site_id, {bridge.metres_sql('p.lat', 'p.lon', 's.lat', 's.lon')} AS d
+        FROM {points} p, {sites} s),
+    best AS (SELECT {key}, site_id, d FROM near QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY d, site_id) = 1)"""
+
+
+# Sites and distances
+
+
+@query(f"WITH {bridge.view_sql('house')}, {bridge.view_sql('odp_site')}, {_nearest_sql('house', 'odp_site', 'house_id')} SELECT house_id, site_id, round(d, 3) AS distance_m FROM best")
+def nearest_odp_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    houses, sites = bridge.view(spark, sf_dir, "house"), bridge.view(spark, sf_dir, "odp_site")
+    return _rounded(spatial.nearest_site(houses, sites, "house_id", "site_id").select("house_id", "site_id", "distance_m"), 3, "distance_m")
+
+
+@query(f"WITH {bridge.view_sql('odp_site')}, {bridge.view_sql('odc_site')}, point AS (SELECT site_id AS odp_id, lat, lon FROM odp_site), {_nearest_sql('point', 'odc_site', 'odp_id')} SELECT odp_id, site_id, round(d, 3) AS distance_m FROM best")
+def nearest_odc_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = bridge.view(spark, sf_dir, "odp_site").select(F.col("site_id").alias("odp_id"), "lat", "lon")
+    found = spatial.nearest_site(points, bridge.view(spark, sf_dir, "odc_site"), "odp_id", "site_id")
+    return _rounded(found.select("odp_id", "site_id", "distance_m"), 3, "distance_m")
+
+
+@query(f"""WITH {bridge.view_sql('house')}, {bridge.view_sql('odp_site')}, {_nearest_sql('house', 'odp_site', 'house_id')}
+    SELECT site_id, count(*) AS houses, round(avg(d), 3) AS mean_m, format('ODP-{{:03d}}', row_number() OVER (ORDER BY site_id)) AS label FROM best GROUP BY site_id""")
+def site_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spatial.nearest_site(bridge.view(spark, sf_dir, "house"), bridge.view(spark, sf_dir, "odp_site"), "house_id", "site_id")
+    loads = found.groupBy("site_id").agg(F.count("*").alias("houses"), F.round(F.avg("distance_m"), 3).alias("mean_m"))
+    return loads.withColumn("label", F.concat(F.lit("ODP-"), labels.number(F.row_number().over(Window.orderBy("site_id")), 3)))
+
+
+@query(f"""WITH {bridge.view_sql('house')}, d AS (SELECT house_id, {bridge.metres_sql('lat', 'lon', '(-7.25::DOUBLE)', '(112.75::DOUBLE)')} AS d FROM house)
+    SELECT house_id, round(d, 3) AS distance_m FROM d ORDER BY d, house_id LIMIT 200""")
+def nearest_k_to_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 houses nearest to the POP."""
+    d = geo.haversine("lat", "lon", _POP[1], _POP[2])
+    near = bridge.view(spark, sf_dir, "house").select("house_id", d.alias("distance_m")).orderBy("distance_m", "house_id").limit(200)
+    return _rounded(near, 3, "distance_m")
+
+
+@query(f"""WITH {bridge.view_sql('odp_site')}, pair AS (
+    SELECT a.site_id AS a, b.site_id AS b, {bridge.metres_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM odp_site a JOIN odp_site b ON a.site_id < b.site_id)
+    SELECT a, b, round(d, 3) AS distance_m FROM pair WHERE d < 40""")
+def close_pairs_40m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(spatial.close_pairs(bridge.view(spark, sf_dir, "odp_site"), "site_id", 40.0), 3, "distance_m")
+
+
+@query(f"""WITH {bridge.view_sql('odp_site')}, pair AS (
+    SELECT a.site_id AS a, b.site_id AS b, {bridge.metres_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM odp_site a JOIN odp_site b ON a.site_id < b.site_id)
+    SELECT a, count(*) AS partners, round(min(d), 3) AS least_m FROM pair WHERE d < 300 GROUP BY a""")
+def partners_within_300m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spatial.close_pairs(bridge.view(spark, sf_dir, "odp_site"), "site_id", 300.0)
+    return pairs.groupBy("a").agg(F.count("*").alias("partners"), F.round(F.min("distance_m"), 3).alias("least_m"))
+
+
+@query(f"""WITH {bridge.view_sql('odp_site')} SELECT site_id FROM odp_site a WHERE NOT EXISTS (
+    SELECT 1 FROM odp_site b WHERE a.site_id <> b.site_id AND {bridge.metres_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 120)""")
+def min_separation_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.standing_apart(bridge.view(spark, sf_dir, "odp_site"), "site_id", 120.0).select("site_id")
+
+
+_BEARING_SQL = "atan2(sin(radians(112.75::DOUBLE) - radians(lon)) * cos(radians(-7.25::DOUBLE)), cos(radians(lat)) * sin(radians(-7.25::DOUBLE)) - sin(radians(lat)) * cos(radians(-7.25::DOUBLE)) * cos(radians(112.75::DOUBLE) - radians(lon)))"
+
+
+@query(f"""WITH {bridge.view_sql('house')}, b AS (SELECT *, ((degrees({_BEARING_SQL}) % 360) + 360) % 360 AS b FROM house),
+    r AS (SELECT *, radians(lat) AS rlat, radians(lon) AS rlon, 40.0::DOUBLE / 6371000 AS arc, radians(b) AS t FROM b),
+    m AS (SELECT *, asin(sin(rlat) * cos(arc) + cos(rlat) * sin(arc) * cos(t)) AS rlat2 FROM r)
+    SELECT house_id, round(b, 4) AS bearing, round(degrees(rlat2), 8) AS lat2,
+           round(degrees(rlon + atan2(sin(t) * sin(arc) * cos(rlat), cos(arc) - sin(rlat) * sin(rlat2))), 8) AS lon2 FROM m""")
+def bearing_and_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each house's bearing to the POP and the place 40 m on the way."""
+    towards = bridge.view(spark, sf_dir, "house").withColumn("bearing", geo.bearing("lat", "lon", _POP[1], _POP[2]))
+    lat2, lon2 = geo.destination("lat", "lon", 40.0, "bearing")
+    return _rounded(towards.select("house_id", "bearing", lat2.alias("lat2"), lon2.alias("lon2")).withColumn("bearing", F.round("bearing", 4)), 8, "lat2", "lon2")
+
+
+@query(f"WITH {bridge.view_sql('odp_site')} SELECT site_id, (site_id * 137.5::DOUBLE) % 360 AS golden, site_id % 8 * 45.0::DOUBLE AS even FROM odp_site")
+def golden_angle_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.view(spark, sf_dir, "odp_site").select("site_id", geo.golden_bearing("site_id").alias("golden"), geo.even_bearing(F.col("site_id") % 8, 8.0).alias("even"))
+
+
+@query(f"WITH {bridge.view_sql('odp_site')} SELECT site_id, round(sqrt((lat - -7.25::DOUBLE) * (lat - -7.25::DOUBLE) + (lon - 112.75::DOUBLE) * (lon - 112.75::DOUBLE)), 9) AS degrees FROM odp_site ORDER BY ALL")
+def planar_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.view(spark, sf_dir, "odp_site").select("site_id", F.round(geo.planar("lat", "lon", _POP[1], _POP[2]), 9).alias("degrees"))
+
+
+# Regions
+
+
+def _ring_sql(ring: list[tuple[float, float]]) -> str:
+    closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
+    rows = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(closed, closed[1:]))
+    return f"edge(x1, y1, x2, y2) AS (VALUES {rows})"
+
+
+_INSIDE_SQL = """SELECT house_id FROM house, edge GROUP BY house_id
+    HAVING count(*) FILTER ((y1 <= lat AND y2 > lat AND (x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) > 0)
+                         OR (y1 > lat AND y2 <= lat AND (x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) < 0)) % 2 = 1"""
+
+
+@query(f"WITH {bridge.view_sql('house')}, {_ring_sql(bridge.SQUARE)} {_INSIDE_SQL}")
+def houses_in_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.inside(bridge.view(spark, sf_dir, "house"), geo.ring_of(bridge.SQUARE)).select("house_id")
+
+
+@query(f"WITH {bridge.view_sql('house')}, {_ring_sql(bridge.ZONE)} {_INSIDE_SQL}")
+def houses_in_concave_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.inside(bridge.view(spark, sf_dir, "house"), geo.ring_of(bridge.ZONE)).select("house_id")
+
+
+def _diamond(lat: Column, lon: Column, r: float) -> Column:
+    def p(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("lon"), y.alias("lat"))
+
+    return F.array(p(lon - r, lat), p(lon, lat - r), p(lon + r, lat), p(lon, lat + r))
+
+
+@query(f"WITH {bridge.view_sql('house')}, {bridge.view_sql('odc_site')} SELECT s.site_id AS region, count(*) AS houses, min(house_id) AS first_house FROM house h, odc_site s WHERE abs(h.lon - s.lon) + abs(h.lat - s.lat) < 0.003::DOUBLE GROUP BY ALL")
+def houses_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Houses strictly inside each of many overlapping regions."""
+    regions = bridge.view(spark, sf_dir, "odc_site").select(F.col("site_id").alias("region"), _diamond(F.col("lat"), F.col("lon"), 0.003).alias("ring"))
+    met = spatial.inside_any(bridge.view(spark, sf_dir, "house").select("house_id", "lat", "lon"), regions, "region")
+    return met.groupBy("region").agg(F.count("*").alias("houses"), F.min("house_id").alias("first_house"))
+
+
+@query(f"WITH {bridge.view_sql('house')} SELECT design, count(*) AS houses, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon, round(avg(lat), 9) AS mean_lat, round(avg(lon), 9) AS mean_lon FROM house GROUP BY design")
+def design_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = [f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
+    means = [F.round(F.avg(c), 9).alias(f"mean_{c}") for c in ("lat", "lon")]
+    return bridge.view(spark, sf_dir, "house").groupBy("design").agg(F.count("*").alias("houses"), *ends, *means)
+
+
+@query(f"WITH {bridge.view_sql('odc_site')} SELECT site_id, round(lon, 9) AS lon, round(lat, 9) AS lat, round(lon - 0.003::DOUBLE, 9) AS min_lon, round(lat + 0.003::DOUBLE, 9) AS max_lat, abs(lon - 112.75::DOUBLE) <= 0.004::DOUBLE AND abs(lat - -7.25::DOUBLE) <= 0.004::DOUBLE AS meets FROM odc_site")
+def boundary_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroid and box of each region, and whether the box with a margin meets the POP's."""
+    rings = bridge.view(spark, sf_dir, "odc_site").select("site_id", _diamond(F.col("lat"), F.col("lon"), 0.003).alias("ring"))
+    boxed = rings.select("site_id", geo.centroid("ring").alias("c"), geo.bounds("ring").alias("b"))
+    pop = F.struct(*(F.lit(v).alias(n) for n, v in (("min_lon", _POP[2]), ("min_lat", _POP[1]), ("max_lon", _POP[2]), ("max_lat", _POP[1]))))
+    shown = [F.round(c, 9).alias(n) for n, c in (("lon", F.col("c.lon")), ("lat", F.col("c.lat")), ("min_lon", F.col("b.min_lon")), ("max_lat", F.col("b.max_lat")))]
+    return boxed.select("site_id", *shown, geo.boxes_meet(geo.grow("b", 0.001), pop).alias("meets"))
+
+
+@query(f"WITH {bridge.view_sql('house')} SELECT house_id, floor(lon * 20)::BIGINT AS tile_x, floor(lat * 20)::BIGINT AS tile_y, substr(md5(floor(lon * 20)::BIGINT || ',' || floor(lat * 20)::BIGINT), 1, 10) AS tile FROM house")
+def tile_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.view(spark, sf_dir, "house").select("house_id", geo.tile("lon").alias("tile_x"), geo.tile("lat").alias("tile_y"), geo.tile_name("lon", "lat").alias("tile"))
+
+
+@query(f"WITH {bridge.view_sql('house')} SELECT count(*) AS total, count(*) FILTER (abs(lon - 112.75::DOUBLE) < 0.005 AND abs(lat - -7.25::DOUBLE) < 0.005) AS inside, count(*) FILTER (NOT (abs(lon - 112.75::DOUBLE) < 0.005 AND abs(lat - -7.25::DOUBLE) < 0.005)) AS dropped FROM house")
+def dropped_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    within = geo.contains(geo.ring_of(bridge.SQUARE), "lon", "lat")
+    return bridge.view(spark, sf_dir, "house").agg(F.count("*").alias("total"), F.count_if(within).alias("inside"), F.count_if(~within).alias("dropped"))
+
+
+_SEGMENT_SQL = f"{bridge.view_sql('odc_site')}, seg AS (SELECT site_id AS segment_id, lon AS x1, lat AS y1, lead(lon, 1, 112.75::DOUBLE) OVER w AS x2, lead(lat, 1, -7.25::DOUBLE) OVER w AS y2 FROM odc_site WINDOW w AS (ORDER BY site_id))"
+
+
+@query(f"""WITH {bridge.view_sql('house')}, {_SEGMENT_SQL},
+    s AS (SELECT house_id, lat, lon, segment_id, x1, y1, x2, y2, greatest(0::DOUBLE, least(1::DOUBLE, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM house, seg),
+    p AS (SELECT *, x1 + t * (x2 - x1) AS px, y1 + t * (y2 - y1) AS py FROM s),
+    d AS (SELECT *, sqrt((py - lat) * (py - lat) + (px - lon) * (px - lon)) AS off FROM p),
+    best AS (SELECT * FROM d WHERE off <= 0.002::DOUBLE QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY off, segment_id) = 1)
+    SELECT h.house_id, segment_id, round(t, 6) AS t, round(coalesce(py, h.lat), 8) AS snap_lat, round(coalesce(px, h.lon), 8) AS snap_lon FROM house h LEFT JOIN best USING (house_id)""")
+def snap_to_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.orderBy("site_id")
+    a = F.struct("lon", "lat")
+    end = F.struct(F.lit(_POP[2]).alias("lon"), F.lit(_POP[1]).alias("lat"))
+    segments = bridge.view(spark, sf_dir, "odc_site").select(F.col("site_id").alias("segment_id"), a.alias("a"), F.coalesce(F.lead(a).over(w), end).alias("b"))
+    snapped = spatial.snap_to_segments(bridge.view(spark, sf_dir, "house").select("house_id", "lat", "lon"), segments, "house_id", 0.002)
+    return snapped.select("house_id", "segment_id", F.round("t", 6).alias("t"), F.round("snap_lat", 8).alias("snap_lat"), F.round("snap_lon", 8).alias("snap_lon"))
+
+
+# Lines
+
+
+_STEP_SQL = f"step AS (SELECT *, {bridge.metres_sql('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS step_m FROM track WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+@query(f"WITH {bridge.view_sql('track')}, {_STEP_SQL.replace('least(1.0::DOUBLE, ', '(')} SELECT event_id, user_id, round(step_m, 3) AS step_m FROM step")
+def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = spatial.track_steps(bridge.view(spark, sf_dir, "track"), "user_id", ["ts", "event_id"])
+    return _rounded(steps.select("event_id", "user_id", "step_m"), 3, "step_m")
+
+
+@query(f"WITH {bridge.view_sql('track')}, {_STEP_SQL.replace('least(1.0::DOUBLE, ', '(')} SELECT user_id, count(*) AS vertices, round(coalesce(sum(step_m), 0), 2) AS length_m FROM step GROUP BY user_id")
+def track_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = spatial.track_steps(bridge.view(spark, sf_dir, "track"), "user_id", ["ts", "event_id"])
+    return steps.groupBy("user_id").agg(F.count("*").alias("vertices"), F.round(F.coalesce(F.sum("step_m"), F.lit(0.0)), 2).alias("length_m"))
+
+
+@query("""WITH v AS (SELECT user_id, ts, event_id, (event_id // 2) % 3 AS x FROM events),
+    d AS (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM v)
+    SELECT user_id, count(*) FILTER (before IS NULL OR before <> x) AS vertices, count(*) AS given FROM d GROUP BY user_id""")
+def track_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of each user's track, and how many differ from the one before."""
+    place = F.struct(F.floor(F.col("event_id") / 2).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
+    lines = bridge.table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(ordered, lambda e: F.struct((F.floor(e.event_id / 2) % 3).cast("double").alias("lon"), F.lit(0.0).alias("lat"))).alias("line"))
+    return lines.select("user_id", F.size(geo.without_repeats("line")).cast("long").alias("vertices"), F.size("line").cast("long").alias("given"))
+
+
+@query(f"""WITH {bridge.view_sql('odp_site')} SELECT site_id, CASE WHEN site_id % 2 = 0 THEN 2 ELSE 3 END AS vertices,
+    round(CASE WHEN site_id % 2 = 0 THEN {bridge.metres_sql('round(lat, 6)', 'round(lon, 6)', '(round(lat, 6) + 0.00001::DOUBLE)', '(round(lon, 6) + 0.00001::DOUBLE)')}
+    ELSE {bridge.metres_sql('round(lat, 6)', 'round(lon, 6)', '(-7.25::DOUBLE)', '(112.75::DOUBLE)')} + {bridge.metres_sql('(-7.25::DOUBLE)', '(112.75::DOUBLE)', '(-7.26::DOUBLE)', '(112.74::DOUBLE)')} END, 2) AS length_m FROM odp_site""")
+def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates as text, some of one vertex and with odd tuples, to lines and their lengths."""
+    first = F.concat(F.round("lon", 6).cast("string"), F.lit(","), F.round("lat", 6).cast("string"), F.lit(",0"))
+    text = F.when(F.col("site_id") % 2 == 0, F.concat(F.lit(" \n"), first, F.lit(" x,y "))).otherwise(F.concat(first, F.lit("  112.75,-7.25\n112.74,-7.26,5")))
+    lines = bridge.view(spark, sf_dir, "odp_site").select("site_id", geo.padded(geo.parse_coordinates(text)).alias("line"))
+    return lines.select("site_id", F.size("line").alias("vertices"), F.round(geo.line_length("line"), 2).alias("length_m"))
+
+
+# Features
+
+
+@query(f"""WITH {bridge.FEATURE_SQL} SELECT feature_id, CASE WHEN lower(name) LIKE '%olt%' OR lower(name) LIKE '%pop%' THEN 'olt' WHEN lower(name) LIKE '%odc%' THEN 'odc'
+    WHEN lower(name) LIKE '%odp%' THEN 'odp' WHEN lower(name) LIKE '%hc%' OR lower(name) LIKE '%rumah%' THEN 'hc' END AS kind FROM feature""")
+def mapping_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.features(spark, sf_dir).select("feature_id", labels.mapping_kind("name").alias("kind"))
+
+
+_POINT, _LINE = "geom_type IN ('Point', 'MultiPoint')", "geom_type IN ('LineString', 'MultiLineString')"
+_FLAG_SQL = f"""base AS (SELECT * REPLACE (coalesce(name, '') AS name, coalesce(description, '') AS description), upper(coalesce(name, '')) AS up FROM feature),
+    own AS (SELECT *, {_POINT} AND (layer_id = 'pop' OR contains(description, 'SERVER OLT') OR contains(up, 'POP') OR contains(up, 'OLT')) AS is_pop,
+        {_POINT} AND (starts_with(up, 'ODC') OR contains(description, 'Jumlah ODP:')) AS is_odc, {_POINT} AND contains(up, 'CLOSURE') AS is_closure,
+        {_POINT} AND (regexp_matches(name, '^\\d{{1,2}}/\\d{{1,2}}$') OR contains(description, 'Induk: ODC') OR contains(up, 'ODP')) AS is_odp,
+        {_LINE} AND (contains(up, 'FEEDER') OR contains(description, 'FEEDER') OR coalesce(stroke = '#ff0000', false)) AS is_feeder FROM base),
+    flag AS (SELECT *, {_POINT} AND (regexp_matches(name, '^\\d{{1,2}}/\\d{{1,2}}-\\d{{1,2}}$') OR contains(description, 'Induk ODP:') OR NOT (is_pop OR is_odc OR is_closure OR is_odp)) AS is_house,
+        {_LINE} AND NOT is_feeder AS is_distribution FROM own)"""
+_FLAGS = ("is_pop", "is_odc", "is_closure", "is_odp", "is_house", "is_feeder", "is_distribution")
+_SWITCHES = {"is_pop": "show_pop", "is_odc": "show_odc", "is_closure": "show_odc", "is_odp": "show_odp", "is_house": "show_house", "is_feeder": "show_feeder", "is_distribution": "show_distribution"}
+
+
+@query(f"WITH {bridge.FEATURE_SQL}, {_FLAG_SQL} SELECT feature_id, {', '.join(_FLAGS)} FROM flag")
+def feature_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.features(spark, sf_dir).select("feature_id", *(c.alias(n) for n, c in labels.visibility_flags().items()))
+
+
+@query(f"WITH {bridge.FEATURE_SQL}, {_FLAG_SQL} SELECT feature_id FROM flag WHERE layer_id = 'boundary' OR NOT ({' OR '.join(f'({f} AND NOT {s})' for f, s in _SWITCHES.items())})")
+def visible_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.visible_features(bridge.features(spark, sf_dir), labels.visibility_flags(), _SWITCHES).select("feature_id")
+
+
+@query(f"""WITH {bridge.FEATURE_SQL}, base AS (SELECT *, coalesce(name, '') AS n, coalesce(description, '') AS d FROM feature)
+    SELECT feature_id, CASE WHEN NOT {_POINT} THEN NULL WHEN layer_id = 'pop' OR contains(d, 'SERVER OLT') OR contains(upper(n), 'POP') OR contains(upper(n), 'OLT') THEN 'pop'
+    WHEN starts_with(upper(n), 'ODC') OR contains(d, 'Jumlah ODP:') OR contains(upper(n), 'JOIN CLOSURE') THEN 'odc'
+    WHEN regexp_matches(n, '^\\d{{2}}/\\d{{2}}$') OR contains(d, 'Induk: ODC') THEN 'odp'
+    WHEN regexp_matches(n, '^\\d{{2}}/\\d{{2}}-\\d{{2}}$') OR contains(d, 'Induk ODP:') THEN 'house' END AS colour_class FROM base""")
+def colour_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.features(spark, sf_dir).select("feature_id", labels.colour_class().alias("colour_class"))
+
+
+_COLOUR_ROWS = "(0, '239,68,68,255', '#ef4444'), (1, '249,115,22,255', '#f97316'), (2, '156,163,175,255', '#9ca3af'), (3, '171,205,239,255', '#ABCDEF'), (4, '34,197,94,255', '#10b981'), (5, '255,0,0,255', '#ff0000'), (6, '255,255,255,255', '#ffffff')"
+_STROKE_ROWS = _COLOUR_ROWS.replace("(0, '239,68,68,255', '#ef4444')", "(0, '255,0,0,255', '#ff0000')")
+
+
+@query(f"WITH c(k, pin, hex) AS (VALUES {_STROKE_ROWS}) SELECT o_orderkey AS feature_id, pin, hex FROM orders JOIN c ON o_custkey % 7 = k")
+def stroke_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pin = F.array_join(F.transform(labels.pin_colour("stroke"), lambda x: x.cast("string")), ",")
+    return bridge.features(spark, sf_dir).select("feature_id", pin.alias("pin"), labels.hex_colour("stroke").alias("hex"))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, regions and nations as a tree of map nodes."""
+    nations = bridge.table(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) AS node_id", "array('root', concat('r', n_regionkey), concat('n', n_nationkey)) AS path", "n_nationkey % 4 <> 0 AS visible")
+    regions = bridge.table(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) AS node_id", "array('root', concat('r', r_regionkey)) AS path", "true AS visible")
+    return nations.unionByName(regions).unionByName(spark.createDataFrame([("root", ["root"], True)], nations.schema))
+
+
+@query(f"WITH {bridge.FEATURE_SQL} SELECT feature_id FROM feature WHERE substr(node_id, 2)::BIGINT % 4 <> 0")
+def tree_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.visible_in_tree(bridge.features(spark, sf_dir), _tree(spark, sf_dir)).select("feature_id")
+
+
+@query("""WITH RECURSIVE node AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent, n_nationkey % 4 <> 0 AS visible FROM nation
+        UNION ALL SELECT 'r' || r_regionkey, 'root', true FROM region UNION ALL SELECT 'root', NULL, true),
+    below AS (SELECT id FROM node WHERE id = 'r2' UNION ALL SELECT n.id FROM node n JOIN below b ON n.parent = b.id)
+    SELECT id AS node_id, CASE WHEN id IN (SELECT id FROM below) THEN false ELSE visible END AS visible FROM node""")
+def tree_toggle_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.toggled(_tree(spark, sf_dir), F.lit("r2")).select("node_id", "visible")
+
+
+# Projects
+
+
+@query(f"WITH {bridge.PROJECT_SQL} SELECT * FROM project ORDER BY updated_at DESC, id LIMIT 100 OFFSET 200")
+def project_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.page(bridge.projects(spark, sf_dir), None, 200, 100)
+
+
+@query(f"WITH {bridge.PROJECT_SQL} SELECT * FROM project WHERE user_id = 7 ORDER BY updated_at DESC, id LIMIT 5")
+def project_page_of_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.page(bridge.projects(spark, sf_dir), F.lit(7), 0, 5)
+
+
+@query(f"""WITH {bridge.PROJECT_SQL}, request AS (SELECT l_partkey AS project_id, l_suppkey AS user_id, l_linenumber = 1 AS is_admin FROM lineitem)
+    SELECT status, count(*) AS requests FROM (SELECT CASE WHEN p.id IS NULL THEN 404 WHEN NOT is_admin AND p.user_id IS DISTINCT FROM r.user_id THEN 403 ELSE 200 END AS status
+    FROM request r LEFT JOIN project p ON p.id = r.project_id) GROUP BY status""")
+def project_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = bridge.table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS project_id", "l_suppkey AS user_id", "l_linenumber = 1 AS is_admin")
+    return projects.access(requests, bridge.projects(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("requests"))
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS email", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'admin' ELSE 'user' END AS role")
+
+
+@query("""SELECT event_id AS token, e.user_id, ts AS expires_at, c_name AS email, CASE WHEN c_mktsegment = 'BUILDING' THEN 'admin' ELSE 'user' END AS role
+    FROM events e JOIN customer ON c_custkey = e.user_id WHERE ts > (SELECT min(ts) + INTERVAL 10 DAY FROM events)""")
+def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that haven't expired ten days after the first, with their users."""
+    events = bridge.table(spark, sf_dir, "events")
+    now = events.agg((F.min("ts") + F.expr("INTERVAL 10 DAYS")).alias("now")).first()[0]
+    sessions = events.selectExpr("event_id AS token", "user_id", "ts AS expires_at")
+    return projects.sessions_with_users(sessions, _users(spark, sf_dir), F.lit(now))
+
+
+@query(f"""WITH {bridge.PROJECT_SQL} SELECT id, user_id, updated_at, CASE WHEN id % 3 = 0 THEN 'renamed ' || id ELSE name END AS name, CASE WHEN id % 6 = 0 THEN NULL ELSE layers END AS layers FROM project""")
+def project_update_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial updates: some set the name, some also set the layers to null."""
+    changes = bridge.projects(spark, sf_dir).where("id % 3 = 0").selectExpr("id", "CASE WHEN id % 6 = 0 THEN array('name', 'layers') ELSE array('name') END AS set", "concat('renamed ', id) AS name", "CAST(NULL AS STRING) AS layers").distinct()
+    return projects.updated(bridge.projects(spark, sf_dir), changes, ["name", "layers"])
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 'new ' || p_brand FROM part WHERE p_partkey % 5 = 0")
+def layer_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = bridge.table(spark, sf_dir, "part")
+    changed = parts.where("p_partkey % 5 = 0").selectExpr("p_partkey AS id", "concat('new ', p_brand) AS name")
+    return projects.upserted(parts.selectExpr("p_partkey AS id", "p_name AS name"), changed)
+
+
+@query("""WITH l AS (SELECT p_size AS project, p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'My Boundary' WHEN 1 THEN 'OLT north' WHEN 2 THEN 'pop' ELSE 'houses' END AS name, p_partkey % 3 <> 0 AS visible, p_partkey % 10 = 0 AS is_design FROM part)
+    SELECT project, CASE WHEN name = 'My Boundary' THEN 'boundary' ELSE 'pop' END AS role, min(id) AS id FROM l WHERE visible AND NOT is_design AND name <> 'houses' GROUP BY ALL""")
+def role_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = bridge.table(spark, sf_dir, "part").selectExpr("p_size AS project", "p_partkey AS id", "p_partkey AS ordinal", "CASE p_partkey % 4 WHEN 0 THEN 'My Boundary' WHEN 1 THEN 'OLT north' WHEN 2 THEN 'pop' ELSE 'houses' END AS name", "p_partkey % 3 <> 0 AS visible", "p_partkey % 10 = 0 AS is_design")
+    return projects.role_layers(layers, "project")
+
+
+# Labels and bills, over an assignment in the order of house ids
+
+
+def _dealt(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Eight houses to an ODP and four ODPs to an ODC in the order of their ids; sites at the mean of their houses."""
+    n = F.row_number().over(Window.partitionBy("design").orderBy("house_id")) - 1
+    house = bridge.view(spark, sf_dir, "house").withColumn("n", n)
+    house = house.selectExpr("*", "CAST(n DIV 32 + 1 AS INT) AS i", "CAST(n % 32 DIV 8 + 1 AS INT) AS j", "CAST(n % 8 + 1 AS INT) AS k")
+    odp = house.groupBy("design", "i", "j").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("houses"))
+    odc = house.groupBy("design", "i").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.countDistinct("j").alias("odps"))
+    at_odc = odc.select("design", "i", F.col("lat").alias("odc_lat"), F.col("lon").alias("odc_lon"))
+    at_odp = odp.select("design", "i", "j", F.col("lat").alias("odp_lat"), F.col("lon").alias("odp_lon"))
+    return {"odc": odc, "odp": odp.join(at_odc, ["design", "i"]), "house": house.join(at_odp, ["design", "i", "j"])}
+
+
+_DEALT_SQL = f"""{bridge.view_sql('house')}, n AS (SELECT *, row_number() OVER (PARTITION BY design ORDER BY house_id) - 1 AS n FROM house),
+    h AS (SELECT *, (n // 32 + 1)::INT AS i, (n % 32 // 8 + 1)::INT AS j, (n % 8 + 1)::INT AS k FROM n),
+    p AS (SELECT design, i, j, avg(lat) AS lat, avg(lon) AS lon, count(*) AS houses FROM h GROUP BY ALL),
+    c AS (SELECT design, i, avg(lat) AS lat, avg(lon) AS lon, count(DISTINCT j) AS odps FROM h GROUP BY ALL)"""
+
+
+@query(f"WITH {_DEALT_SQL} SELECT house_id, format('ODC {{:02d}}', i) AS odc, format('{{:02d}}/{{:02d}}', i, j) AS odp, format('{{:02d}}/{{:02d}}-{{:02d}}', i, j, k) AS house FROM h")
+def hierarchy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir)["house"].select("house_id", labels.odc_label("i").alias("odc"), labels.odp_label("i", "j").alias("odp"), labels.house_label("i", "j", "k").alias("house"))
+
+
+@query(f"WITH {bridge.view_sql('house')}, n AS (SELECT design, count(*) AS houses FROM house GROUP BY design) SELECT design, houses, ceil(houses / 8)::BIGINT AS odps, ceil(ceil(houses / 8) / 4)::BIGINT AS odcs FROM n")
+def capacity_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design.expected(bridge.view(spark, sf_dir, "house"), "design")
+
+
+_BILL_SQL = f"""{_DEALT_SQL},
+    chain AS (SELECT *, lag(lat, 1, -7.25::DOUBLE) OVER w AS lat0, lag(lon, 1, 112.75::DOUBLE) OVER w AS lon0, lag(format('ODC-{{:03d}}', i), 1, 'POP/OLT') OVER w AS before FROM c WINDOW w AS (PARTITION BY design ORDER BY i)),
+    bill AS (
+        SELECT DISTINCT design, 0 AS section, 0 AS i, 0 AS j, 0 AS k, 0 AS sub, 'POP / Server OLT' AS type, 'POP/OLT' AS name, 1.0::DOUBLE AS quantity, 'pcs' AS unit FROM c
+        UNION ALL SELECT design, 1, i, 0, 0, 0, 'ODC', format('ODC {{:02d}}', i), 1, 'pcs' FROM c
+        UNION ALL SELECT design, 1, i, 0, 0, 1, 'Join Closure', format('JOIN CLOSURE ODC {{:02d}}', i), 1, 'pcs' FROM c
+        UNION ALL SELECT design, 1, i, j, 0, 0, 'ODP', format('{{:02d}}/{{:02d}}', i, j), 1, 'pcs' FROM p
+        UNION ALL SELECT p.design, 1, p.i, j, 0, 1, 'Kabel Distribusi', format('ODC {{:02d}} -> {{:02d}}/{{:02d}}', p.i, p.i, j), {bridge.metres_sql('c.lat', 'c.lon', 'p.lat', 'p.lon')} * 1.2::DOUBLE, 'm' FROM p JOIN c ON c.design = p.design AND c.i = p.i
+        UNION ALL SELECT design, 1, i, j, k, 0, 'Homepass (Titik Rumah)', format('{{:02d}}/{{:02d}}-{{:02d}}', i, j, k), 1, 'pcs' FROM h
+        UNION ALL SELECT h.design, 1, h.i, h.j, k, 1, 'Kabel Drop', format('{{:02d}}/{{:02d}} -> {{:02d}}/{{:02d}}-{{:02d}}', h.i, h.j, h.i, h.j, k), {bridge.metres_sql('p.lat', 'p.lon', 'h.lat', 'h.lon')} * 1.2::DOUBLE, 'm' FROM h JOIN p ON p.design = h.design AND p.i = h.i AND p.j = h.j
+        UNION ALL SELECT design, 2, i, 0, 0, 0, 'Kabel Feeder', format('{{}} -> ODC-{{:03d}}', before, i), {bridge.metres_sql('lat0', 'lon0', 'lat', 'lon')}, 'm' FROM chain)"""
+
+
+@query(f"WITH {_BILL_SQL} SELECT * REPLACE (round(quantity, 3) AS quantity) FROM bill")
+def bom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bill = design.bill_of_materials(_dealt(spark, sf_dir), "design").drop("lat", "lon")
+    return _rounded(bill, 3, "quantity")
+
+
+@query(f"WITH {_BILL_SQL} SELECT design, type, unit, count(*) AS positions, round(sum(quantity), 2) AS quantity FROM bill GROUP BY GROUPING SETS ((design, type, unit), (type, unit))")
+def bom_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by type, for each design and for all."""
+    bill = design.bill_of_materials(_dealt(spark, sf_dir), "design")
+    sums = bill.groupingSets([["design", "type", "unit"], ["type", "unit"]], "design", "type", "unit").agg(F.count("*").alias("positions"), F.round(F.sum("quantity"), 2).alias("quantity"))
+    return sums
+
+
+@query(f"WITH {_DEALT_SQL}, t AS (SELECT design, sum(houses) AS houses, count(*) AS odps FROM p GROUP BY design) SELECT design, houses::BIGINT AS houses, t.odps, count(*) AS odcs, count(*) AS feeders, 'POP -> ' || string_agg(format('ODC-{{:03d}}', i), ' -> ' ORDER BY i) AS chain FROM c JOIN t USING (design) GROUP BY ALL")
+def design_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design.summary(_dealt(spark, sf_dir), "design")
+
+
+# Roads
+
+
+@query(f"""WITH RECURSIVE {bridge.ROAD_SQL},
+    walk(design, node, dist_m) USING KEY (design, node) AS (
+        SELECT n_nationkey::BIGINT, 0::BIGINT, 0.0::DOUBLE FROM nation
+        UNION (
+            SELECT o.design, o.node, o.d FROM (SELECT w.design, b.v AS node, min(w.dist_m + b.length_m) AS d FROM walk w JOIN both_ways b ON b.design = w.design AND b.u = w.node GROUP BY ALL) o
+            LEFT JOIN recurring.walk k ON k.design = o.design AND k.node = o.node WHERE k.node IS NULL OR o.d < k.dist_m))
+    SELECT design, node, dist_m FROM walk""")
+def road_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from node 0 over each design's roads."""
+    edges = bridge.road_edges(spark, sf_dir)
+    sources = bridge.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("design"), F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("dist_m"))
+    return roads.distances_by_design(edges, sources, "design").select("design", "node", "dist_m")
+
+
+@query(f"""WITH RECURSIVE {bridge.ROAD_SQL}, one AS (SELECT u, v FROM both_ways WHERE design = 3 AND (least(u, v) * 13 + greatest(u, v) * 7) % 10 < 6),
+    reach(a, b) AS (SELECT r.range, r.range FROM range({bridge.WIDE ** 2}) r UNION SELECT a, v FROM reach JOIN one ON one.u = b),
+    label AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
+    best AS (SELECT component FROM label GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+    SELECT node FROM label JOIN best USING (component)""")
+def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = bridge.road_edges(spark, sf_dir).where("design = 3 AND (least(u, v) * 13 + greatest(u, v) * 7) % 10 < 6").select("u", "v", "key", "length_m")
+    return roads.largest_component(edges, spark.range(bridge.WIDE**2).withColumnRenamed("id", "node"))
+
+
+@query(f"WITH {bridge.ROAD_SQL} SELECT a.design, a.v AS at_node, a.u AS from_node, b.v AS to_node FROM both_ways a JOIN both_ways b ON a.design = b.design AND a.v = b.u AND b.v <> a.u WHERE a.design < 3")
+def adjacency_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways on from the end of each edge but the one it was reached by."""
+    both = roads.undirected(bridge.road_edges(spark, sf_dir).where("design < 3"), "design")
+    a = both.select("design", F.col("u").alias("from_node"), F.col("v").alias("at_node"))
+    b = both.select("design", F.col("u").alias("at_node"), F.col("v").alias("to_node"))
+    return a.join(b, ["design", "at_node"]).where("to_node <> from_node")
+
+
+@query()
+def road_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on the way from node 0 to the far corner of each design."""
+    edges = bridge.road_edges(spark, sf_dir)
+    sources = bridge.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("design"), F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("dist_m"))
+    found = roads.distances_by_design(edges, sources, "design")
+    return roads.routes_to(found, found.where(f"node = {bridge.WIDE**2 - 1}").select("design", "node"), "design")
+
+
+@query()
+def regenerate_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roads.noisy(bridge.road_edges(spark, sf_dir), 42)
+
+
+@query("""WITH f AS (SELECT o_custkey % 50 AS design, CASE WHEN o_orderkey % 97 = 0 THEN 1 WHEN o_orderkey % 23 = 0 THEN 2 ELSE 3 END AS tier, o_orderkey AS place, nullif(trim(CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE o_orderpriority END), '') AS name FROM orders)
+    SELECT design, tier, place, coalesce(name, CASE tier WHEN 1 THEN 'Gedung Stasiun Kereta' WHEN 2 THEN 'Jalan Utama' ELSE 'Jalan Perumahan' END) AS name FROM f
+    QUALIFY row_number() OVER (PARTITION BY design ORDER BY tier, place) = 1""")
+def strategic_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each design's POP goes: a station, else a main road, else any road."""
+    found = bridge.table(spark, sf_dir, "orders").selectExpr("o_custkey % 50 AS design", "CASE WHEN o_orderkey % 97 = 0 THEN 1 WHEN o_orderkey % 23 = 0 THEN 2 ELSE 3 END AS tier", "o_orderkey AS place", "CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE o_orderpriority END AS name")
+    names = F.when(F.col("tier") == 1, labels.name_or("name", "Gedung Stasiun Kereta")).when(F.col("tier") == 2, labels.name_or("name", "Jalan Utama")).otherwise(labels.name_or("name", "Jalan Perumahan"))
+    return roads.first_of_tiers(found, "design").withColumn("name", names)
+
+
+# Designs
+
+
+@query()
+def capacitated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.capacitated_clusters(bridge.view(spark, sf_dir, "house"), "design", "house_id", 8)
+
+
+@query()
+def two_level_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = design.two_levels(bridge.view(spark, sf_dir, "house"), "design", "house_id")
+    return made["odc"]
+
+
+@query()
+def relaxed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.separated(bridge.view(spark, sf_dir, "odp_site"), "design", "site_id", 40.0)
+
+
+@query()
+def feeder_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.feeder_chain(bridge.view(spark, sf_dir, "odp_site"), "design", "site_id", _POP[1:])
+
+
+@query()
+def full_design_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design.bill_of_materials(design.full_design(bridge.view(spark, sf_dir, "house"), "design", "house_id"), "design")
+
+
+@query()
+def kml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of each design as one KML and one KMZ file's content."""
+    marks = design.placemarks(_dealt(spark, sf_dir), "design")
+    return sinks.documents(marks, "design")
+
+
+@query()
+def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Houses of the designs after their states are written as JSON and read again."""
+    import uuid
+
+    made = _dealt(spark, sf_dir)
+    made["odp"] = made["odp"].withColumn("odp_seq", (F.col("i") - 1) * 4 + F.col("j"))
+    made["house"] = made["house"].withColumn("odp_seq", (F.col("i") - 1) * 4 + F.col("j"))
+    path = f"{shared_folder(spark)}/design-states-{uuid.uuid4().hex}"
+    sinks.states(made, "design", _POP).write.json(path)
+    return sinks.read_states(spark, path)["house"]
+
+
+@query(f"WITH {bridge.view_sql('house')}, {bridge.view_sql('odp_site')} SELECT house_id AS id, 'hc' AS kind, lat, lon FROM house UNION ALL SELECT site_id, 'odp', lat, lon FROM odp_site UNION ALL SELECT 0, 'olt', -7.25::DOUBLE, 112.75::DOUBLE")
+def union_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    houses = bridge.view(spark, sf_dir, "house").select(F.col("house_id").alias("id"), F.lit("hc").alias("kind"), "lat", "lon")
+    sites = bridge.view(spark, sf_dir, "odp_site").select(F.col("site_id").alias("id"), F.lit("odp").alias("kind"), "lat", "lon")
+    pop = spark.createDataFrame([(0, "olt", _POP[1], _POP[2])], "id long, kind string, lat double, lon double")
+    return houses.unionByName(sites).unionByName(pop)
+
+
+@query("""WITH p AS (SELECT o_custkey % 40 AS design, CASE o_orderkey % 5 WHEN 0 THEN 'olt' WHEN 1 THEN 'odc' WHEN 2 THEN 'odp' ELSE 'hc' END AS kind FROM orders WHERE o_orderkey % 5 <> o_custkey % 4 OR o_custkey % 40 > 30)
+    SELECT design, CASE WHEN NOT bool_or(kind = 'olt') THEN 'no OLT' WHEN NOT bool_or(kind = 'odc') THEN 'no ODC' WHEN NOT bool_or(kind = 'odp') THEN 'no ODP' END AS problem FROM p GROUP BY design""")
+def custom_design_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = bridge.table(spark, sf_dir, "orders").where("o_orderkey % 5 <> o_custkey % 4 OR o_custkey % 40 > 30").selectExpr("o_custkey % 40 AS design", "CASE o_orderkey % 5 WHEN 0 THEN 'olt' WHEN 1 THEN 'odc' WHEN 2 THEN 'odp' ELSE 'hc' END AS kind")
+    return design.guards(points, "design")
+
+
+@query(f"WITH {bridge.view_sql('odc_site')} SELECT site_id, round(35200000 / pow(2::DOUBLE, 10 + site_id % 8), 4) AS altitude, printf('%.6f', lat) AS lat_text, strftime(TIMESTAMP '2024-01-31 00:00:00' + INTERVAL 1 DAY * site_id, '%d-%m-%Y') AS day, 'file' || site_id AS stem FROM odc_site")
+def map_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format(F.expr("TIMESTAMP '2024-01-31 00:00:00' + make_dt_interval(CAST(site_id AS INT))"), "dd-MM-yyyy")
+    stem = F.regexp_replace(F.concat(F.lit("file"), F.col("site_id").cast("string"), F.lit(".KMZ")), r"(?i)\.(kml|kmz)$", "")
+    altitude = F.round(geo.eye_altitude(F.col("site_id") % 8 + 10), 4)
+    return bridge.view(spark, sf_dir, "odc_site").select("site_id", altitude.alias("altitude"), F.format_string("%.6f", "lat").alias("lat_text"), day.alias("day"), stem.alias("stem"))

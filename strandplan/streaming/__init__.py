@@ -1,0 +1 @@
+"""Reserved.  Planning works on tables and files at rest; there are no stream operators."""
