@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+from strandplan.lineage import materialise, shared_folder
 
-    Only where the setting is absent (local runs, tests) a local folder is used instead.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{tempfile.gettempdir()}/strandplan-shared"
+__all__ = ["lower_ascii", "materialise", "repeat_rows", "shared_folder", "shuffle_width", "whole_text"]
 
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage as checkpoint() does, keeps columns compressed, and any executor can be lost afterwards.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def whole_text(text: str | Column = "text") -> Column:
