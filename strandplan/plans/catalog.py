@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from strandplan.functions import geo, labels
 from strandplan.lineage import shared_folder
-from strandplan.operators import clusters, design, projects, roads, spatial
+from strandplan.operators import cables, clusters, design, projects, roads, spatial
 from strandplan.plans import bridge
-from strandplan.sources import kml, sinks
+from strandplan.sources import kml, sinks, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -562,3 +562,39 @@ def map_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.regexp_replace(F.concat(F.lit("file"), F.col("site_id").cast("string"), F.lit(".KMZ")), r"(?i)\.(kml|kmz)$", "")
     altitude = F.round(geo.eye_altitude(F.col("site_id") % 8 + 10), 4)
     return bridge.view(spark, sf_dir, "odc_site").select("site_id", altitude.alias("altitude"), F.format_string("%.6f", "lat").alias("lat_text"), day.alias("day"), stem.alias("stem"))
+
+
+def _road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Road edges with lines: the lattice laid over the area."""
+    n = bridge.WIDE
+
+    def place(node: str) -> Column:
+        lon, lat = bridge.WEST + (F.col(node) % n) * (0.02 / (n - 1)), bridge.SOUTH + F.floor(F.col(node) / n) * (0.02 / (n - 1))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return bridge.road_edges(spark, sf_dir).withColumn("line", F.array(place("u"), place("v")))
+
+
+@query()
+def routed_feeders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeder cables of the dealt designs along their roads."""
+    made = _dealt(spark, sf_dir)
+    segments = design.feeder_segments(made["odc"], "design").withColumn("design", F.col("design").cast("long"))
+    return cables.regenerated(segments, _road_lines(spark, sf_dir), "design", 42)
+
+
+@query()
+def routed_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cables from cabinets to distribution points along roads of true length."""
+    odp = _dealt(spark, sf_dir)["odp"].select(F.col("design").cast("long").alias("design"), "i", "j", F.col("odc_lat").alias("lat1"), F.col("odc_lon").alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    return cables.routed(odp, _road_lines(spark, sf_dir), "design")
+
+
+@query(f"WITH {bridge.view_sql('house')} SELECT house_id, lat, lon FROM house WHERE lon BETWEEN 112.745::DOUBLE AND 112.752::DOUBLE AND lat BETWEEN -7.255::DOUBLE AND -7.248::DOUBLE")
+def tiled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Houses of an area, written by tile and read from the area's tiles."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    tiles.write_tiles(bridge.view(spark, sf_dir, "house"), path, ["house_id", "name"])
+    return tiles.read_tiles(spark, path, 112.745, -7.255, 112.752, -7.248)
