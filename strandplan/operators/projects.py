@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,21 @@ def updated(projects: DataFrame, changes: DataFrame, columns: list[str]) -> Data
     return projects.join(new, "id", "left").select(*kept)
 
 
+def of_known_users(owned: DataFrame, users: DataFrame) -> DataFrame:
+    """Rows(user_id, ...) after users are deleted: those of users that are left, and those of no user."""
+    left = users.select(F.col("id").alias("__user"))
+    return owned.where("user_id IS NULL").unionByName(owned.join(left, owned.user_id == F.col("__user"), "left_semi"))
+
+
+def read_projects(spark: SparkSession, url: str, table: str = "Project", parts: int = 1, **options: str) -> DataFrame:
+    """Projects of a database; filters and columns reach it, and ``parts`` over one are read side by side by hash of id."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=f'"{table}"', **options)
+    if parts == 1:
+        return reader.load()
+    slices = [f"abs(hashtext(id::text)) % {parts} = {k}" for k in range(parts)]
+    return spark.read.jdbc(url, f'"{table}"', predicates=slices, properties=options)
+
+
 def upserted(layers: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
     """Layers without those that are replaced, and the new ones."""
     return layers.join(changed, key, "left_anti").unionByName(changed)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandplan.functions import geo
@@ -137,7 +137,21 @@ def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reac
 
 def track_steps(track: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``track`` with step_m, the distance from the vertex before in its group (null for the first)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(*order)
     return track.withColumn("step_m", geo.haversine_atan2(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"))
+
+
+def walked(track: DataFrame, key: str, order: list[str], metres: float) -> DataFrame:
+    """(key, lat, lon, walked_m): where one is after so many metres along each group's track, planar within a step.
+
+    A track that is shorter ends the walk at its last vertex.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    steps = track.select(key, *order, F.lag("lat").over(w).alias("lat1"), F.lag("lon").over(w).alias("lon1"), "lat", "lon")
+    steps = steps.withColumn("step", F.coalesce(geo.haversine_atan2("lat1", "lon1", "lat", "lon"), F.lit(0.0)))
+    steps = steps.withColumn("so_far", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct((F.col("so_far") < metres).alias("short"), F.when(F.col("so_far") < metres, -F.col("so_far")).otherwise(F.col("so_far")).alias("at"), *order, "lat1", "lon1", "lat", "lon", "step", "so_far")
+    first = steps.groupBy(key).agg(F.min(place).alias("p")).select(key, "p.*")
+    share = F.when(F.col("short") | (F.col("step") == 0), 1.0).otherwise(1 - (F.col("so_far") - metres) / F.col("step"))
+    lat, lon = (F.coalesce(F.col(f"{c}1") + share * (F.col(c) - F.col(f"{c}1")), F.col(c)) for c in ("lat", "lon"))
+    return first.select(key, lat.alias("lat"), lon.alias("lon"), F.least("so_far", F.lit(float(metres))).alias("walked_m"))

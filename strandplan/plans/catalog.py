@@ -598,3 +598,34 @@ def tiled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
     tiles.write_tiles(bridge.view(spark, sf_dir, "house"), path, ["house_id", "name"])
     return tiles.read_tiles(spark, path, 112.745, -7.255, 112.752, -7.248)
+
+
+@query(f"""WITH {bridge.view_sql('track')}, {_STEP_SQL.replace('least(1.0::DOUBLE, ', '(')},
+    far AS (SELECT *, lag(lat) OVER w AS lat1, lag(lon) OVER w AS lon1, sum(coalesce(step_m, 0)) OVER w AS so_far FROM step WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    hit AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY so_far < 5000, CASE WHEN so_far < 5000 THEN -so_far ELSE so_far END, ts, event_id) = 1),
+    s AS (SELECT *, CASE WHEN so_far < 5000 OR coalesce(step_m, 0) = 0 THEN 1 ELSE 1 - (so_far - 5000) / step_m END AS share FROM hit)
+    SELECT user_id, round(coalesce(lat1 + share * (lat - lat1), lat), 8) AS lat, round(coalesce(lon1 + share * (lon - lon1), lon), 8) AS lon, round(least(so_far, 5000), 2) AS walked_m FROM s""")
+def walk_along_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each user's track is after five kilometres."""
+    at = spatial.walked(bridge.view(spark, sf_dir, "track"), "user_id", ["ts", "event_id"], 5000.0)
+    return at.select("user_id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("walked_m", 2).alias("walked_m"))
+
+
+@query(f"""WITH {bridge.view_sql('house')}, {bridge.view_sql('odp_site')}, {bridge.view_sql('odc_site')}, {_nearest_sql('house', 'odp_site', 'house_id')},
+    near2 AS (SELECT p.site_id AS odp, s.site_id, {bridge.metres_sql('p.lat', 'p.lon', 's.lat', 's.lon')} AS d FROM odp_site p, odc_site s),
+    best2 AS (SELECT * FROM near2 QUALIFY row_number() OVER (PARTITION BY odp ORDER BY d, site_id) = 1)
+    SELECT 'hc' AS kind, house_id AS point_id, site_id, round(d, 3) AS distance_m FROM best UNION ALL SELECT 'odp', odp, site_id, round(d, 3) FROM best2""")
+def custom_design_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed houses to placed ODPs, these to placed ODCs."""
+    placed = [("house", "house_id", "hc"), ("odp_site", "site_id", "odp"), ("odc_site", "site_id", "odc")]
+    points = [bridge.view(spark, sf_dir, v).select(F.col(key).alias("point_id"), F.lit(kind).alias("kind"), "lat", "lon") for v, key, kind in placed]
+    made = design.assigned_design(points[0].unionByName(points[1]).unionByName(points[2]), "design")
+    both = made["hc"].unionByName(made["odp"])
+    return both.select("kind", "point_id", "site_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query(f"WITH {bridge.PROJECT_SQL} SELECT id, user_id FROM project WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects left once a quarter of the users are deleted."""
+    left = _users(spark, sf_dir).where("id % 4 <> 0")
+    return projects.of_known_users(bridge.projects(spark, sf_dir), left).select("id", "user_id")
