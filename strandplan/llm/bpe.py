@@ -8,7 +8,7 @@ own normaliser and pre-tokeniser.  Pieces always come from the library's model.
 from __future__ import annotations
 
 import re
-import struct
+from array import array
 from functools import cache
 
 import public_tokenizers
@@ -33,6 +33,13 @@ def _byte_alphabet() -> list[str]:
 
 
 _BYTES = _byte_alphabet()
+#: Marks that make a pre-token of their own after letters and at a run's end.
+_MARKS = frozenset(".,!?;:)")
+
+
+def in_bytes(word: str) -> str:
+    """A word in the byte alphabet."""
+    return word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode()))
 
 
 class WordBpe:
@@ -51,8 +58,7 @@ class WordBpe:
 
     def pretokens(self, run: str) -> list[str]:
         """A run's pre-tokens, in the byte alphabet."""
-        found = _PATTERN.findall(run)
-        return found if run.isascii() else ["".join(map(_BYTES.__getitem__, w.encode())) for w in found]
+        return [in_bytes(w) for w in _PATTERN.findall(run)]
 
     def library_pretokens(self, text: str) -> list[str]:
         """Any text's pre-tokens by the library; special strings are pre-tokens of their own."""
@@ -76,35 +82,51 @@ def word_bpe(path: str | None = None) -> WordBpe:
     return WordBpe(path or public_tokenizers.path(WORD_BPE))
 
 
+class Generations:
+    """A table of two generations: what is asked for outlives those that aren't; at most ``2 * limit`` entries."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(self.new) >= self.limit:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+        return value
+
+
 class IdCache:
-    """Ids of runs as packed little-endian 32-bit numbers; holds at most ``limit`` runs and as many pre-tokens."""
+    """Ids of runs and of pre-tokens as packed little-endian 32-bit numbers."""
 
-    def __init__(self, bpe: WordBpe, limit: int = 300_000) -> None:
-        self.bpe, self.limit = bpe, limit
-        self.of_run: dict[str, bytes] = {}
-        self.of_pretoken: dict[str, bytes] = {}
+    def __init__(self, bpe: WordBpe, limit: int = 120_000) -> None:
+        self.bpe = bpe
+        self.of_run, self.of_pretoken = Generations(limit), Generations(limit)
 
     def pretoken(self, pretoken: str) -> bytes:
-        packed = self.of_pretoken.get(pretoken)
+        kept = self.of_pretoken
+        packed = kept.new.get(pretoken)
         if packed is None:
-            if len(self.of_pretoken) >= self.limit:
-                self.of_pretoken.clear()
-            ids = self.bpe.ids(pretoken)
-            packed = self.of_pretoken[pretoken] = struct.pack(f"<{len(ids)}I", *ids)
+            packed = kept.put(pretoken, kept.old.get(pretoken) or array("I", self.bpe.ids(pretoken)).tobytes())
         return packed
 
+    def run(self, run: str) -> bytes:
+        """Ids of a run that isn't in the new generation; letters, or letters before one mark, need no pattern."""
+        packed = self.of_run.old.get(run)
+        if packed is None:
+            if run.isalpha():
+                packed = self.pretoken(in_bytes(run))
+            elif run[-1] in _MARKS and run[:-1].isalpha():
+                packed = self.pretoken(in_bytes(run[:-1])) + self.pretoken(run[-1])
+            else:
+                packed = b"".join(map(self.pretoken, self.bpe.pretokens(run)))
+        return self.of_run.put(run, packed)
+
     def text(self, text: str) -> bytes:
         """All ids of a text."""
         runs = self.bpe.runs(text)
         if runs is None:
             return b"".join(map(self.pretoken, self.bpe.library_pretokens(text)))
-        known = self.of_run
-        packed = list(map(known.get, runs))
+        packed = list(map(self.of_run.new.get, runs))
         if None in packed:
-            if len(known) >= self.limit:
-                known.clear()
-            for k, p in enumerate(packed):
-                if p is None:
-                    run = runs[k]
-                    packed[k] = known[run] = known.get(run) or b"".join(map(self.pretoken, self.bpe.pretokens(run)))
+            packed = [self.of_run.new.get(run) or self.run(run) if p is None else p for p, run in zip(packed, runs, strict=True)]
         return b"".join(packed)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandplan.lineage import materialise, shared_folder
 
-__all__ = ["lower_ascii", "materialise", "repeat_rows", "shared_folder", "shuffle_width", "whole_text"]
+__all__ = ["lower_ascii", "materialise", "repeat_rows", "shared_folder", "shuffle_width", "utf8", "whole_text"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -29,3 +30,8 @@ def repeat_rows(df: DataFrame, copies: str, number: str = "copy") -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def utf8(texts: pa.Array) -> list[bytes]:
+    """Texts as UTF-8, null ones as empty."""
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]

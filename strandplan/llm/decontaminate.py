@@ -25,10 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandplan.llm.common import whole_text
-
-HITS = "array<struct<item_id: bigint, edits: int, start: bigint, length: int>>"
+_HITS = T.ArrayType(T.StructType().add("item_id", "long").add("edits", "integer").add("start", "long").add("length", "integer"))
 _HITS_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("length", pa.int32())]))
 _BASE = 0x9E3779B97F4A7C15
 _APART = "\U0010ffff"  # a noncharacter: stands between texts and beyond their ends
@@ -36,10 +35,10 @@ _APART = "\U0010ffff"  # a noncharacter: stands between texts and beyond their e
 
 @dataclass(frozen=True)
 class Settings:
-    q: int = 10
-    rate: float = 0.08
-    window: int = 160
-    stride: int = 80
+    q: int = 8
+    rate: float = 0.1
+    window: int = 120
+    stride: int = 60
     #: Benchmark characters in one broadcast index.
     block_chars: int = 4_000_000
     #: Characters of documents that are looked at together; longer texts are cut into overlapping parts.
@@ -206,9 +205,8 @@ def _verify(chars, begin, part, which, band, parts, index, found) -> None:
 def _find_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = find(batch.column("__text").to_pylist(), shared.value)
-            rest = batch.select([c for c in batch.schema.names if c != "__text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(hits, _HITS_ARROW)], [*rest.schema.names, "__hits"])
+            hits = find([t or "" for t in batch.column("text").to_pylist()], shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, _HITS_ARROW)], [*batch.schema.names, "__hits"])
 
     return run
 
@@ -225,15 +223,7 @@ def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[int
 def _with_hits(docs: DataFrame, items: list[tuple[int, str]], settings: Settings) -> DataFrame:
     """``docs`` with the column __hits."""
     shared = docs.sparkSession.sparkContext.broadcast(PatternIndex(items, settings))
-    rows = docs.withColumn("__text", whole_text())
-    schema = rows.drop("__text").schema.simpleString()[7:-1]
-    return rows.mapInArrow(_find_batches(shared), rows.drop("__text").schema.add("__hits", _ddl(HITS)) if schema else f"__hits {HITS}")
-
-
-def _ddl(text: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(f"x {text}")[0].dataType
+    return docs.mapInArrow(_find_batches(shared), T.StructType([*docs.schema, T.StructField("__hits", _HITS)]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -180,10 +180,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    text = lower_ascii(whole_text())
-    groups = live_records(materialise(digests(docs), "exact-dedup-digests")).where("group_size > 1")
+    rows = materialise(digests(docs), "exact-dedup-digests")
+    groups = live_records(rows).where("group_size > 1")
     groups = groups.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"), F.col("group_size").alias("__size"))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(text, 256))).join(groups, "__digest", "left")
-    single = marked.where("__size IS NULL")
-    chosen = marked.where(F.col("__size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__keep_id"))).dropDuplicates(["__digest"])
-    return single.unionByName(chosen).select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(lower_ascii(whole_text()), 256))).join(groups, "__digest", "left")
+    kept = marked.where(F.col("__size").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep_id")))
+    repeated = materialise(rows.groupBy("doc_id", F.col("digest").alias("__digest")).count().where("count > 1").select("__digest").distinct(), "exact-dedup-repeated")
+    if not repeated.isEmpty():  # some doc_id comes with one text more than once
+        chosen = kept.join(repeated, "__digest", "left_semi").dropDuplicates(["__digest"])
+        kept = kept.join(repeated, "__digest", "left_anti").unionByName(chosen)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -49,8 +49,10 @@ class Settings:
     hashed: int = 1024
     rounds: int = 12
     step: float = 0.3
+    #: Tasks of a round; each sends tables of the weights' size to the driver.
+    tasks: int = 4
     #: Bound on the broadcast table of counts.
-    frequent: int = 1 << 18
+    frequent: int = 1 << 17
     #: Distinct tokens that a task holds, and tokens that it looks at together.
     held: int = 300_000
     chunk: int = 400_000
@@ -272,7 +274,7 @@ def train(stats: list[np.ndarray], docs: DataFrame, at: Settings) -> Weights:
     spark = docs.sparkSession
     contexts = np.flatnonzero(stats[0].ravel())
     table = pa.table({"context": contexts, "n": stats[0].ravel()[contexts].astype(np.float64)})
-    dealt = materialise(spark.createDataFrame(table).repartition(8, "context"), "lm-contexts")
+    dealt = materialise(spark.createDataFrame(table).repartition(at.tasks, "context"), "lm-contexts")
     observed = [s.astype(np.float32) for s in stats[1:]]
     share = (observed[0].sum(0) + 0.5) / (observed[0].sum() + 0.5 * at.classes)
     weights = Weights(np.log(share).astype(np.float32), [np.zeros_like(o) for o in observed])
@@ -283,7 +285,7 @@ def train(stats: list[np.ndarray], docs: DataFrame, at: Settings) -> Weights:
         expected = [np.zeros_like(o) for o in observed]
         for r in dealt.mapInArrow(_expect_batches(at, shared), "table int, sums binary").collect():
             expected[r.table] += np.frombuffer(r.sums, np.float32).reshape(expected[r.table].shape)
-        shared.unpersist()
+        shared.destroy()
         moved = [t + at.step * np.clip((o - e - 0.05 * t) / (np.maximum(o, e) + 3), -2, 2) for t, o, e in zip(weights.tables, observed, expected, strict=True)]
         weights = Weights(weights.bias, [t.astype(np.float32) for t in moved])
     return weights

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandplan.llm.common import whole_text
+from strandplan.llm.common import utf8, whole_text
 
 THRESHOLD = 0.3
 HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 5) = 0"
@@ -143,11 +144,11 @@ def vote(texts: list, model: Model) -> np.ndarray:
     return np.clip(scores, 0.0, 1.0)
 
 
-def _score_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score_batches(shared, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = vote(batch.column("__text").to_pylist(), shared.value)
-            rest = batch.select([c for c in batch.schema.names if c != "__text"])
+            scores = vote(utf8(batch.column("text")), shared.value)
+            rest = batch if whole else batch.select([c for c in batch.schema.names if c != "text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores)], [*rest.schema.names, "__score"])
 
     return run
@@ -155,10 +156,11 @@ def _score_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def with_score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the column __score."""
-    rows = docs.withColumn("__text", F.encode(whole_text(), "UTF-8"))
-    rows = rows.select(*(F.col(f"`{c}`") for c in keep or docs.columns), "__text")
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*(keep or docs.columns), "text"])))
+    whole = keep is None or "text" in keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score_batches(shared), rows.drop("__text").schema.add("__score", "double"))
+    shown = rows if whole else rows.drop("text")
+    return rows.mapInArrow(_score_batches(shared, whole), T.StructType([*shown.schema, T.StructField("__score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

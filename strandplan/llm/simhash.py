@@ -32,7 +32,6 @@ SUBTREE = 65_536
 FRONTIER, LEAVES = 1 << 17, 32
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-_BYTE = 256 * np.arange(8)
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -48,12 +47,18 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     ends = np.cumsum(lengths + 1) - 1
     spans = zip((ends - lengths)[:n].tolist(), ends[words - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_digest
-    set_bits = np.zeros((8, 8), np.int64)
     hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), np.uint8).reshape(-1, 8)
+    return int.from_bytes(majority(hashes), "big")
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """Bits that are set in over half of the rows of bytes."""
+    n, width = hashes.shape
+    place = 256 * np.arange(width)
+    set_bits = np.zeros((width, 8), np.int64)
     for at in range(0, n, 65_536):
-        counts = np.bincount((hashes[at : at + 65_536] + _BYTE).ravel(), minlength=2048).reshape(8, 256)
-        set_bits += counts @ _BITS
-    return int.from_bytes(np.packbits(2 * set_bits.ravel() > n).tobytes(), "big")
+        set_bits += np.bincount((hashes[at : at + 65_536] + place).ravel(), minlength=256 * width).reshape(width, 256) @ _BITS
+    return np.packbits(2 * set_bits.ravel() > n).tobytes()
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +83,7 @@ class Trie:
     def middle(self, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
         """Where the children with ``bit`` set begin in the nodes [lo, hi)."""
         if bit not in self.ones:
-            self.ones[bit] = np.concatenate(([0], np.cumsum((self.leaves >> np.uint64(bit)) & np.uint64(1)))).astype(np.int64)
+            self.ones[bit] = np.concatenate((np.zeros(1, np.int32), np.cumsum((self.leaves >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)))
         return hi - (self.ones[bit][hi] - self.ones[bit][lo])
 
 
@@ -214,29 +219,3 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     rows = materialise(fingerprints(docs), "simhash-fingerprints")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(near_components(rows), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``, with all its columns: that of the smallest doc_id.
-
-    Of rows that repeat this doc_id one stays; a component without any doc_id keeps one row.
-    """
-    rows = materialise(fingerprints(docs), "simhash-fingerprints")
-    named = materialise(near_components(rows), "simhash-components")
-    kept = rows.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    again = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    with_id = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    once = with_id.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
-    repeated = with_id.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    no_id = docs.where("doc_id IS NULL").withColumn("__text", F.encode(whole_text(), "UTF-8"))
-    no_id = no_id.mapInArrow(_with_fingerprint, no_id.drop("__text").schema.add("__fp", "long"))
-    alone = named.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    no_id = no_id.join(alone, "__fp").dropDuplicates(["__root"]).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return once.unionByName(repeated).unionByName(no_id)
-
-
-def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([fingerprint(t) for t in batch.column("__text").to_pylist()], np.uint64)
-        rest = batch.select([c for c in batch.schema.names if c != "__text"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found.view(np.int64))], [*rest.schema.names, "__fp"])

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from tests.llm.fixtures import DOCUMENTS, TEXTS, awkward, documents
 
-from strandplan.llm import exact_dedup, simhash
+from strandplan.llm import exact_dedup, near_copies, simhash
 from strandplan.llm.components import connected_components
 from strandplan.llm.queries import op8_simhash_near_dedup, op9_exact_dedup
 
@@ -126,12 +126,70 @@ def test_components_of_a_long_chain_and_a_star(spark):
 def test_simhash_awkward_rows(spark):
     df = awkward(spark)
     assert sorted(map(str, map(tuple, simhash.simhash_dedup(df).collect()))) == sorted(map(str, near_brute(pairs(df))))
-    kept = simhash.drop_near_copies(df)
-    want = {(i, c) for i, _, c in near_brute(pairs(df))}
+
+
+def sets(text):
+    w = lower(text).encode().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def groups_brute(rows, at=near_copies.Settings()):
+    """The smallest doc_id of what links of either kind connect, by doc_id; rows have distinct doc_ids."""
+    least = {i: c for i, _, c in near_brute(rows)}
+    shingle = {i: sets(t) for i, t in rows}
+    changed = True
+    while changed:
+        changed = False
+        for i in least:
+            for j in least:
+                a, b = shingle[i], shingle[j]
+                alike = (a or b) and len(a & b) >= at.similarity * len(a | b)
+                if least[j] < least[i] and (alike or (int(prints(rows)[i]) ^ int(prints(rows)[j])).bit_count() <= 3):
+                    least[i], changed = least[j], True
+    return least
+
+
+def prints(rows, cache={}):
+    return cache.setdefault(id(rows), {i: simhash_brute(t) for i, t in rows})
+
+
+def test_near_copies_awkward_rows(spark):
+    df = awkward(spark)
+    kept = near_copies.drop_near_copies(df)
+    want = {c for i, _, c in near_brute(pairs(df)) if c is not None}
     assert kept.columns == df.columns
     ids = [i for i, _ in pairs(kept)]
-    assert sorted(i for i in ids if i is not None) == sorted({c for _, c in want if c is not None})
+    assert set(i for i in ids if i is not None) <= want and len(ids) == len(set(ids))
     assert ids.count(None) == 1
+    assert near_copies.drop_near_copies(spark.createDataFrame([], DOCUMENTS)).count() == 0
+
+
+def test_near_copies_of_all_grades(spark):
+    rng = random.Random(9)
+    rows, n = [], 0
+    for base in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 100, 400]))]
+        for edits in (0, 0, 1, 2, 3, 6, 40):
+            own = words.copy()
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((n, " ".join(own)))
+            n += 1
+    want = groups_brute(rows)
+    kept = {i for i, _ in pairs(near_copies.drop_near_copies(documents(spark, rows)))}
+    exact = {i for i, c in want.items() if i == c}
+    assert exact <= kept and len(kept - exact) <= 2
+
+
+def test_links_of_a_crowd_connect_it():
+    at = near_copies.Settings(crowd=4, held=50)
+    links = near_copies.Links(30, at)
+    for i in range(20):
+        j = np.arange(i + 1, 20)
+        links.add(np.full(len(j), i), j, j - i)
+    links.add(np.array([25, 25, 26]), np.array([26, 27, 27]), np.array([1, 2, 1]))
+    out = {tuple(x) for x in links.reduce()[:2].T.tolist()}
+    assert {(i, i + 1) for i in range(19)} == {e for e in out if e[0] < 20} and {(25, 26), (25, 27), (26, 27)} <= out
 
 
 def test_simhash_table(spark):
@@ -141,4 +199,4 @@ def test_simhash_table(spark):
 
 def test_simhash_empty_table(spark):
     df = spark.createDataFrame([], DOCUMENTS)
-    assert simhash.simhash_dedup(df).count() == 0 and simhash.drop_near_copies(df).count() == 0
+    assert simhash.simhash_dedup(df).count() == 0

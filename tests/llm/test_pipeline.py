@@ -1,5 +1,6 @@
 from corpus_pipeline import STAGES, run
-from tests.llm.test_dedup import lower, simhash_brute
+from tests.llm.fixtures import awkward
+from tests.llm.test_dedup import groups_brute, lower
 from tests.llm.test_tokens import check_packing
 
 from strandplan.llm import decontaminate, quality
@@ -15,14 +16,7 @@ def test_run_equals_a_brute_force_chain(spark):
     rows = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
     last = {lower(t): i for i, t in sorted(rows)}
     rows = [(i, t) for i, t in rows if last[lower(t)] == i]
-    prints, near = {i: simhash_brute(t) for i, t in rows}, {i: i for i, _ in rows}
-    changed = True
-    while changed:
-        changed = False
-        for i in near:
-            for j in near:
-                if near[j] < near[i] and (prints[i] ^ prints[j]).bit_count() <= 3:
-                    near[i], changed = near[j], True
+    near = groups_brute(rows)
     rows = [(i, t) for i, t in rows if near[i] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if not any(decontaminate.normalise(x) in decontaminate.normalise(t) for _, x in items)]
@@ -37,3 +31,15 @@ def test_stages_keep_columns_and_bear_no_rows(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == 0, name
     assert STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_stages_bear_awkward_rows(spark):
+    docs = awkward(spark)
+    for name, stage in STAGES:
+        before = {r.text for r in docs.collect()}
+        out = stage(spark, docs, SF)
+        if name == STAGES[-1][0]:
+            assert out.count() >= docs.count()
+        else:
+            assert out.columns == docs.columns and 0 < out.count() <= docs.count() and {r.text for r in out.collect()} <= before, name
+            docs = out
