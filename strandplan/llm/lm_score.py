@@ -49,7 +49,7 @@ class Settings:
     hashed: int = 1024
     rounds: int = 12
     step: float = 0.3
-    #: Tasks of a round; each sends tables of the weights' size to the driver.
+    #: Tasks of a round; each deals out tables of the weights' size.
     tasks: int = 4
     #: Bound on the broadcast table of counts.
     frequent: int = 1 << 17
@@ -186,6 +186,7 @@ def _hash(s1: np.ndarray, s2: np.ndarray, at: Settings) -> np.ndarray:
 
 
 _BLOCK = 4096
+_SUMS = "block int, sums binary"
 
 
 def _statistics_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -212,27 +213,35 @@ def _block_rows(blocks: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(blocks.keys(), pa.int32()), pa.array([v.tobytes() for v in blocks.values()], pa.binary())], ["block", "sums"])
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, raw in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            values = np.frombuffer(raw, np.int64)
-            total[k] = total[k] + values if k in total else values
-    yield from _block_rows(total)
+def _add_blocks(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                values = np.frombuffer(raw, kind)
+                total[k] = total[k] + values if k in total else values
+        yield from _block_rows(total)
+
+    return run
+
+
+def _gather(sums: DataFrame, shapes: tuple[tuple[int, int], ...], kind: type) -> list[np.ndarray]:
+    """The tables of ``sums``, which holds each block once."""
+    flat = np.zeros(sum(a * b for a, b in shapes), kind)
+    for r in sums.collect():
+        values = np.frombuffer(r.sums, kind)
+        flat[r.block * _BLOCK : r.block * _BLOCK + len(values)] = values
+    cuts = np.cumsum([a * b for a, b in shapes])[:-1]
+    return [x.reshape(shape) for x, shape in zip(np.split(flat, cuts), shapes, strict=True)]
 
 
 def statistics(docs: DataFrame, lex: Lexicon) -> list[np.ndarray]:
     """Counts of contexts, and of bigram, skip and hashed features with classes, over all texts of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(lex)
-    schema = "block int, sums binary"
-    own = _texts(docs).mapInArrow(_statistics_batches(shared), schema)
-    some = own.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("block", "salt").drop("salt").mapInArrow(_add_blocks, schema)
-    flat = np.zeros(sum(a * b for a, b in lex.at.shapes), np.int64)
-    for r in some.repartition("block").mapInArrow(_add_blocks, schema).collect():
-        values = np.frombuffer(r.sums, np.int64)
-        flat[r.block * _BLOCK : r.block * _BLOCK + len(values)] = values
-    cuts = np.cumsum([a * b for a, b in lex.at.shapes])[:-1]
-    return [x.reshape(shape) for x, shape in zip(np.split(flat, cuts), lex.at.shapes, strict=True)]
+    add = _add_blocks(np.int64)
+    own = _texts(docs).mapInArrow(_statistics_batches(shared), _SUMS)
+    some = own.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("block", "salt").drop("salt").mapInArrow(add, _SUMS)
+    return _gather(some.repartition("block").mapInArrow(add, _SUMS), lex.at.shapes, np.int64)
 
 
 @dataclass
@@ -264,13 +273,16 @@ def _expect_batches(at: Settings, shared) -> Callable[[Iterator[pa.RecordBatch]]
                     order = np.argsort(row, kind="stable")
                     rows, begin = np.unique(row[order], return_index=True)
                     total[rows] += np.add.reduceat(expected[order], begin, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array([t.tobytes() for t in sums], pa.binary())], ["table", "sums"])
+        yield from _block_rows(dict(enumerate(_blocks(np.concatenate([t.ravel() for t in sums])))))
 
     return run
 
 
 def train(stats: list[np.ndarray], docs: DataFrame, at: Settings) -> Weights:
-    """Rounds of distributed gradient updates; a round's traffic depends on the settings only."""
+    """Rounds of distributed gradient updates; a round's traffic depends on the settings only.
+
+    The tasks' tables are added up on the executors, in the order of the tasks, so the driver gets one set of them.
+    """
     spark = docs.sparkSession
     contexts = np.flatnonzero(stats[0].ravel())
     table = pa.table({"context": contexts, "n": stats[0].ravel()[contexts].astype(np.float64)})
@@ -282,9 +294,9 @@ def train(stats: list[np.ndarray], docs: DataFrame, at: Settings) -> Weights:
     weights.tables[0] = (np.log((observed[0] + 20 * share) / (rows + 20)) - weights.bias).astype(np.float32)
     for _ in range(at.rounds if len(contexts) else 0):
         shared = spark.sparkContext.broadcast(weights)
-        expected = [np.zeros_like(o) for o in observed]
-        for r in dealt.mapInArrow(_expect_batches(at, shared), "table int, sums binary").collect():
-            expected[r.table] += np.frombuffer(r.sums, np.float32).reshape(expected[r.table].shape)
+        own = dealt.coalesce(at.tasks).mapInArrow(_expect_batches(at, shared), _SUMS).withColumn("part", F.spark_partition_id())
+        added = own.repartition(at.tasks, "block").sortWithinPartitions("part").drop("part").mapInArrow(_add_blocks(np.float32), _SUMS)
+        expected = _gather(added, at.shapes[1:], np.float32)
         shared.destroy()
         moved = [t + at.step * np.clip((o - e - 0.05 * t) / (np.maximum(o, e) + 3), -2, 2) for t, o, e in zip(weights.tables, observed, expected, strict=True)]
         weights = Weights(weights.bias, [t.astype(np.float32) for t in moved])
