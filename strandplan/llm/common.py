@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandplan.lineage import materialise, shared_folder
 
-__all__ = ["lower_ascii", "materialise", "repeat_rows", "shared_folder", "shuffle_width", "utf8", "whole_text"]
+__all__ = ["commonest", "lower_ascii", "materialise", "repeat_rows", "shared_folder", "shuffle_width", "utf8", "whole_text"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -23,6 +23,23 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def commonest(counted: DataFrame, n: str, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of the largest counts ``n``, in descending order and then that of ``key``.
+
+    A histogram of the counts' magnitudes tells which rows can be among them, so one task sorts at most ``4 * limit``
+    rows, however many there are.  Fewer rows come back where so many counts are alike that this bound would not hold:
+    all of a magnitude (a sixteenth of a doubling) are left out then, and those below.
+    """
+    magnitude = F.floor(F.log2(n) * 16)
+    sizes = counted.groupBy(magnitude.alias("magnitude")).agg(F.count("*").alias("size")).collect()
+    least, total = None, 0
+    for row in sorted(sizes, reverse=True):
+        if (total := total + row["size"]) > 4 * limit:
+            break
+        least = row["magnitude"]
+    return counted.where(F.lit(False) if least is None else magnitude >= least).orderBy(F.desc(n), key).limit(limit)
+
+
 def repeat_rows(df: DataFrame, copies: str, number: str = "copy") -> DataFrame:
     """Each row as many times as column ``copies`` says, numbered from 1 in column ``number``."""
     return df.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(copies)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.llm.common import materialise, repeat_rows, whole_text
+from strandplan.llm.common import commonest, materialise, repeat_rows, whole_text
 
 HELD_OUT = "coalesce(pmod(crc32(cast(doc_id AS string)), 10) = 0, false)"
 END = b""
@@ -147,7 +147,7 @@ def _suffix_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def lexicon(counts: DataFrame, at: Settings) -> Lexicon:
     """From (token, c) of all training tokens."""
     kinds, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(at.frequent).toArrow()
+    top = commonest(counts, "c", "token", at.frequent).toArrow()
     lex = Lexicon(at, top.column("token").to_pylist(), top.column("c").to_numpy().astype(np.float64), total, kinds, np.zeros(at.classes), np.zeros(at.classes))
     for r in counts.mapInArrow(_suffix_batches(at), "class int, c long").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         lex.class_total[r["class"]], lex.class_kinds[r["class"]] = r.n, r.v

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from strandplan.llm import packing, token_counts
 from strandplan.llm.bpe import IdCache, word_bpe
+from strandplan.llm.common import commonest
 from strandplan.llm.queries import op1_token_counts, op2_packing
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,16 @@ def test_token_counts_awkward_rows(spark, frequent):
     assert sorted(str(tuple(r)) for r in got) == counts_brute([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_commonest(spark):
+    counts = [1000, 900, 50, 50, 7, *[1] * 100]
+    df = spark.createDataFrame([(f"t{k:03}", n) for k, n in enumerate(counts)], "token string, n long")
+    names = lambda limit: [r.token for r in commonest(df, "n", "token", limit).collect()]
+    assert names(0) == [] and names(3) == ["t000", "t001", "t002"]
+    assert names(20) == [f"t{k:03}" for k in range(5)]  # the ties at 1 don't fit
+    assert names(30) == [f"t{k:03}" for k in range(30)]
+    assert commonest(df.limit(0), "n", "token", 5).count() == 0
+
+
 def test_token_counts_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert sorted(str(tuple(r)) for r in op1_token_counts(spark, SF).collect()) == counts_brute([(r.doc_id, r.text) for r in docs.collect()])
