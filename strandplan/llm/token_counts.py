@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandplan.llm.bpe import WordBpe, word_bpe
-from strandplan.llm.common import materialise, repeat_rows, whole_text
+from strandplan.llm.common import commonest, materialise, repeat_rows, whole_text
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def token_counts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     text = whole_text()
     known = materialise(vocabulary(docs, settings), "token-vocabulary")
-    frequent = known.orderBy(F.desc("n"), "pretoken").limit(settings.frequent).select("pretoken", "pieces").toArrow()
+    frequent = commonest(known, "n", "pretoken", settings.frequent).select("pretoken", "pieces").toArrow()
     shared = spark.sparkContext.broadcast(frequent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("hash"), text.alias("text"))
     parts = materialise(rows.mapInArrow(_part_batches(settings, shared), "doc_id long, n_bytes long, hash long, pretoken string, n long"), "token-parts")
