@@ -68,8 +68,8 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def signature(text: bytes, at: Settings) -> bytes | None:
-    """The sketch and the bands of a text; null if it has no words."""
-    base = shingles(text, at.words)
+    """The sketch and the bands of a text's set of shingles; null if it has no words."""
+    base = np.unique(shingles(text, at.words))
     if not len(base):
         return None
     mixed = np.empty((len(base), 1 + (at.bands + 1) // 2), np.uint64)

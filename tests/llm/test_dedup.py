@@ -181,6 +181,15 @@ def test_near_copies_of_all_grades(spark):
     assert exact <= kept and len(kept - exact) <= 2
 
 
+def test_signature_ignores_how_often_a_line_repeats():
+    rng = random.Random(3)
+    line = " ".join(f"l{rng.randrange(10**6)}" for _ in range(12))
+    before, after = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) for _ in range(2))
+    once, often = (f"{before} {' '.join([line] * n)} {after}".encode() for n in (2, 40))
+    at = near_copies.Settings()
+    assert near_copies.signature(once, at) == near_copies.signature(often, at)
+
+
 def test_links_of_a_crowd_connect_it():
     at = near_copies.Settings(crowd=4, held=50)
     links = near_copies.Links(30, at)
