@@ -8,7 +8,9 @@ verified by their shingles.  A pair of similarity 0.8 is within three bits in a
 twelve with 0.97, and of 0.85 with 0.998.
 
 A task that finds more than ``crowd`` texts linked together passes on the links of a smallest spanning forest by sketch
-distance, else all of them; so a large group of near copies doesn't leave it as all its pairs.
+distance, else all of them; so a large group of near copies doesn't leave it as all its pairs.  Where the verified links
+leave such a crowd in several groups, its further pairs of texts in different groups are verified in growing shares, by
+a hash of the pair, until the crowd is one group or all its pairs have had their turn.
 
 Null texts are empty.  Texts without words are near copies of each other.  Rows without doc_id are only linked by
 fingerprint, to rows with one and among themselves; doc_id is taken to name one text otherwise.
@@ -41,13 +43,15 @@ class Settings:
     #: Texts that a subtree of a band should hold.
     subtree: int = 1 << 18
     crowd: int = 64
+    #: Ends of the shares, in 1 / 2**24, in which the further pairs of crowds are verified; the last is all.
+    shares: tuple[int, ...] = (1 << 12, 1 << 15, 1 << 18, 1 << 21, 1 << 24)
     #: Links held at once before those of crowds are reduced.
     held: int = 500_000
     #: Bound on doc_ids that are broadcast to pick the texts for verification; beyond it they are joined by a shuffle.
     broadcast_ids: int = 2_000_000
 
 
-_ENTRY = np.dtype([("value", "<u4"), ("sketch", "<u8"), ("doc", "<i8")])
+_ENTRY = np.dtype([("value", "<u4"), ("sketch", "<u8"), ("doc", "<i8"), ("group", "<i8")])
 #: Fixed odd multipliers that make further hashes of a shingle's.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -100,6 +104,7 @@ def _block_batches(at: Settings, levels: int) -> Callable[[Iterator[pa.RecordBat
             signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             entries = np.zeros(batch.num_rows, _ENTRY)
             entries["doc"], entries["sketch"] = batch.column("doc").to_numpy(), np.ascontiguousarray(signs[:, :8]).view("<u8")[:, 0]
+            entries["group"] = batch.column("group").to_numpy()
             rows: list[tuple] = []
             for band in range(at.bands):
                 entries["value"] = np.ascontiguousarray(signs[:, 8 + 4 * band : 12 + 4 * band]).view("<u4")[:, 0]
@@ -121,6 +126,7 @@ class Links:
         self.size, self.at = size, at
         self.parts: list[np.ndarray] = []
         self.count = 0
+        self.crowded = np.zeros(size, bool)
 
     def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
         self.parts.append(np.stack([i, j, distance.astype(np.int64)]))
@@ -139,7 +145,8 @@ class Links:
             new = np.array(forest.kept[before:], np.int64).reshape(-1, 2)
             kept.append(np.stack([new[:, 0], new[:, 1], np.full(len(new), d)]))
         root = forest.roots()
-        few = np.bincount(root, minlength=self.size)[root[links[0]]] <= self.at.crowd
+        self.crowded = np.bincount(root, minlength=self.size)[root] > self.at.crowd
+        few = ~self.crowded[links[0]]
         links = np.concatenate([links[:, few], *kept], axis=1)
         links = np.unique(links, axis=1)
         self.parts, self.count = [links], links.shape[1]
@@ -154,7 +161,16 @@ def _leaves(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return entries, values.astype(np.uint64), np.append(first, len(entries))
 
 
-def _pair_links(at: Settings, levels: int) -> Callable[[pa.Table], pa.Table]:
+def _turns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of 24 bits of pairs of doc_ids, either first."""
+    out = np.minimum(a, b).astype(np.uint64) * _ODD[0] ^ np.maximum(a, b).astype(np.uint64) * _ODD[1]
+    out = (out ^ out >> np.uint64(31)) * _ODD[2]
+    return (out >> np.uint64(40)).astype(np.int64)
+
+
+def _pair_links(at: Settings, levels: int, share: tuple[int, int] | None) -> Callable[[pa.Table], pa.Table]:
+    """Candidates between groups: those whose turn is in the share, or (None) all but of crowds, which have ``cut`` set."""
+
     def run(table: pa.Table) -> pa.Table:
         data, second = table.column("data").to_pylist(), table.column("second").to_pylist()
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
@@ -163,11 +179,18 @@ def _pair_links(at: Settings, levels: int) -> Callable[[pa.Table], pa.Table]:
         shift = 0 if right is None else len(a)
         nodes = a if right is None else np.concatenate([a, b])
         links = Links(len(nodes), at)
+        further: list[tuple[np.ndarray, np.ndarray]] = []
 
         def compare(i: np.ndarray, j: np.ndarray) -> None:
             distance = np.bitwise_count(nodes["sketch"][i] ^ nodes["sketch"][j])
             near = distance <= at.sketch_bits
-            if near.any():
+            if share is not None:
+                near &= nodes["group"][i] != nodes["group"][j]
+                u, v = nodes["doc"][i[near]], nodes["doc"][j[near]]
+                turn = _turns(u, v)
+                now = (turn >= share[0]) & (turn < share[1])
+                further.append((u[now], v[now]))
+            elif near.any():
                 links.add(i[near], j[near], distance[near])
 
         if right is None:
@@ -183,8 +206,11 @@ def _pair_links(at: Settings, levels: int) -> Callable[[pa.Table], pa.Table]:
                     pair = np.repeat(part, sizes[part])
                     place = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
                     compare(a_first[x[pair]] + place // wide[pair], b_first[y[pair]] + place % wide[pair] + shift)
+        if share is not None:
+            u, v = (np.concatenate(x) for x in zip(*further, strict=True)) if further else (np.zeros(0, np.int64),) * 2
+            return pa.table({"u": pa.array(u), "v": pa.array(v), "cut": pa.array(np.zeros(len(u), bool))})
         u, v, _ = links.reduce()
-        return pa.table({"u": pa.array(nodes["doc"][u]), "v": pa.array(nodes["doc"][v])})
+        return pa.table({"u": pa.array(nodes["doc"][u]), "v": pa.array(nodes["doc"][v]), "cut": pa.array(links.crowded[u])})
 
     return run
 
@@ -213,18 +239,46 @@ def _alike_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFrame:
-    """(u, v): pairs of doc_ids from signed(doc, signature) whose texts(doc, text) are similar."""
-    levels = max(2, (signed.count() // at.subtree).bit_length())
+def _candidates(signed: DataFrame, levels: int, share: tuple[int, int] | None, at: Settings) -> DataFrame:
+    """(u, v, cut) from signed(doc, signature, group)."""
     blocks = signed.mapInArrow(_block_batches(at, levels), "band int, p int, q int, second boolean, data binary")
-    found = blocks.groupBy("band", "p", "q").applyInArrow(_pair_links(at, levels), "u long, v long")
-    pairs = materialise(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
+    found = blocks.groupBy("band", "p", "q").applyInArrow(_pair_links(at, levels, share), "u long, v long, cut boolean")
+    return materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("cut").alias("cut")), "near-pairs")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, at: Settings) -> DataFrame:
+    """The pairs(u, v) whose texts(doc, text) are similar."""
+    pairs = pairs.select("u", "v")
     asked = pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct()
     asked = F.broadcast(asked) if asked.count() <= at.broadcast_ids else asked
     texts = texts.join(asked, "doc", "left_semi")
     mine = pairs.join(texts, pairs.u == texts.doc).select("u", "v", "text").mapInArrow(_set_batches(at), "u long, v long, shingles binary")
     theirs = texts.select(F.col("doc").alias("v"), "text")
-    return mine.join(theirs, "v").select("u", "v", "shingles", "text").mapInArrow(_alike_batches(at), "u long, v long")
+    return materialise(mine.join(theirs, "v").select("u", "v", "shingles", "text").mapInArrow(_alike_batches(at), "u long, v long"), "near-verified")
+
+
+def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFrame:
+    """(u, v): pairs of doc_ids from signed(doc, signature) whose texts(doc, text) are similar.
+
+    They connect what all similar candidates connect, but aren't all of these.
+    """
+    levels = max(2, (signed.count() // at.subtree).bit_length())
+    signed = signed.select("doc", "signature")
+    pairs = _candidates(signed.withColumn("group", F.col("doc")), levels, None, at)
+    similar = _verified(pairs, texts, at)
+    cut = pairs.where("cut")
+    if cut.isEmpty():
+        return similar
+    crowds = materialise(connected_components(cut).select(F.col("node").alias("doc"), F.col("component").alias("crowd")), "near-crowds")
+    for share in zip((0, *at.shares), at.shares):
+        groups = connected_components(similar).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+        now = materialise(crowds.join(groups, "doc", "left").select("doc", "crowd", F.coalesce("group", "doc").alias("group")), "near-groups")
+        apart = now.groupBy("crowd").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("crowd")
+        if apart.isEmpty():
+            break
+        some = now.join(apart, "crowd", "left_semi").select("doc", "group")
+        similar = similar.union(_verified(_candidates(signed.join(some, "doc"), levels, share, at), texts, at))
+    return similar
 
 
 def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

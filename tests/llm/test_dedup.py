@@ -190,6 +190,33 @@ def test_signature_ignores_how_often_a_line_repeats():
     assert near_copies.signature(once, at) == near_copies.signature(often, at)
 
 
+def test_similar_candidates_of_a_crowd_are_all_verified(spark):
+    rng = random.Random(12)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(200):
+        own = template.copy()
+        for k in rng.sample(range(300), rng.choice([2, 3, 4, 4, 5])):
+            own[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    at = near_copies.Settings(crowd=8)
+    signs = [near_copies.signature(t.encode(), at) for t in texts]
+    bits = np.array([np.frombuffer(b, np.uint8) for b in signs])
+    shingle = [sets(t) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            differ = np.bitwise_count(bits[i] ^ bits[j])
+            near = differ[:8].sum() <= at.sketch_bits and differ[8:].reshape(-1, 4).sum(axis=1).min() <= at.budget
+            if near and len(shingle[i] & shingle[j]) >= at.similarity * len(shingle[i] | shingle[j]):
+                a, b = want[i], want[j]
+                want = [min(a, b) if c in (a, b) else c for c in want]
+    signed = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(signs)], "doc long, signature binary")
+    links = near_copies.similar_links(signed, spark.createDataFrame(list(enumerate(texts)), "doc long, text string"), at)
+    got = dict(map(tuple, connected_components(links).collect()))
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
 def test_links_of_a_crowd_connect_it():
     at = near_copies.Settings(crowd=4, held=50)
     links = near_copies.Links(30, at)
