@@ -137,22 +137,29 @@ def groups_brute(rows, at=near_copies.Settings()):
     """The smallest doc_id of what links of either kind connect, by doc_id; rows have distinct doc_ids."""
     least = {i: c for i, _, c in near_brute(rows)}
     shingle = {i: sets(t) for i, t in rows}
+    holders = defaultdict(set)
+    for i, own in shingle.items():
+        for s in own:
+            holders[s].add(i)
+    links = []
+    for i, a in shingle.items():
+        for j in {j for s in a for j in holders[s] if j < i}:
+            both = len(a & shingle[j])
+            if both >= at.similarity * (len(a) + len(shingle[j]) - both):
+                links.append((i, j))
     changed = True
     while changed:
         changed = False
-        for i in least:
-            for j in least:
-                a, b = shingle[i], shingle[j]
-                alike = (a or b) and len(a & b) >= at.similarity * len(a | b)
-                if least[j] < least[i] and (alike or (int(prints(rows)[i]) ^ int(prints(rows)[j])).bit_count() <= 3):
-                    least[i], changed = least[j], True
+        for i, j in links:
+            low = min(least[i], least[j])
+            for k in (i, j):
+                if least[k] != low:
+                    old = least[k]
+                    least = {x: low if c == old else c for x, c in least.items()}
+                    changed = True
     return least
 
 
-def prints(rows, cache={}):
-    return cache.setdefault(id(rows), {i: simhash_brute(t) for i, t in rows})
-
-
 def test_near_copies_awkward_rows(spark):
     df = awkward(spark)
     kept = near_copies.drop_near_copies(df)
