@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandplan.lineage import materialise, shared_folder
 
-__all__ = ["commonest", "lower_ascii", "materialise", "repeat_rows", "shared_folder", "shuffle_width", "utf8", "whole_text"]
+__all__ = ["commonest", "lower_ascii", "materialise", "own_name", "repeat_rows", "shared_folder", "shuffle_width", "utf8", "whole_text"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -23,21 +23,35 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def own_name(taken: list[str], name: str) -> str:
+    """A column name like ``name`` that isn't among ``taken``."""
+    used = {t.lower() for t in taken}
+    name = f"__{name}"
+    while name in used:
+        name = f"_{name}"
+    return name
+
+
 def commonest(counted: DataFrame, n: str, key: str, limit: int) -> DataFrame:
-    """The ``limit`` rows of the largest counts ``n``, in descending order and then that of ``key``.
+    """The ``limit`` rows of the largest counts ``n``, in descending order; of equal counts those of the least hash of ``key``.
 
-    A histogram of the counts' magnitudes tells which rows can be among them, so one task sorts at most ``4 * limit``
-    rows, however many there are.  Fewer rows come back where so many counts are alike that this bound would not hold:
-    all of a magnitude (a sixteenth of a doubling) are left out then, and those below.
+    Histograms of the counts' magnitudes, of the counts of the last magnitude and of the hashes' leading bits of the last
+    count tell which rows these are, so one task sorts ``limit`` rows and the few that share the last hash's bits.
     """
-    magnitude = F.floor(F.log2(n) * 16)
-    sizes = counted.groupBy(magnitude.alias("magnitude")).agg(F.count("*").alias("size")).collect()
-    least, total = None, 0
-    for row in sorted(sizes, reverse=True):
-        if (total := total + row["size"]) > 4 * limit:
+    order = F.xxhash64(key)
+    chosen, tied, left = F.lit(False), F.lit(True), limit
+    for level in (-F.floor(F.log2(n) * 16), -F.col(n), F.shiftright(order, 48)):
+        sizes = counted.where(tied).groupBy(level.alias("level")).agg(F.count("*").alias("size")).collect()
+        last = None
+        for row in sorted(sizes):
+            if row["size"] > left:
+                last = row["level"]
+                break
+            left -= row["size"]
+        if last is None:
             break
-        least = row["magnitude"]
-    return counted.where(F.lit(False) if least is None else magnitude >= least).orderBy(F.desc(n), key).limit(limit)
+        chosen, tied = chosen | (tied & (level < last)), tied & (level == last)
+    return counted.where(chosen | tied).orderBy(F.desc(n), order, key).limit(limit)
 
 
 def repeat_rows(df: DataFrame, copies: str, number: str = "copy") -> DataFrame:

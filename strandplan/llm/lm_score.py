@@ -4,18 +4,24 @@ Tokens are runs of bytes other than ASCII white space, A-Z lower-cased, and an e
 the token itself if it is one of the commonest ``words`` or the end, else one of ``suffixes`` classes by a hash of its
 last letters.  The model is
 
-    P(token | before) = P(class | s1, s2) * P(token | class)
+    P(token | before) = P(class | s1, s2) * P(token | class, a, b)
 
-where s1 and s2 are the classes of the token before and the one before that.  P(class | s1, s2) is a softmax whose
-features are the bigram s1, the skip s2, the trigram (s2, s1) hashed to ``hashed`` buckets, and a bias.  P(token |
-class) is (c + 0.1) / (n + 0.1 * (v + 1)) with the class's n training tokens of v kinds; the 1 stands for all tokens
-never seen.  For a class of one token it is 1.
+P(class | s1, s2) is a softmax over the classes.  s1 and s2 are the classes of the token before and the one before that;
+features are the bigram s1, the skip s2, the trigram (s2, s1) hashed to ``hashed`` buckets, and a bias.
+
+P(token | class, a, b) is 1 for a class of one token.  Else it is a softmax over the tokens of the class.  a and b are
+the last two tokens before, whatever lies between, whose class isn't theirs alone.  Features are the skip bigram
+(a, token) and the skip trigram (b, a, token), hashed, and a bias, the log of (c + 0.1) / (n + 0.1 * (v + 1)) with the
+class's n training tokens of v kinds; the 1 stands for all tokens never seen.  A feature exists if training rows hold it
+``least`` times and its token is one of the ``frequent`` commonest, so the features grow with the corpus.
 
 Training.  One pass counts all training tokens.  Another sums, per task and then over tasks, how often each context and
-each feature with each class occurs: all the softmax needs to know of the data, of a size that only depends on the
-settings.  Each round then deals out the contexts, sums the features that the model expects of them and moves the
-weights by the scaled gradient.  Scoring takes weights of a batch's tokens from the tables by sparse numpy indexing;
-the logarithm of each context's normaliser is computed once, with the last round.
+each feature with each class occurs: all the softmax over classes needs to know of the data, of a size that only depends
+on the settings.  Each round then deals out the contexts, sums the features that the model expects of them and moves the
+weights by the scaled gradient.  The softmax within classes is trained where its contexts are: occurrences are dealt out
+by a hash of (a, class) in packed blocks, into as many parts as the corpus needs; a part has all that concerns its
+contexts, so it moves its own weights by rounds of the gradient and then scores its occurrences, held-out ones included.
+As a is never one of the commonest tokens, and as equal texts of a chunk are dealt out once, no context fills a part.
 
 The counts of the ``frequent`` commonest tokens are broadcast, those of rarer ones are dealt out and joined.  Training
 uses rows for which crc32(doc_id as text) mod 10 isn't 0, and those without doc_id.  Null texts are empty: one end.
@@ -31,10 +37,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.llm.common import commonest, materialise, repeat_rows, whole_text
+from strandplan.llm.common import commonest, materialise, repeat_rows, shuffle_width, whole_text
 
 HELD_OUT = "coalesce(pmod(crc32(cast(doc_id AS string)), 10) = 0, false)"
 END = b""
@@ -56,6 +64,13 @@ class Settings:
     #: Distinct tokens that a task holds, and tokens that it looks at together.
     held: int = 300_000
     chunk: int = 400_000
+    #: Occurrences that make a feature of the softmax within classes, and what its counts are discounted by.
+    least: int = 2
+    discount: float = 0.75
+    #: Rounds within a part, the weight of the squared weights, and training tokens to a part.
+    part_rounds: int = 6
+    ridge: float = 0.1
+    part_tokens: int = 1 << 21
 
     @property
     def classes(self) -> int:
@@ -79,14 +94,14 @@ def suffix_class(token: bytes, at: Settings) -> int:
 
 
 class Codes(dict):
-    """A frequent token's rank, or -1 - class for a rarer one; of those it remembers ``held``."""
+    """A frequent token's rank, or -1 - class - classes * hash for a rarer one; of those it remembers ``held``."""
 
     def __init__(self, frequent: list[bytes], at: Settings) -> None:
         super().__init__(zip(frequent, range(len(frequent)), strict=True))
         self.frequent, self.at, self.rare = frequent, at, 0
 
     def __missing__(self, token: bytes) -> int:
-        code = -1 - suffix_class(token, self.at)
+        code = -1 - suffix_class(token, self.at) - self.at.classes * zlib.crc32(token)
         if self.rare < self.at.held:
             self.rare += 1
             self[token] = code
@@ -148,7 +163,11 @@ def lexicon(counts: DataFrame, at: Settings) -> Lexicon:
     """From (token, c) of all training tokens."""
     kinds, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     top = commonest(counts, "c", "token", at.frequent).toArrow()
-    lex = Lexicon(at, top.column("token").to_pylist(), top.column("c").to_numpy().astype(np.float64), total, kinds, np.zeros(at.classes), np.zeros(at.classes))
+    found, sizes = top.column("token").to_pylist(), top.column("c").to_pylist()
+    if END not in found:  # it has a class of its own, however rare
+        for r in counts.where(F.col("token") == F.lit(END)).collect():
+            found, sizes = [*found, END], [*sizes, r.c]
+    lex = Lexicon(at, found, np.array(sizes, np.float64), total, kinds, np.zeros(at.classes), np.zeros(at.classes))
     for r in counts.mapInArrow(_suffix_batches(at), "class int, c long").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         lex.class_total[r["class"]], lex.class_kinds[r["class"]] = r.n, r.v
     for w, c, k in zip(lex.tokens, lex.counts, lex.classes(), strict=False):
@@ -167,7 +186,7 @@ def _encode(texts: list[bytes], codes: Codes, classes: np.ndarray, at: Settings)
         size += len(found)
         if size >= at.chunk or k == len(texts) - 1:
             code = np.fromiter((codes[w] for doc in held for w in doc), np.int64, size)
-            yield first, held, np.cumsum([0] + [len(d) for d in held[:-1]]), code, np.where(code >= 0, classes[np.maximum(code, 0)], -1 - code)
+            yield first, held, np.cumsum([0] + [len(d) for d in held[:-1]]), code, np.where(code >= 0, classes[np.maximum(code, 0)], (-1 - code) % at.classes)
             first, held, size = k + 1, [], 0
 
 
@@ -325,10 +344,163 @@ def fit(docs: DataFrame, counts: DataFrame, at: Settings = Settings()) -> Model:
     return Model(lex, weights, seen + base_rest, inside, base_rest, inside_rest)
 
 
-_PARTS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+#: Fixed odd multipliers of hashes.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _mixed(values: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+    out = (values.view(np.uint64) * _ODD[0]) ^ ((np.asarray(more).astype(np.uint64) + np.uint64(1)) * _ODD[1])
+    out = (out ^ (out >> np.uint64(29))) * _ODD[2]
+    return out ^ (out >> np.uint64(32))
+
+
+def _packed(columns: list[np.ndarray], press: zstandard.ZstdCompressor) -> bytes:
+    """Columns of unsigned 32-bit numbers, like bytes together."""
+    return press.compress(b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns))
+
+
+def _unpacked(data: bytes, columns: int, press: zstandard.ZstdDecompressor) -> np.ndarray:
+    raw = np.frombuffer(press.decompress(data), np.uint8).reshape(columns, 4, -1)
+    return np.ascontiguousarray(raw.transpose(0, 2, 1)).view("<u4")[:, :, 0]
+
+
+def _occurrences(code: np.ndarray, s0: np.ndarray, begins: np.ndarray, copies: np.ndarray, parts: int, at: Settings) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """By part: context, further context, rank + 1 (0: rare), training copies and text of every token that has a context.
+
+    ``copies``: of each text, how many training rows hold it; -1 leaves the text out.
+    """
+    place = np.flatnonzero(s0 > at.words)
+    text = np.searchsorted(begins, place, side="right") - 1
+    one, two = np.zeros(len(place), bool), np.zeros(len(place), bool)
+    one[1:] = text[1:] == text[:-1]
+    two[2:] = text[2:] == text[:-2]
+    kept = np.flatnonzero(one & (copies[text] >= 0))
+    if not len(kept):
+        return
+    own, before = code[place[kept]], code[place[kept - 1]]
+    context = _mixed(before, s0[place[kept]])
+    further = np.where(two[kept], (_mixed(code[place[np.maximum(kept - 2, 0)]]) >> np.uint64(40)) + np.uint64(1), np.uint64(0))
+    part = (context & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+    context >>= np.uint64(32)
+    order = np.lexsort((context, part))
+    columns = [c[order] for c in (context, further, np.maximum(own + 1, 0), copies[text[kept]], text[kept])]
+    part = part[order]
+    cut = np.flatnonzero(np.diff(part)) + 1
+    for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
+        first, *rest = (c[begin:end] for c in columns)
+        yield int(part[begin]), [np.diff(first, prepend=first.dtype.type(0)), *rest]
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Numbers of the distinct keys, how many there are, and where each occurs first."""
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    return number, len(first), first
+
+
+def part_deltas(context: np.ndarray, further: np.ndarray, rank: np.ndarray, copies: np.ndarray, share: np.ndarray, at: Settings) -> np.ndarray:
+    """Train the softmax within classes over a part's occurrences and give the change of each one's log-probability.
+
+    ``share``: of a frequent token, by rank, what the bias alone gives it in its class.
+    """
+    u64 = np.uint64
+    near, n_near, _ = _numbered(context)
+    far, n_far, far_first = _numbered(near.astype(u64) << u64(32) | further)
+    two, n_two, two_first = _numbered(near.astype(u64) << u64(32) | rank)
+    three, n_three, three_first = _numbered(far.astype(u64) << u64(32) | rank)
+    c_near, c_far, c_two, c_three = (np.bincount(k, copies, n) for k, n in ((near, n_near), (far, n_far), (two, n_two), (three, n_three)))
+    base = share[np.maximum(rank.astype(np.int64) - 1, 0)]
+    has_two = (c_two >= at.least) & (rank[two_first] > 0)
+    has_three = (c_three >= at.least) & (rank[three_first] > 0)
+    b, t = np.flatnonzero(has_two), np.flatnonzero(has_three)
+    b_near, b_base = near[two_first[b]], base[two_first[b]]
+    t_far, t_base, t_two = far[three_first[t]], base[three_first[t]], two[three_first[t]]
+    near_of_far = near[far_first]
+    o_two, o_three = c_two[b] - at.discount, c_three[t] - at.discount
+    w, v = np.zeros(n_two), np.zeros(n_three)
+    # The bigrams' own optimum, were there no trigrams, is the start.
+    left = 1 - np.bincount(b_near, o_two / np.maximum(c_near[b_near], 1), n_near)
+    free = np.maximum(1 - np.bincount(b_near, b_base, n_near), 1e-9)
+    w[b] = np.log(o_two / np.maximum(c_near[b_near], 1) / b_base * free[b_near] / np.maximum(left[b_near], 1e-9))
+
+    def normaliser() -> np.ndarray:
+        z = 1 + np.bincount(b_near, b_base * np.expm1(w[b]), n_near)[near_of_far]
+        return np.maximum(z + np.bincount(t_far, t_base * np.exp(w[t_two]) * np.expm1(v[t]), n_far), 1e-12)
+
+    for _ in range(at.part_rounds if len(t) else 0):
+        weight = c_far / normaliser()
+        gain = t_base * np.exp(w[t_two]) * weight[t_far]
+        e_three = gain * np.exp(v[t])
+        e_two = b_base * np.exp(w[b]) * np.bincount(near_of_far, weight, n_near)[b_near] + np.bincount(t_two, gain * np.expm1(v[t]), n_two)[b]
+        v[t] += 0.5 * np.clip((o_three - e_three - at.ridge * v[t]) / (np.maximum(o_three, e_three) + at.ridge), -1, 1)
+        w[b] += 0.5 * np.clip((o_two - e_two - at.ridge * w[b]) / (np.maximum(o_two, e_two) + at.ridge), -1, 1)
+    return w[two] + v[three] - np.log(normaliser())[far]
+
+
+def _part_scores(shared) -> Callable[[pa.Table], pa.Table]:
+    """Of a part's packed blocks (block, data): (block, data) with the texts' summed changes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        model: Model = shared.value
+        at, press, pull = model.lex.at, zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+        blocks = [_unpacked(d, 5, pull) for d in table.column("data").to_pylist()]
+        context, further, rank, copies, text = (np.concatenate([np.cumsum(b[k], dtype=np.uint64) if k == 0 else b[k] for b in blocks]) for k in range(5))
+        share = np.concatenate([10.0**model.inside, np.ones(1)])
+        delta = part_deltas(context, further, rank, copies, share, at)
+        out, begin = [], 0
+        for b in blocks:
+            texts, place = np.unique(b[4], return_inverse=True)
+            sums = np.bincount(place, delta[begin : begin + b.shape[1]]).view("<u4").reshape(-1, 2).T
+            out.append(_packed([texts, *sums], press))
+            begin += b.shape[1]
+        return pa.table({"block": table.column("block"), "data": pa.array(out, pa.binary())})
+
+    return run
+
+
+_DELTAS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("score", pa.float64())])
+
+
+def _add_deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (block, ids, data) in the order of block, that with the ids first: (doc_id, hash, score) of its rows."""
+    pull, now, rows, text, sums = zstandard.ZstdDecompressor(), None, None, None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(sums[text] / np.log(10))], schema=_DELTAS)
+
+    for batch in batches:
+        for block, ids, data in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "data")), strict=True):
+            if block != now:
+                if now is not None:
+                    yield done()
+                own = pa.ipc.open_stream(ids).read_all().combine_chunks()
+                text = own.column("text").to_numpy()
+                rows = own.select(["doc_id", "hash"]).to_batches()[0]
+                now, sums = block, np.zeros(int(text.max()) + 1)
+            else:
+                texts, low, high = _unpacked(data, 3, pull)
+                sums[texts] += np.stack([low, high], axis=1).view("<f8")[:, 0]
+    if now is not None:
+        yield done()
 
 
-def _score_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _id_bytes(ids: list, hashes: list, text: np.ndarray) -> bytes:
+    own = pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(text)], ["doc_id", "hash", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, own.schema) as out:
+        out.write_batch(own)
+    return sink.getvalue().to_pybytes()
+
+
+_PARTS = pa.schema(
+    [("doc_id", pa.int64()), ("hash", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    + [("part", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("data", pa.binary())]
+)
+PARTS = "doc_id long, hash long, token binary, n long, n_known long, base double, score double, part int, block long, ids binary, data binary"
+
+
+def _score_batches(shared, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of three kinds: of each text, of its rare tokens, and packed blocks of occurrences (and, with ids, of rows)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         lex, at = model.lex, model.lex.at
@@ -336,9 +508,11 @@ def _score_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         pad = np.zeros(1)
         base, inside = np.concatenate([model.base, pad]), np.concatenate([model.inside, pad])
         normaliser = np.full((at.classes + 1) ** 2, np.nan, np.float32)
+        press, block = zstandard.ZstdCompressor(1), TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist()
-            for first, docs, begins, code, s0 in _encode(batch.column("text").to_pylist(), codes, classes, at):
+            ids, hashes, training = (batch.column(c).to_pylist() for c in ("doc_id", "hash", "training"))
+            texts = batch.column("text").to_pylist()
+            for first, docs, begins, code, s0 in _encode(texts, codes, classes, at):
                 s1, s2 = _contexts(s0, begins, at)
                 context = s2 * (at.classes + 1) + s1
                 new = np.unique(context[np.isnan(normaliser[context])])
@@ -352,12 +526,20 @@ def _score_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 rare = code < 0
                 score = chosen.astype(np.float64) / np.log(10) + np.where(rare, model.inside_rest[s0], inside[np.maximum(code, 0)])
                 totals = [np.add.reduceat(x, begins) for x in (np.ones(len(code), np.int64), (~rare).astype(np.int64), np.where(rare, model.base_rest, base[np.maximum(code, 0)]), score)]
-                rows = [(ids[first + k], hashes[first + k], None, *(t[k].item() for t in totals)) for k in range(len(docs))]
-                rest: list[Counter] = [Counter() for _ in docs]
+                rest = (None,) * 4
+                rows = [(ids[first + k], hashes[first + k], None, *(t[k].item() for t in totals), *rest) for k in range(len(docs))]
+                seen: list[Counter] = [Counter() for _ in docs]
                 owner = np.searchsorted(begins, places := np.flatnonzero(rare), side="right") - 1
                 for k, place in zip(owner.tolist(), (places - begins[owner]).tolist(), strict=True):
-                    rest[k][docs[k][place]] += 1
-                rows += [(ids[first + k], hashes[first + k], w, n, 0, 0.0, 0.0) for k, seen in enumerate(rest) for w, n in seen.items()]
+                    seen[k][docs[k][place]] += 1
+                rows += [(ids[first + k], hashes[first + k], w, n, 0, 0.0, 0.0, *rest) for k, own in enumerate(seen) for w, n in own.items()]
+
+                same: dict[bytes, int] = {}
+                text = np.array([same.setdefault(t, k) for k, t in enumerate(texts[first : first + len(docs)])])
+                copies = np.where(text == np.arange(len(text)), np.bincount(text, training[first : first + len(docs)], len(text)).astype(np.int64), -1)
+                block += 1
+                rows.append((None,) * 7 + (-1, block, _id_bytes(ids[first : first + len(docs)], hashes[first : first + len(docs)], text), None))
+                rows += [(None,) * 7 + (part, block, None, _packed(columns, press)) for part, columns in _occurrences(code, s0, begins, copies, parts, at)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PARTS, strict=True)], schema=_PARTS)
 
     return run
@@ -375,14 +557,22 @@ def lm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     counts = materialise(token_counts(training, at), "lm-counts")
     model = fit(training, counts, at)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = _texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("hash"))
-    schema = "doc_id long, hash long, token binary, n long, n_known long, base double, score double"
-    parts = materialise(rows.mapInArrow(_score_batches(shared), schema), "lm-parts")
+    n_parts = max(shuffle_width(docs.sparkSession), -(-model.lex.total // at.part_tokens))
+    training_row = F.expr(f"cast(NOT {HELD_OUT} AS int)").alias("training")
+    rows = _texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("hash"), training_row)
+    parts = materialise(rows.mapInArrow(_score_batches(shared, n_parts), PARTS), "lm-parts")
+
+    deltas = parts.where("part >= 0").select("part", "block", "data").groupBy("part").applyInArrow(_part_scores(shared), "block long, data binary")
+    deltas = deltas.select("block", F.lit(None).cast("binary").alias("ids"), "data")
+    known = parts.where("part < 0").select("block", "ids", F.lit(None).cast("binary").alias("data"))
+    deltas = known.unionByName(deltas).repartition("block").sortWithinPartitions("block", F.col("ids").isNull()).mapInArrow(_add_deltas, "doc_id long, hash long, score double")
+
     row, zero = ["doc_id", "hash"], F.lit(0).cast("long")
     weight = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)
     rare = parts.where("token IS NOT NULL").select(*row, "token", "n").join(counts, "token", "left")
     rare = rare.groupBy(row).agg(zero.alias("n"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(weight).alias("base"), F.sum(weight).alias("score"), zero.alias("copies"))
-    sure = parts.where("token IS NULL").drop("token").withColumn("copies", F.lit(1).cast("long"))
-    total = sure.unionByName(rare).groupBy(row).agg(*(F.sum(c).alias(c) for c in ("n", "n_known", "base", "score", "copies")))
+    sure = parts.where("token IS NULL AND part IS NULL").select(*row, "n", "n_known", "base", "score", F.lit(1).cast("long").alias("copies"))
+    deltas = deltas.select(*row, zero.alias("n"), zero.alias("n_known"), F.lit(0.0).alias("base"), "score", zero.alias("copies"))
+    total = sure.unionByName(rare).unionByName(deltas).groupBy(row).agg(*(F.sum(c).alias(c) for c in ("n", "n_known", "base", "score", "copies")))
     whole = total.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.expr("n div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"), F.lit(model.lex.total).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"), "copies")
     return repeat_rows(whole, "copies").drop("copy")

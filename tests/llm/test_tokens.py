@@ -55,9 +55,9 @@ def test_commonest(spark):
     counts = [1000, 900, 50, 50, 7, *[1] * 100]
     df = spark.createDataFrame([(f"t{k:03}", n) for k, n in enumerate(counts)], "token string, n long")
     names = lambda limit: [r.token for r in commonest(df, "n", "token", limit).collect()]
-    assert names(0) == [] and names(3) == ["t000", "t001", "t002"]
-    assert names(20) == [f"t{k:03}" for k in range(5)]  # the ties at 1 don't fit
-    assert names(30) == [f"t{k:03}" for k in range(30)]
+    assert names(0) == [] and names(2) == ["t000", "t001"] and set(names(4)) == {"t000", "t001", "t002", "t003"}
+    for n in (3, 20, 30):  # ties are cut by their hash
+        assert len(names(n)) == n and names(n) == names(105)[:n]
     assert commonest(df.limit(0), "n", "token", 5).count() == 0
 
 
