@@ -20,13 +20,17 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandplan.llm.common import own_name
+
 _HITS = T.ArrayType(T.StructType().add("item_id", "long").add("edits", "integer").add("start", "long").add("length", "integer"))
 _HITS_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("length", pa.int32())]))
 _BASE = 0x9E3779B97F4A7C15
@@ -75,6 +79,18 @@ class PatternIndex:
 
     FILTER_BITS = 22
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds all items that are shorter than q at once."""
+        same = defaultdict(list)
+        for item_id, text in self.short:
+            same[text].append(item_id)
+        out = ahocorasick.Automaton()
+        for text, item_ids in same.items():
+            out.add_word(text, (item_ids, len(text)))
+        out.make_automaton()
+        return out
+
     def __init__(self, items: list[tuple[int, str]], settings: Settings) -> None:
         self.settings = at = settings
         self.item: list[int] = []
@@ -146,9 +162,9 @@ def find(texts: list[str], index: PatternIndex) -> list[list[dict]]:
     held, overlap = 0, 2 * at.window
     for k, raw in enumerate(texts):
         text = normalise(raw)
-        for item_id, short in index.short:
-            if (place := text.find(short)) >= 0:
-                found[k][item_id] = (0, place, len(short))
+        for last, (item_ids, length) in index.automaton.iter(text) if index.short else ():
+            for item_id in item_ids:
+                found[k].setdefault(item_id, (0, last + 1 - length, length))
         for s in range(0, max(1, len(text) - overlap), at.part_chars):
             part = text[s : s + at.part_chars + overlap]
             parts.append((k, s, part))
@@ -202,11 +218,11 @@ def _verify(chars, begin, part, which, band, parts, index, found) -> None:
             found[k][item_id] = match
 
 
-def _find_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _find_batches(shared, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = find([t or "" for t in batch.column("text").to_pylist()], shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, _HITS_ARROW)], [*batch.schema.names, "__hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, _HITS_ARROW)], [*batch.schema.names, name])
 
     return run
 
@@ -220,10 +236,10 @@ def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[int
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
 
 
-def _with_hits(docs: DataFrame, items: list[tuple[int, str]], settings: Settings) -> DataFrame:
-    """``docs`` with the column __hits."""
+def _with_hits(docs: DataFrame, items: list[tuple[int, str]], settings: Settings, name: str) -> DataFrame:
+    """``docs`` with the column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(PatternIndex(items, settings))
-    return docs.mapInArrow(_find_batches(shared), T.StructType([*docs.schema, T.StructField("__hits", _HITS)]))
+    return docs.mapInArrow(_find_batches(shared, name), T.StructType([*docs.schema, T.StructField(name, _HITS)]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -233,13 +249,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     """
     rows, out = docs.select("doc_id", "text"), None
     for items in _blocks(benchmark, settings):
-        block = _with_hits(rows, items, settings).select("doc_id", F.inline("__hits"))
+        block = _with_hits(rows, items, settings, "hits").select("doc_id", F.inline("hits"))
         out = block if out is None else out.unionByName(block)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, with all their columns."""
+    name = own_name(docs.columns, "hits")
     for items in _blocks(benchmark, settings):
-        docs = _with_hits(docs, items, settings).where(F.size("__hits") == 0).drop("__hits")
+        docs = _with_hits(docs, items, settings, name).where(F.size(name) == 0).drop(name)
     return docs

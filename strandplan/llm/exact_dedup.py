@@ -3,8 +3,9 @@
 Texts are equal when identical after lower-casing A-Z.  Every text becomes (SHA-256, byte length).  A task keeps a
 cuckoo filter over the digests that are live in its part of the data.  A record that hits the filter is verified
 against the stored content of its bucket; if it is equal and has a larger doc_id, the live record is deleted and the
-new one inserted.  A full filter doubles and is refilled from the stored keys.  Tasks first index their own rows, so
-that a group of copies of any size leaves each task as one row; the remainder is dealt out by digest and indexed again.
+new one inserted.  A full filter doubles and is refilled from the stored keys.  Tasks first index their own rows,
+``HELD`` texts at a time, so that a group of copies of any size leaves each task as a few rows; these are dealt out by
+digest and indexed again.
 
 Null texts count as empty.  Null doc_ids are smaller than any other.  Rows repeated with equal doc_id and equal text
 form one group with the rest, and exactly one of them is kept.
@@ -18,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.llm.common import lower_ascii, materialise, repeat_rows, shuffle_width, whole_text
+from strandplan.llm.common import lower_ascii, materialise, own_name, repeat_rows, shuffle_width, whole_text
 
 LIVE = "digest binary, n_bytes long, keep_id long, group_size long"
 LIVE_ARROW = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 #: Distinct digests that one task of the second step should index.
 DIGESTS_PER_TASK = 500_000
+#: Live records that a task of the first step holds before it passes them on and begins anew.
+HELD = 250_000
+#: Bound on dropped rows that are broadcast as doc_id and digest; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 class CuckooIndex:
@@ -125,12 +130,28 @@ class CuckooIndex:
             old[3] += count
 
 
+def index_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index the rows of one task and give the live records whenever ``HELD`` of them are full, and at the end."""
+    index = CuckooIndex()
+    for batch in batches:
+        for row in zip(*(batch.column(name).to_pylist() for name in LIVE_ARROW.names), strict=True):
+            index.add(*row)
+        if index.live > HELD:
+            yield from _live_batches(index)
+            index = CuckooIndex()
+    yield from _live_batches(index)
+
+
 def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index all rows of one task and give its live records."""
     index = CuckooIndex()
     for batch in batches:
         for row in zip(*(batch.column(name).to_pylist() for name in LIVE_ARROW.names), strict=True):
             index.add(*row)
+    yield from _live_batches(index)
+
+
+def _live_batches(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     rows: list[list] = []
     for found in index.records.values():
         rows += found
@@ -154,7 +175,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def live_records(rows: DataFrame) -> DataFrame:
     """(digest, n_bytes, keep_id, group_size), one row for each distinct text, from the result of :func:`digests`."""
     own = rows.select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    combined = materialise(own.mapInArrow(index_batches, LIVE), "exact-dedup-combined")
+    combined = materialise(own.mapInArrow(index_held, LIVE), "exact-dedup-combined")
     tasks = max(shuffle_width(rows.sparkSession), -(-combined.count() // DIGESTS_PER_TASK))
     return combined.repartition(tasks, "digest").mapInArrow(index_batches, LIVE)
 
@@ -179,14 +200,22 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Texts don't move unless over ``BROADCAST_ROWS`` rows are dropped: the dropped rows' doc_ids and digests do.
+    """
     rows = materialise(digests(docs), "exact-dedup-digests")
-    groups = live_records(rows).where("group_size > 1")
-    groups = groups.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"), F.col("group_size").alias("__size"))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(lower_ascii(whole_text()), 256))).join(groups, "__digest", "left")
-    kept = marked.where(F.col("__size").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep_id")))
-    repeated = materialise(rows.groupBy("doc_id", F.col("digest").alias("__digest")).count().where("count > 1").select("__digest").distinct(), "exact-dedup-repeated")
+    groups = live_records(rows).where("group_size > 1").select("digest", "keep_id")
+    dropped = rows.join(groups, "digest").where("NOT doc_id <=> keep_id").select("doc_id", "digest").distinct()
+    dropped = materialise(dropped, "exact-dedup-dropped")
+    digest = own_name(docs.columns, "digest")
+    few = (F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped).alias("dropped")
+    marked = docs.withColumn(digest, F.unhex(F.sha2(lower_ascii(whole_text()), 256)))
+    same = (marked[digest] == F.col("dropped.digest")) & marked["doc_id"].cast("long").eqNullSafe(F.col("dropped.doc_id"))
+    kept = marked.join(few, same, "left_anti")
+    repeated = rows.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("digest").alias(digest)).distinct()
+    repeated = materialise(repeated, "exact-dedup-repeated")
     if not repeated.isEmpty():  # some doc_id comes with one text more than once
-        chosen = kept.join(repeated, "__digest", "left_semi").dropDuplicates(["__digest"])
-        kept = kept.join(repeated, "__digest", "left_anti").unionByName(chosen)
+        chosen = kept.join(repeated, digest, "left_semi").dropDuplicates([digest])
+        kept = kept.join(repeated, digest, "left_anti").unionByName(chosen)
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

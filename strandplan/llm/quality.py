@@ -9,7 +9,7 @@ weights exp(cosine / temperature).
 Only a labelled row's own text and label are learnt from: never lang, source or doc_id, the last of which only decides
 whether a row is held out and which rows make the bounded sample.  A null text is empty; an empty text, and any text
 when no label is known, scores the share of label 1 in the sample (0.5 without a sample).  Of several labels for one
-doc_id the mean decides, 1 on a tie.
+doc_id the mean decides, 1 on a tie; of several texts for one labelled doc_id the smallest is learnt from.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandplan.llm.common import utf8, whole_text
+from strandplan.llm.common import own_name, utf8, whole_text
 
 THRESHOLD = 0.3
 HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 5) = 0"
@@ -102,11 +102,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(f"NOT ({HELD_OUT})")
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(settings.max_labelled)
-    rows = _texts(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(known), "doc_id"), "label")
-    found = rows.mapInArrow(_feature_batches(settings), "label int, features binary").toArrow()
-    labelled = found.column("label").to_numpy().astype(np.float32)[: 2 * settings.max_labelled]
-    counts = np.frombuffer(b"".join(found.column("features").to_pylist()), np.float16).reshape(-1, settings.width)
-    counts = counts[: len(labelled)].astype(np.float32)
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(whole_text()).alias("text"))
+    found = _texts(rows, "label").mapInArrow(_feature_batches(settings), "label int, features binary").toArrow()
+    labelled = found.column("label").to_numpy().astype(np.float32)
+    counts = np.frombuffer(b"".join(found.column("features").to_pylist()), np.float16).reshape(-1, settings.width).astype(np.float32)
     if not len(labelled):
         empty = np.zeros((0, 1), np.float32)
         return Model(settings, np.ones(settings.width, np.float32), np.zeros((settings.width, 1), np.float32), np.zeros(1, np.float32), empty, labelled, 0.5)
@@ -144,33 +144,34 @@ def vote(texts: list, model: Model) -> np.ndarray:
     return np.clip(scores, 0.0, 1.0)
 
 
-def _score_batches(shared, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score_batches(shared, whole: bool, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = vote(utf8(batch.column("text")), shared.value)
             rest = batch if whole else batch.select([c for c in batch.schema.names if c != "text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores)], [*rest.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores)], [*rest.schema.names, name])
 
     return run
 
 
-def with_score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with the column __score."""
+def with_score(docs: DataFrame, model: Model, name: str, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the column ``name``."""
     rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*(keep or docs.columns), "text"])))
     whole = keep is None or "text" in keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     shown = rows if whole else rows.drop("text")
-    return rows.mapInArrow(_score_batches(shared, whole), T.StructType([*shown.schema, T.StructField("__score", T.DoubleType())]))
+    return rows.mapInArrow(_score_batches(shared, whole, name), T.StructType([*shown.schema, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted (1 if score >= 0.3)."""
-    scored = with_score(docs, fit(docs, labels, settings), ["doc_id"])
+    scored = with_score(docs, fit(docs, labels, settings), "score", ["doc_id"])
     held_out = F.coalesce(F.expr(HELD_OUT), F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that the vote doesn't reject, with all their columns."""
-    scored = with_score(docs, fit(docs, labels, settings))
-    return scored.where(F.col("__score") >= THRESHOLD).drop("__score")
+    name = own_name(docs.columns, "score")
+    scored = with_score(docs, fit(docs, labels, settings), name)
+    return scored.where(F.col(name) >= THRESHOLD).drop(name)

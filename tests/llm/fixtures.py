@@ -12,7 +12,7 @@ DOCUMENTS = T.StructType(
     ]
 )
 #: Columns whose names an operator also gives to columns of its own.
-CLASHING = ("score", "size", "fp", "digest", "keep_id", "component_id", "label", "shard", "tokens", "copies", "node", "word", "item_id", "count")
+CLASHING = ("score", "size", "fp", "digest", "keep_id", "component_id", "label", "shard", "tokens", "copies", "node", "word", "item_id", "count", "__score", "__hits", "__digest", "__id", "__fp", "__root", "range", "part", "hot", "piece", "__keep_id", "__SIZE")
 
 LONG = " ".join(f"word{i % 977} stone{i % 131}" for i in range(30_000))
 TEXTS = ["the cat sat on the mat today", "The CAT sat on the mat today", None, "", " \t\n", LONG, "É À ﬁne café ½ ①", "a", "a", "<|endoftext|> it's", "x y"]

@@ -25,7 +25,7 @@ def test_vote_matches_brute_force(spark):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(df, labels, quality.Settings(neighbours=2))
     at, np = model.settings, quality.np
-    for r in quality.with_score(df, model).collect():
+    for r in quality.with_score(df, model, "__score").collect():
         x = quality.features(r.text.encode(), at) * model.weights
         x = (x / np.linalg.norm(x)) @ model.axes - model.centre
         cosine = model.vectors @ x / np.linalg.norm(x)
@@ -43,3 +43,11 @@ def test_awkward_rows_and_labels(spark):
     none = spark.createDataFrame([], labels.schema)
     assert {r.score for r in quality.quality_scores(df, none).collect()} == {0.5}
     assert quality.quality_scores(spark.createDataFrame([], DOCUMENTS), labels).count() == 0
+
+
+def test_a_repeated_doc_id_is_learnt_once(spark):
+    rows = [(i, f"plain words {i}") for i in range(6)] + [(2, f"copy {k}") for k in range(50)] + [(3, None)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    at = quality.Settings(max_labelled=4)
+    models = [quality.fit(documents(spark, r), labels, at) for r in (rows, rows[::-1])]
+    assert len(models[0].labels) == 4 and (models[0].vectors == models[1].vectors).all()
