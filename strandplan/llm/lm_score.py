@@ -60,7 +60,7 @@ class Settings:
     #: Tasks of a round; each deals out tables of the weights' size.
     tasks: int = 4
     #: Bound on the broadcast table of counts.
-    frequent: int = 1 << 17
+    frequent: int = 1 << 18
     #: Distinct tokens that a task holds, and tokens that it looks at together.
     held: int = 300_000
     chunk: int = 400_000
@@ -367,6 +367,7 @@ def _unpacked(data: bytes, columns: int, press: zstandard.ZstdDecompressor) -> n
 def _occurrences(code: np.ndarray, s0: np.ndarray, begins: np.ndarray, copies: np.ndarray, parts: int, at: Settings) -> Iterator[tuple[int, list[np.ndarray]]]:
     """By part: context, further context, rank + 1 (0: rare), training copies and text of every token that has a context.
 
+    Contexts are hashes of 24 bits, further contexts, within these, of 16.
     ``copies``: of each text, how many training rows hold it; -1 leaves the text out.
     """
     place = np.flatnonzero(s0 > at.words)
@@ -379,9 +380,9 @@ def _occurrences(code: np.ndarray, s0: np.ndarray, begins: np.ndarray, copies: n
         return
     own, before = code[place[kept]], code[place[kept - 1]]
     context = _mixed(before, s0[place[kept]])
-    further = np.where(two[kept], (_mixed(code[place[np.maximum(kept - 2, 0)]]) >> np.uint64(40)) + np.uint64(1), np.uint64(0))
+    further = np.where(two[kept], (_mixed(code[place[np.maximum(kept - 2, 0)]]) >> np.uint64(48)) + np.uint64(1), np.uint64(0))
     part = (context & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
-    context >>= np.uint64(32)
+    context >>= np.uint64(40)
     order = np.lexsort((context, part))
     columns = [c[order] for c in (context, further, np.maximum(own + 1, 0), copies[text[kept]], text[kept])]
     part = part[order]
