@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (local runs, tests) a local folder is used instead.
+    Only where the setting is absent in a local run a local folder is used instead.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder or f"{tempfile.gettempdir()}/strandplan-shared"
 
 
