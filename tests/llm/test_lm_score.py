@@ -129,9 +129,10 @@ def test_score_grows_with_what_the_corpus_repeats(spark):
 
 def test_parts_and_chunks_do_not_change_scores(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    runs = [lm_score.lm_scores(df, lm_score.Settings(chunk=c, part_tokens=p, **SMALL)).collect() for c, p in ((500, 1000), (400_000, 1 << 21))]
-    a, b = ({r.doc_id: r.score for r in run} for run in runs)
+    runs = [lm_score.lm_scores(df, lm_score.Settings(chunk=c, part_tokens=p, **SMALL)).collect() for c, p in ((500, 1000), (400_000, 1000), (400_000, 1 << 21))]
+    a, b, c = ({r.doc_id: r.score for r in run} for run in runs)
     assert all(math.isclose(a[k], b[k], rel_tol=1e-5) for k in a)
+    assert all(math.isclose(a[k], c[k], rel_tol=1e-2) for k in a)  # other hashes of contexts meet
 
 
 def test_probabilities_of_a_context_sum_to_one(spark):
