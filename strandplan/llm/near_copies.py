@@ -3,8 +3,8 @@
 Two texts are near copies if their fingerprints link (three-word shingles, three bits), or if the Jaccard similarity of
 their sets of five-word shingles is ``similarity`` or more.  Fingerprints of texts of similarity 0.8 differ in about a
 seventh of their bits, so the latter get ``bands`` fingerprints of 32 bits and a sketch of 64.  The binary trie
-self-join runs over each band; pairs of texts within ``budget`` bits in some band and ``sketch_bits`` in the sketch are
-verified by their shingles.  A pair of similarity 0.8 is within three bits in a band with probability 0.26, in one of
+self-join runs over each band, as that of fingerprints below blocks that agree, of eight bits here; pairs of texts within
+``budget`` bits in some band and ``sketch_bits`` in the sketch are verified by their shingles.  A pair of similarity 0.8 is within three bits in a band with probability 0.26, in one of
 twelve with 0.97, and of 0.85 with 0.998.
 
 A task that finds more than ``crowd`` texts linked together passes on the links of a smallest spanning forest by sketch
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandplan.llm.common import materialise, utf8, whole_text
+from strandplan.llm.common import materialise, own_name, utf8, whole_text
 from strandplan.llm.components import connected_components
 from strandplan.llm.simhash import Forest, fingerprint, majority, near_components, trie_links
 
@@ -40,17 +40,21 @@ class Settings:
     bands: int = 12
     budget: int = 3
     sketch_bits: int = 20
-    #: Texts that a subtree of a band should hold.
-    subtree: int = 1 << 18
+    #: Texts that a task should hold of a band's trie.
+    subtree: int = 1 << 17
+    #: Texts in a block beyond twice which it is split into parts of so many.
+    part: int = 1 << 15
     crowd: int = 64
     #: Ends of the shares, in 1 / 2**24, in which the further pairs of crowds are verified; the last is all.
-    shares: tuple[int, ...] = (1 << 12, 1 << 15, 1 << 18, 1 << 21, 1 << 24)
+    shares: tuple[int, ...] = (1 << 13, 1 << 18, 1 << 24)
     #: Links held at once before those of crowds are reduced.
     held: int = 500_000
     #: Bound on doc_ids that are broadcast to pick the texts for verification; beyond it they are joined by a shuffle.
     broadcast_ids: int = 2_000_000
 
 
+#: Blocks of a band, one more than the budget of bits, and the bits of a block.
+_BLOCKS, _BLOCK_BITS = 4, 8
 _ENTRY = np.dtype([("value", "<u4"), ("sketch", "<u8"), ("doc", "<i8"), ("group", "<i8")])
 #: Fixed odd multipliers that make further hashes of a shingle's.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -95,26 +99,62 @@ def _print_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _block_batches(at: Settings, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Deal out texts by band and by the pairs of subtrees that theirs is part of; a row holds many texts."""
-    near = [x for x in range(1 << levels) if x.bit_count() <= at.budget]
+def _turned(signs: np.ndarray, at: Settings) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Band, turn and values of the band rotated by so many blocks."""
+    for band in range(at.bands):
+        value = np.ascontiguousarray(signs[:, 8 + 4 * band : 12 + 4 * band]).view("<u4")[:, 0]
+        for turn in range(_BLOCKS):
+            bits = np.uint32(_BLOCK_BITS * turn)
+            yield band, turn, value if not turn else (value << bits) | (value >> (np.uint32(32) - bits))
+
+
+def _signs(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def _size_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many texts each block of each band has, as one row for each of a bounded number of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((at.bands, _BLOCKS, 1 << _BLOCK_BITS), np.int64)
         for batch in batches:
-            signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            for band, turn, value in _turned(_signs(batch), at):
+                total[band, turn] += np.bincount(value >> np.uint32(32 - _BLOCK_BITS), minlength=1 << _BLOCK_BITS)
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.ravel()[place])], ["block", "n"])
+
+    return run
+
+
+def _block_batches(at: Settings, levels: int, crowded: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deal out texts by band, turn and the path of their trie; a row holds many texts.
+
+    The texts of a crowded block are split, by a hash of doc, into as many parts as told; each pair of parts is dealt out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = _signs(batch)
             entries = np.zeros(batch.num_rows, _ENTRY)
             entries["doc"], entries["sketch"] = batch.column("doc").to_numpy(), np.ascontiguousarray(signs[:, :8]).view("<u8")[:, 0]
             entries["group"] = batch.column("group").to_numpy()
+            lot = (entries["doc"].astype(np.uint64) * _ODD[3]) >> np.uint64(40)
             rows: list[tuple] = []
-            for band in range(at.bands):
-                entries["value"] = np.ascontiguousarray(signs[:, 8 + 4 * band : 12 + 4 * band]).view("<u4")[:, 0]
-                block = entries["value"].astype(np.int64) >> (32 - levels)
-                order = np.argsort(block, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            for band, turn, value in _turned(signs, at):
+                entries["value"] = value
+                block = (value >> np.uint32(32 - _BLOCK_BITS)).astype(np.int64)
+                key = (band * _BLOCKS + turn) << _BLOCK_BITS
+                split = np.array([crowded.get(key + k, 1) for k in range(1 << _BLOCK_BITS)])[block]
+                path = np.where(split > 1, (1 << _BLOCK_BITS) + block, block >> (_BLOCK_BITS - levels))
+                part = lot.astype(np.int64) % split
+                order = np.lexsort((part, path))
+                for own in np.split(order, np.flatnonzero((np.diff(path[order]) != 0) | (np.diff(part[order]) != 0)) + 1):
                     if len(own):
-                        b, data = int(block[own[0]]), entries[own].tobytes()
-                        rows += [(band, min(b, b ^ x), max(b, b ^ x), b > b ^ x, data) for x in near]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["band", "p", "q", "second", "data"])
+                        p, i, data = int(path[own[0]]), int(part[own[0]]), entries[own].tobytes()
+                        rows += [(band, turn, p, min(i, j), max(i, j), i > j, data) for j in range(int(split[own[0]]))]
+            kinds = (*(pa.int32(),) * 5, pa.bool_(), pa.binary())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["band", "turn", "path", "p", "q", "second", "data"])
 
     return run
 
@@ -168,12 +208,12 @@ def _turns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(40)).astype(np.int64)
 
 
-def _pair_links(at: Settings, levels: int, share: tuple[int, int] | None) -> Callable[[pa.Table], pa.Table]:
+def _pair_links(at: Settings, share: tuple[int, int] | None) -> Callable[[pa.Table], pa.Table]:
     """Candidates between groups: those whose turn is in the share, or (None) all but of crowds, which have ``cut`` set."""
 
     def run(table: pa.Table) -> pa.Table:
         data, second = table.column("data").to_pylist(), table.column("second").to_pylist()
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        turn, p, q = (table.column(c)[0].as_py() for c in ("turn", "p", "q"))
         a, left, a_first = _leaves([d for d, s in zip(data, second, strict=True) if not s])
         b, right, b_first = (a, None, a_first) if p == q else _leaves([d for d, s in zip(data, second, strict=True) if s])
         shift = 0 if right is None else len(a)
@@ -193,13 +233,18 @@ def _pair_links(at: Settings, levels: int, share: tuple[int, int] | None) -> Cal
             elif near.any():
                 links.add(i[near], j[near], distance[near])
 
-        if right is None:
+        if right is None and not turn:
             for lo, hi in zip(a_first[:-1].tolist(), a_first[1:].tolist(), strict=True):
                 for s in range(lo, hi if hi - lo > 1 else lo, 256):
                     i, j = np.meshgrid(np.arange(s, min(s + 256, hi)), np.arange(lo, hi), indexing="ij")
                     compare(i[i < j], j[i < j])
         if len(left) and (right is None or len(right)):
-            for x, y in trie_links(left, right, 31 - levels, (p ^ q).bit_count(), at.budget):
+            for x, y in trie_links(left, right, 31 - _BLOCK_BITS, at.budget):
+                apart = left[x] ^ (left if right is None else right)[y]
+                new = np.ones(len(x), bool)
+                for earlier in range(turn):  # blocks that an earlier turn has on top, the lowest here
+                    new &= (apart >> np.uint64(_BLOCK_BITS * earlier)) & np.uint64((1 << _BLOCK_BITS) - 1) != 0
+                x, y = x[new], y[new]
                 wide = b_first[y + 1] - b_first[y]
                 sizes = (a_first[x + 1] - a_first[x]) * wide
                 for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 20))) + 1):
@@ -239,10 +284,13 @@ def _alike_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _candidates(signed: DataFrame, levels: int, share: tuple[int, int] | None, at: Settings) -> DataFrame:
+def _candidates(signed: DataFrame, share: tuple[int, int] | None, at: Settings) -> DataFrame:
     """(u, v, cut) from signed(doc, signature, group)."""
-    blocks = signed.mapInArrow(_block_batches(at, levels), "band int, p int, q int, second boolean, data binary")
-    found = blocks.groupBy("band", "p", "q").applyInArrow(_pair_links(at, levels, share), "u long, v long, cut boolean")
+    levels = min(_BLOCK_BITS, max(2, (signed.count() // at.subtree).bit_length()))
+    sizes = signed.select("signature").mapInArrow(_size_batches(at), "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    crowded = {r.block: -(-r.n // at.part) for r in sizes.where(F.col("n") > 2 * at.part).collect()}
+    blocks = signed.mapInArrow(_block_batches(at, levels, crowded), "band int, turn int, path int, p int, q int, second boolean, data binary")
+    found = blocks.groupBy("band", "turn", "path", "p", "q").applyInArrow(_pair_links(at, share), "u long, v long, cut boolean")
     return materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("cut").alias("cut")), "near-pairs")
 
 
@@ -262,9 +310,8 @@ def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFram
 
     They connect what all similar candidates connect, but aren't all of these.
     """
-    levels = max(2, (signed.count() // at.subtree).bit_length())
     signed = signed.select("doc", "signature")
-    pairs = _candidates(signed.withColumn("group", F.col("doc")), levels, None, at)
+    pairs = _candidates(signed.withColumn("group", F.col("doc")), None, at)
     similar = _verified(pairs, texts, at)
     cut = pairs.where("cut")
     if cut.isEmpty():
@@ -277,7 +324,7 @@ def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFram
         if apart.isEmpty():
             break
         some = now.join(apart, "crowd", "left_semi").select("doc", "group")
-        similar = similar.union(_verified(_candidates(signed.join(some, "doc"), levels, share, at), texts, at))
+        similar = similar.union(_verified(_candidates(signed.join(some, "doc"), share, at), texts, at))
     return similar
 
 
@@ -297,23 +344,27 @@ def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     bits = known.join(linked, "fp").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     similar = similar_links(signed.select("doc", "signature"), texts.select(F.col("doc_id").alias("doc"), "text"), at)
     groups = connected_components(bits.unionByName(same).unionByName(similar).where("u <> v"))
-    dropped = materialise(groups.where("node <> component").select(F.col("node").alias("__id")), "near-dropped")
+    other, prints, name = (own_name(docs.columns, c) for c in ("id", "fp", "root"))
+    dropped = materialise(groups.where("node <> component").select(F.col("node").alias(other)), "near-dropped")
 
-    out = docs.where("doc_id IS NOT NULL").join(dropped, doc_id == F.col("__id"), "left_anti")
-    again = materialise(known.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "near-repeated")
+    out = docs.where("doc_id IS NOT NULL").join(dropped, doc_id == F.col(other), "left_anti")
+    again = materialise(known.groupBy(F.col("doc_id").alias(other)).count().where("count > 1").select(other), "near-repeated")
     if not again.isEmpty():
-        repeated = out.join(again, doc_id == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(again, doc_id == F.col("__id"), "left_anti").unionByName(repeated)
-    alone = linked.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+        repeated = out.join(again, doc_id == F.col(other), "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(again, doc_id == F.col(other), "left_anti").unionByName(repeated)
+    alone = linked.where("component_id IS NULL").select(F.col("fp").alias(prints), F.col("root").alias(name))
     if not alone.isEmpty():  # groups without any doc_id
         no_id = docs.where("doc_id IS NULL")
-        no_id = no_id.mapInArrow(_with_fingerprint, T.StructType([*no_id.schema, T.StructField("__fp", T.LongType())]))
-        no_id = no_id.join(alone, "__fp").dropDuplicates(["__root"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+        no_id = no_id.mapInArrow(_with_fingerprint(prints), T.StructType([*no_id.schema, T.StructField(prints, T.LongType())]))
+        no_id = no_id.join(alone, prints).dropDuplicates([name]).select(*(F.col(f"`{c}`") for c in docs.columns))
         out = out.unionByName(no_id)
     return out
 
 
-def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([fingerprint(t) for t in utf8(batch.column("text"))], np.uint64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
+def _with_fingerprint(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in utf8(batch.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, name])
+
+    return run

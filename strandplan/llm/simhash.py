@@ -4,9 +4,11 @@ The fingerprint of a text: A-Z lower-cased, words are runs of other bytes than A
 words joined by spaces, repeats included (the whole sequence if there are fewer words); a bit is 1 if it is set in over
 half of the shingles' XXH64 (seed 42).  Texts without words have fingerprint zero and are linked like any other.
 
-Fingerprints are leaves of a binary trie.  Its top levels are dealt out: a subtree meets those subtrees whose prefix
-differs from its own by no more bits than the budget.  A task traverses the node pairs of two subtrees together, adding
-up the bits in which their paths differ and dropping a pair once it exceeds the budget.  As only components are asked
+Fingerprints are leaves of a binary trie.  Two that differ in three bits agree in one of four blocks of 16 bits, so there
+are four tries, of the fingerprint rotated by a block each time, and a pair meets below a node whose path is the block
+that it agrees in.  Tries are dealt out by the top of that path: four rows for each fingerprint, however many there are.
+A task traverses the node pairs below each block together, adding up the bits in which their paths differ and dropping a
+pair once it exceeds the budget.  As only components are asked
 for, a task keeps a spanning forest of its links, so a dense cluster doesn't leave it as all its pairs.
 
 Null texts are empty.  Rows with equal fingerprints are one node, however many they are.
@@ -26,7 +28,9 @@ from strandplan.llm.common import materialise, whole_text
 from strandplan.llm.components import connected_components
 
 WORDS, SEED, BUDGET = 3, 42, 3
-#: Fingerprints that a subtree of the dealt-out levels should hold.
+#: Blocks of a fingerprint, one more than the budget, and their bits.
+BLOCKS, BLOCK_BITS = BUDGET + 1, 64 // (BUDGET + 1)
+#: Fingerprints that a task should hold of a trie.
 SUBTREE = 65_536
 #: Node pairs of the traversal held at once, and pairs of leaves below which a node pair is compared at once.
 FRONTIER, LEAVES = 1 << 17, 32
@@ -87,17 +91,23 @@ class Trie:
         return hi - (self.ones[bit][hi] - self.ones[bit][lo])
 
 
-def trie_links(left: np.ndarray, right: np.ndarray | None, top: int, spent: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of index pairs of leaves that differ in ``budget`` bits or fewer.
+def below_blocks(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """Node pairs below equal paths: for each value >> bits in both, its range in ``left`` and in ``right``, nothing spent."""
+    one, two = left >> np.uint64(bits), right >> np.uint64(bits)
+    path = np.intersect1d(one, two)
+    ends = [np.searchsorted(x, path, side=side) for x in (one, two) for side in ("left", "right")]
+    return np.stack([*ends, np.zeros(len(path), np.int64)]).astype(np.int64)
 
-    ``left`` and ``right`` are sorted without repeats; their own bits above ``top`` differ by ``spent``.  ``right``
-    None: the pairs i < j within ``left``.
+
+def trie_links(left: np.ndarray, right: np.ndarray | None, top: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of index pairs of leaves that agree above bit ``top`` and differ in ``budget`` bits or fewer.
+
+    ``left`` and ``right`` are sorted without repeats.  ``right`` None: the pairs i < j within ``left``.
     """
     one = right is None
     a, b = Trie(left), Trie(left if one else right)
     b = a if one else b
-    start = np.array([[0], [len(a.leaves)], [0], [len(b.leaves)], [spent]], np.int64)
-    stack = [(top, start)]
+    stack = [(top, below_blocks(a.leaves, b.leaves, top + 1) if top < 63 else np.array([[0], [len(a.leaves)], [0], [len(b.leaves)], [0]], np.int64))]
     while stack:
         bit, nodes = stack.pop()
         if nodes.shape[1] > FRONTIER:
@@ -171,35 +181,30 @@ class Forest:
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    """Links within one pair of subtrees; rows: p, q (the prefixes), top, second (is it of q's side), fp."""
-    fp = table.column("fp").to_numpy().view(np.uint64)
-    second = table.column("second").to_numpy(zero_copy_only=False)
-    p, q, top = (table.column(c)[0].as_py() for c in ("p", "q", "top"))
-    left = np.unique(fp[~second])
-    right = None if p == q else np.unique(fp[second])
-    edges: list[np.ndarray] = []
-    if len(left) and (right is None or len(right)):
-        nodes = left if right is None else np.concatenate([left, right])
-        forest, shift = Forest(len(nodes)), 0 if right is None else len(left)
-        for i, j in trie_links(left, right, top, (p ^ q).bit_count()):
-            forest.add(i, j + shift)
-        if forest.kept:
-            edges = [nodes[list(side)].view(np.int64) for side in zip(*forest.kept, strict=True)]
-    return pa.table({"u": pa.array(edges[0] if edges else [], pa.int64()), "v": pa.array(edges[1] if edges else [], pa.int64())})
-
-
-def near_links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(u, v): links that connect exactly what all pairs of distinct ``fp`` within ``budget`` bits connect.
-
-    The number of dealt-out levels follows the number of fingerprints, so a subtree holds about SUBTREE of them.
+    """Links of one rotation's fingerprints that agree in their top block; rows: turn, path, fp (rotated)."""
+    nodes = np.unique(table.column("fp").to_numpy().view(np.uint64))
+    turn = table.column("turn")[0].as_py()
+    forest = Forest(len(nodes))
+    for i, j in trie_links(nodes, None, 63 - BLOCK_BITS):
+        forest.add(i, j)
+    if not forest.kept:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    bits = np.uint64(BLOCK_BITS * turn)
+    back = nodes if not turn else (nodes >> bits) | (nodes << (np.uint64(64) - bits))
+    u, v = (back[list(side)].view(np.int64) for side in zip(*forest.kept, strict=True))
+    return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """(u, v): links that connect exactly what all pairs of distinct ``fp`` within the budget connect.
+
+    The number of levels that are dealt out follows the number of fingerprints, up to the block's.
     """
-    levels = max(4, (nodes.count() // SUBTREE).bit_length())
-    near = [x for x in range(1 << levels) if x.bit_count() <= budget]
-    prefix = F.shiftrightunsigned("fp", 64 - levels).cast("int")
-    met = nodes.select("fp", prefix.alias("own"), F.explode(F.array(*map(F.lit, near)) if len(near) < 2000 else F.filter(F.sequence(F.lit(0), F.lit((1 << levels) - 1)), lambda x: F.bit_count(x) <= budget)).alias("mask"))
-    met = met.select("fp", "own", F.col("own").bitwiseXOR(F.col("mask")).alias("other"))
-    pairs = met.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.lit(63 - levels).alias("top"), (F.col("own") > F.col("other")).alias("second"), "fp")
-    return pairs.groupBy("p", "q").applyInArrow(_block_links, "u long, v long")
+    levels = min(BLOCK_BITS, max(4, (nodes.count() // SUBTREE).bit_length()))
+    turned = [F.col("fp"), *(F.shiftleft("fp", BLOCK_BITS * k).bitwiseOR(F.shiftrightunsigned("fp", 64 - BLOCK_BITS * k)) for k in range(1, BLOCKS))]
+    dealt = nodes.select(F.posexplode(F.array(*turned)).alias("turn", "fp"))
+    dealt = dealt.withColumn("path", F.shiftrightunsigned("fp", 64 - levels).cast("int"))
+    return dealt.groupBy("turn", "path").applyInArrow(_block_links, "u long, v long")
 
 
 def near_components(rows: DataFrame) -> DataFrame:
