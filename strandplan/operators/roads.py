@@ -104,8 +104,10 @@ def routes_to(distances: DataFrame, targets: DataFrame, *by: str) -> DataFrame:
 
 
 def noisy(edges: DataFrame, seed: int) -> DataFrame:
-    """Edges with lengths times a factor from 0.5 to 2 that follows from the edge and the seed."""
-    draw = F.pmod(F.xxhash64("u", "v", "key", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    """Edges with lengths times a factor from 0.5 to 2 that follows from the edge and the seed, by two congruential steps."""
+    prime = F.lit((1 << 31) - 1).cast("long")
+    draw = F.pmod(F.pmod(F.col("u") * 7919 + F.col("v") * 104729 + F.col("key") * 15485863 + F.lit(seed).cast("long") * 32452843, prime) * 48271, prime)
+    draw = F.pmod(draw * 69621, prime) / prime.cast("double")
     return edges.withColumn("length_m", F.col("length_m") * (0.5 + 1.5 * draw))
 
 

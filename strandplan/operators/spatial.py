@@ -46,7 +46,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: st
     settled: DataFrame | None = None
     while True:
         last = side >= extent
-        best = _nearest_in_tiles(left, sites, point_id, site_id, side)
+        best = _nearest_in_tiles(left, sites, point_id, site_id, side, left.sparkSession.sparkContext.defaultParallelism if last else 1)
         if last:
             return best if settled is None else settled.unionByName(best)
         reach = side * METRES_PER_DEGREE * max(math.cos(math.radians(min(latitude + 2 * side, 89.9))), 0.0)
@@ -58,13 +58,16 @@ def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: st
         side *= 8
 
 
-def _nearest_in_tiles(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, side: float) -> DataFrame:
+def _nearest_in_tiles(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, side: float, parts: int) -> DataFrame:
+    """``parts``: into how many the points of a tile are dealt out; each part meets the sites of the tile."""
+
     def own(p: str) -> list[Column]:
         return [F.floor(F.col(f"{p}lon") / side).cast("long").alias("__x"), F.floor(F.col(f"{p}lat") / side).cast("long").alias("__y")]
 
-    placed = points.select("*", *own(""))
+    placed = points.select("*", *own(""), F.pmod(F.xxhash64(point_id), F.lit(parts)).cast("int").alias("__part"))
     spread = sites.select("*", *own("__")).select("*", F.explode(_around("__x", "__y")).alias("__t")).select(site_id, "__lat", "__lon", "__t.x", "__t.y")
-    near = placed.join(spread, (F.col("__x") == F.col("x")) & (F.col("__y") == F.col("y")))
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    near = placed.join(spread, (F.col("__x") == F.col("x")) & (F.col("__y") == F.col("y")) & (F.col("__part") == F.col("part")))
     distance = geo.haversine("lat", "lon", "__lat", "__lon")
     chosen = near.groupBy(point_id).agg(F.min(F.struct(distance.alias("d"), F.col(site_id).alias("s"))).alias("__best"))
     return points.join(chosen, point_id).select(*points.columns, F.col("__best.s").alias(site_id), F.col("__best.d").alias("distance_m"))

@@ -72,11 +72,11 @@ def nearest_k_to_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(near, 3, "distance_m")
 
 
-@query(f"""WITH {bridge.view_sql('odp_site')}, pair AS (
-    SELECT a.site_id AS a, b.site_id AS b, {bridge.metres_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM odp_site a JOIN odp_site b ON a.site_id < b.site_id)
+@query(f"""WITH {bridge.view_sql('house')}, pair AS (
+    SELECT a.house_id AS a, b.house_id AS b, {bridge.metres_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM house a JOIN house b ON a.house_id < b.house_id)
     SELECT a, b, round(d, 3) AS distance_m FROM pair WHERE d < 40""")
 def close_pairs_40m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(spatial.close_pairs(bridge.view(spark, sf_dir, "odp_site"), "site_id", 40.0), 3, "distance_m")
+    return _rounded(spatial.close_pairs(bridge.view(spark, sf_dir, "house"), "house_id", 40.0), 3, "distance_m")
 
 
 @query(f"""WITH {bridge.view_sql('odp_site')}, pair AS (
@@ -87,10 +87,10 @@ def partners_within_300m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("a").agg(F.count("*").alias("partners"), F.round(F.min("distance_m"), 3).alias("least_m"))
 
 
-@query(f"""WITH {bridge.view_sql('odp_site')} SELECT site_id FROM odp_site a WHERE NOT EXISTS (
-    SELECT 1 FROM odp_site b WHERE a.site_id <> b.site_id AND {bridge.metres_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 120)""")
+@query(f"""WITH {bridge.view_sql('house')} SELECT house_id FROM house a WHERE NOT EXISTS (
+    SELECT 1 FROM house b WHERE a.house_id <> b.house_id AND {bridge.metres_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 40)""")
 def min_separation_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.standing_apart(bridge.view(spark, sf_dir, "odp_site"), "site_id", 120.0).select("site_id")
+    return spatial.standing_apart(bridge.view(spark, sf_dir, "house"), "house_id", 40.0).select("house_id")
 
 
 _BEARING_SQL = "atan2(sin(radians(112.75::DOUBLE) - radians(lon)) * cos(radians(-7.25::DOUBLE)), cos(radians(lat)) * sin(radians(-7.25::DOUBLE)) - sin(radians(lat)) * cos(radians(-7.25::DOUBLE)) * cos(radians(112.75::DOUBLE) - radians(lon)))"
@@ -449,20 +449,23 @@ def road_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.distances_by_design(edges, sources, "design").select("design", "node", "dist_m")
 
 
-@query(f"""WITH RECURSIVE {bridge.ROAD_SQL}, one AS (SELECT u, v FROM both_ways WHERE design = 3 AND (least(u, v) * 13 + greatest(u, v) * 7) % 10 < 6),
-    reach(a, b) AS (SELECT r.range, r.range FROM range({bridge.WIDE ** 2}) r UNION SELECT a, v FROM reach JOIN one ON one.u = b),
+@query(f"""WITH RECURSIVE {bridge.ROAD_SQL}, one AS (SELECT design * {bridge.WIDE ** 2} + u AS u, design * {bridge.WIDE ** 2} + v AS v FROM both_ways),
+    reach(a, b) AS (SELECT n, n FROM (SELECT n_nationkey::BIGINT * {bridge.WIDE ** 2} + r.range AS n FROM nation, range({bridge.WIDE ** 2}) r) UNION SELECT a, v FROM reach JOIN one ON one.u = b),
     label AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
     best AS (SELECT component FROM label GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
     SELECT node FROM label JOIN best USING (component)""")
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = bridge.road_edges(spark, sf_dir).where("design = 3 AND (least(u, v) * 13 + greatest(u, v) * 7) % 10 < 6").select("u", "v", "key", "length_m")
-    return roads.largest_component(edges, spark.range(bridge.WIDE**2).withColumnRenamed("id", "node"))
+    """Of the roads of all designs, as one graph."""
+    size = bridge.WIDE**2
+    edges = bridge.road_edges(spark, sf_dir).selectExpr(f"design * {size} + u AS u", f"design * {size} + v AS v", "key", "length_m")
+    nodes = bridge.table(spark, sf_dir, "nation").selectExpr(f"explode(sequence(n_nationkey * {size}L, n_nationkey * {size}L + {size - 1})) AS node")
+    return roads.largest_component(edges, nodes)
 
 
-@query(f"WITH {bridge.ROAD_SQL} SELECT a.design, a.v AS at_node, a.u AS from_node, b.v AS to_node FROM both_ways a JOIN both_ways b ON a.design = b.design AND a.v = b.u AND b.v <> a.u WHERE a.design < 3")
+@query(f"WITH {bridge.ROAD_SQL} SELECT a.design, a.v AS at_node, a.u AS from_node, b.v AS to_node FROM both_ways a JOIN both_ways b ON a.design = b.design AND a.v = b.u AND b.v <> a.u")
 def adjacency_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways on from the end of each edge but the one it was reached by."""
-    both = roads.undirected(bridge.road_edges(spark, sf_dir).where("design < 3"), "design")
+    both = roads.undirected(bridge.road_edges(spark, sf_dir), "design")
     a = both.select("design", F.col("u").alias("from_node"), F.col("v").alias("at_node"))
     b = both.select("design", F.col("u").alias("at_node"), F.col("v").alias("to_node"))
     return a.join(b, ["design", "at_node"]).where("to_node <> from_node")
@@ -477,7 +480,8 @@ def road_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.routes_to(found, found.where(f"node = {bridge.WIDE**2 - 1}").select("design", "node"), "design")
 
 
-@query()
+@query(f"""WITH {bridge.ROAD_SQL}, mixed AS (SELECT *, ((u * 7919 + v * 104729 + 42 * 32452843) % 2147483647 * 48271) % 2147483647 AS x FROM road)
+    SELECT design, u, v, 0 AS key, length_m * (0.5::DOUBLE + 1.5::DOUBLE * (((x * 69621) % 2147483647)::DOUBLE / 2147483647::DOUBLE)) AS length_m FROM mixed""")
 def regenerate_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.noisy(bridge.road_edges(spark, sf_dir), 42)
 
