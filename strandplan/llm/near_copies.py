@@ -46,7 +46,7 @@ class Settings:
     part: int = 1 << 15
     crowd: int = 64
     #: Ends of the shares, in 1 / 2**24, in which the further pairs of crowds are verified; the last is all.
-    shares: tuple[int, ...] = (1 << 13, 1 << 18, 1 << 24)
+    shares: tuple[int, ...] = (1 << 17, 1 << 24)
     #: Links held at once before those of crowds are reduced.
     held: int = 500_000
     #: Bound on doc_ids that are broadcast to pick the texts for verification; beyond it they are joined by a shuffle.
