@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandplan.llm.common import materialise
 
+#: Edges that a task contracts at once.
+HELD = 1 << 20
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges``(u long, v long); a component is named by its smallest node.
 
-    Loops and repeated edges are allowed, nulls are not edges.  Every round replaces the edges by ones to smaller
+    Loops and repeated edges are allowed, nulls are not edges.  Each task first replaces the edges that it reads by stars.
+    Every round replaces the edges by ones to smaller
     neighbours and writes them to the shared folder; it ends when a round changes nothing, which takes a number of
     rounds logarithmic in the size of the largest component.
     """
-    stars = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    stars = edges.where("u <> v").select("u", "v").mapInArrow(_star_batches, "u long, v long").distinct()
     before, stars = None, materialise(stars, "components")
     while (now := _signature(stars)) != before:
         before = now
@@ -23,6 +31,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
 
 
+def _stars(ends: np.ndarray) -> np.ndarray:
+    """Nodes and the smallest that the edges (two rows) connect them to, where it is another."""
+    nodes, place = np.unique(ends, return_inverse=True)
+    u, v = place.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    moved = root != np.arange(len(nodes))
+    return np.stack([nodes[moved], nodes[root[moved]]])
+
+
+def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+
+    def contracted() -> pa.RecordBatch:
+        u, v = _stars(np.concatenate(held, axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column("u").to_numpy(), batch.column("v").to_numpy()]))
+        if sum(x.shape[1] for x in held) >= HELD:
+            yield contracted()
+            held.clear()
+    if held:
+        yield contracted()
+
+
 def _signature(stars: DataFrame) -> tuple:
     return tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
