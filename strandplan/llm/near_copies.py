@@ -4,13 +4,15 @@ Two texts are near copies if their fingerprints link (three-word shingles, three
 their sets of five-word shingles is ``similarity`` or more.  Fingerprints of texts of similarity 0.8 differ in about a
 seventh of their bits, so the latter get ``bands`` fingerprints of 32 bits and a sketch of 64.  The binary trie
 self-join runs over each band, as that of fingerprints below blocks that agree, of eight bits here; pairs of texts within
-``budget`` bits in some band and ``sketch_bits`` in the sketch are verified by their shingles.  A pair of similarity 0.8 is within three bits in a band with probability 0.26, in one of
-twelve with 0.97, and of 0.85 with 0.998.
+``budget`` bits in some band and ``sketch_bits`` in the sketch are verified by their sets of shingles, which are computed
+once for each text.  A pair of similarity 0.8 is within three bits in a band with probability 0.26, in one of twelve with
+0.97, and of 0.85 with 0.998.
 
 A task that finds more than ``crowd`` texts linked together passes on the links of a smallest spanning forest by sketch
 distance, else all of them; so a large group of near copies doesn't leave it as all its pairs.  Where the verified links
 leave such a crowd in several groups, its further pairs of texts in different groups are verified in growing shares, by
-a hash of the pair, until the crowd is one group or all its pairs have had their turn.
+a hash of the pair, until the crowd is one group or all its pairs have had their turn.  These pairs are verified in tiles,
+pairs of parts of a crowd, so a set travels once for each tile.
 
 Null texts are empty.  Texts without words are near copies of each other.  Rows without doc_id are only linked by
 fingerprint, to rows with one and among themselves; doc_id is taken to name one text otherwise.
@@ -49,6 +51,9 @@ class Settings:
     shares: tuple[int, ...] = (1 << 17, 1 << 24)
     #: Links held at once before those of crowds are reduced.
     held: int = 500_000
+    #: Documents of a crowd, and bytes of their sets, that a part should hold; a task verifies the pairs of two parts.
+    tile: int = 1024
+    tile_bytes: int = 8 << 20
     #: Bound on doc_ids that are broadcast to pick the texts for verification; beyond it they are joined by a shuffle.
     broadcast_ids: int = 2_000_000
 
@@ -261,12 +266,12 @@ def _pair_links(at: Settings, share: tuple[int, int] | None) -> Callable[[pa.Tab
 
 
 def _set_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Replace u's text by its set of shingles."""
+    """Replace a text by its set of shingles, in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(t, at.words)).tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sets, pa.binary())], ["u", "v", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
     return run
 
@@ -275,8 +280,8 @@ def _alike_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = []
-            for one, text in zip(batch.column("shingles").to_pylist(), utf8(batch.column("text")), strict=True):
-                a, b = np.frombuffer(one, np.uint64), np.unique(shingles(text, at.words))
+            for one, two in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
+                a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 alike.append(both >= at.similarity * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
@@ -284,6 +289,46 @@ def _alike_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def _alike_in_tile(at: Settings) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The pairs (u, v) of a tile whose sets (doc, shingles), which all are in the tile, are similar."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        docs = sets.column("doc").to_numpy()
+        order = np.argsort(docs, kind="stable")
+        docs, held = docs[order], [sets.column("shingles")[k].as_py() for k in order.tolist()]
+        size = np.array([len(x) // 8 for x in held], np.int64)
+        first = np.cumsum(size) - size
+        _, ids = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)
+        mark = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
+        u, v = (pairs.column(c).to_numpy() for c in ("u", "v"))
+        # Rows that repeat a doc_id are one place each.
+        many = [(np.searchsorted(docs, x), np.searchsorted(docs, x, side="right")) for x in (u, v)]
+        wide = many[1][1] - many[1][0]
+        sizes = (many[0][1] - many[0][0]) * wide
+        pair = np.repeat(np.arange(len(u)), sizes)
+        at_pair = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        i, j = many[0][0][pair] + at_pair // wide[pair], many[1][0][pair] + at_pair % wide[pair]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        kept = [np.zeros((2, 0), np.int64)]
+        for some in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+            if not len(some):
+                continue
+            x, ys = i[some[0]], j[some]
+            mine = ids[first[x] : first[x] + size[x]]
+            mark[mine] = 1
+            begin = np.cumsum(size[ys]) - size[ys]
+            theirs = np.arange(int(size[ys].sum())) + np.repeat(first[ys] - begin, size[ys])
+            both = np.add.reduceat(mark[ids[theirs]], begin)
+            mark[mine] = 0
+            ys = ys[both >= at.similarity * (size[x] + size[ys] - both)]
+            kept.append(np.stack([np.full(len(ys), docs[x]), docs[ys]]))
+        found = np.concatenate(kept, axis=1)
+        return pa.table({"u": pa.array(found[0]), "v": pa.array(found[1])})
+
+    return run
+
+
 def _candidates(signed: DataFrame, share: tuple[int, int] | None, at: Settings) -> DataFrame:
     """(u, v, cut) from signed(doc, signature, group)."""
     levels = min(_BLOCK_BITS, max(2, (signed.count() // at.subtree).bit_length()))
@@ -294,15 +339,40 @@ def _candidates(signed: DataFrame, share: tuple[int, int] | None, at: Settings)
     return materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("cut").alias("cut")), "near-pairs")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, at: Settings) -> DataFrame:
-    """The pairs(u, v) whose texts(doc, text) are similar."""
-    pairs = pairs.select("u", "v")
+def _sets(pairs: DataFrame, texts: DataFrame, at: Settings) -> DataFrame:
+    """(doc, shingles) of the texts(doc, text) in pairs(u, v)."""
     asked = pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct()
     asked = F.broadcast(asked) if asked.count() <= at.broadcast_ids else asked
-    texts = texts.join(asked, "doc", "left_semi")
-    mine = pairs.join(texts, pairs.u == texts.doc).select("u", "v", "text").mapInArrow(_set_batches(at), "u long, v long, shingles binary")
-    theirs = texts.select(F.col("doc").alias("v"), "text")
-    return materialise(mine.join(theirs, "v").select("u", "v", "shingles", "text").mapInArrow(_alike_batches(at), "u long, v long"), "near-verified")
+    return materialise(texts.join(asked, "doc", "left_semi").select("doc", "text").mapInArrow(_set_batches(at), "doc long, shingles binary"), "near-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, at: Settings) -> DataFrame:
+    """The pairs(u, v) whose sets(doc, shingles) are similar."""
+    mine = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("mine"))
+    theirs = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("theirs"))
+    found = pairs.select("u", "v").join(mine, "u").join(theirs, "v").select("u", "v", "mine", "theirs")
+    return materialise(found.mapInArrow(_alike_batches(at), "u long, v long"), "near-verified")
+
+
+def _parts(crowds: DataFrame, sets: DataFrame, at: Settings) -> DataFrame:
+    """(doc, crowd, part): the documents of a crowd dealt into parts of bounded number and bytes."""
+    weight = sets.select("doc", F.length("shingles").alias("bytes"))
+    sizes = crowds.join(weight, "doc").groupBy("crowd").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    number = F.ceil(F.greatest(F.col("n") / at.tile, F.col("bytes") / at.tile_bytes))
+    return materialise(crowds.join(sizes, "crowd").select("doc", "crowd", F.pmod(F.xxhash64("doc"), number).alias("part")), "near-parts")
+
+
+def _verified_in_crowds(pairs: DataFrame, sets: DataFrame, parts: DataFrame, at: Settings) -> DataFrame:
+    """As ``_verified``, for pairs within crowds: a tile, two parts, gets each of its sets once, not once for each pair."""
+    a = parts.select(F.col("doc").alias("u"), "crowd", F.col("part").alias("a"))
+    b = parts.select(F.col("doc").alias("v"), F.col("part").alias("b"))
+    tile = ["crowd", "p", "q"]
+    dealt = pairs.select("u", "v").join(a, "u").join(b, "v")
+    dealt = materialise(dealt.select("crowd", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "u", "v"), "near-tiles")
+    own = [F.col(c).alias(f"own_{c}") for c in tile]
+    held = dealt.select(*own, F.col("u").alias("doc")).union(dealt.select(*own, "v")).distinct().join(sets, "doc")
+    found = dealt.groupBy(*tile).cogroup(held.groupBy(*(f"own_{c}" for c in tile))).applyInArrow(_alike_in_tile(at), "u long, v long")
+    return materialise(found, "near-verified")
 
 
 def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFrame:
@@ -312,11 +382,13 @@ def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFram
     """
     signed = signed.select("doc", "signature")
     pairs = _candidates(signed.withColumn("group", F.col("doc")), None, at)
-    similar = _verified(pairs, texts, at)
+    sets = _sets(pairs, texts, at)
+    similar = _verified(pairs, sets, at)
     cut = pairs.where("cut")
     if cut.isEmpty():
         return similar
     crowds = materialise(connected_components(cut).select(F.col("node").alias("doc"), F.col("component").alias("crowd")), "near-crowds")
+    parts = _parts(crowds, sets, at)
     for share in zip((0, *at.shares), at.shares):
         groups = connected_components(similar).select(F.col("node").alias("doc"), F.col("component").alias("group"))
         now = materialise(crowds.join(groups, "doc", "left").select("doc", "crowd", F.coalesce("group", "doc").alias("group")), "near-groups")
@@ -324,7 +396,7 @@ def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFram
         if apart.isEmpty():
             break
         some = now.join(apart, "crowd", "left_semi").select("doc", "group")
-        similar = similar.union(_verified(_candidates(signed.join(some, "doc"), share, at), texts, at))
+        similar = similar.union(_verified_in_crowds(_candidates(signed.join(some, "doc"), share, at), sets, parts, at))
     return similar
 
 

@@ -3,11 +3,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tests.llm.fixtures import DOCUMENTS, TEXTS, awkward, documents
 
-from strandplan.llm import exact_dedup, near_copies, simhash
+from strandplan.llm import components, exact_dedup, near_copies, simhash
 from strandplan.llm.components import connected_components
 from strandplan.llm.queries import op8_simhash_near_dedup, op9_exact_dedup
 
@@ -221,8 +222,8 @@ def test_signature_ignores_how_often_a_line_repeats():
     assert near_copies.signature(once, at) == near_copies.signature(often, at)
 
 
-@pytest.mark.parametrize("part", [7, 1 << 15])
-def test_similar_candidates_of_a_crowd_are_all_verified(spark, part):
+@pytest.mark.parametrize(("part", "tile", "tile_bytes"), [(7, 16, 1 << 23), (1 << 15, 1024, 20_000), (1 << 15, 1024, 1 << 23)])
+def test_similar_candidates_of_a_crowd_are_all_verified(spark, part, tile, tile_bytes):
     rng = random.Random(12)
     template = [f"w{rng.randrange(10**6)}" for _ in range(300)]
     texts = []
@@ -231,7 +232,7 @@ def test_similar_candidates_of_a_crowd_are_all_verified(spark, part):
         for k in rng.sample(range(300), rng.choice([2, 3, 4, 4, 5])):
             own[k] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(own))
-    at = near_copies.Settings(crowd=8, part=part)
+    at = near_copies.Settings(crowd=8, part=part, tile=tile, tile_bytes=tile_bytes)
     signs = [near_copies.signature(t.encode(), at) for t in texts]
     bits = np.array([np.frombuffer(b, np.uint8) for b in signs])
     shingle = [sets(t) for t in texts]
@@ -249,6 +250,27 @@ def test_similar_candidates_of_a_crowd_are_all_verified(spark, part):
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
+def test_pairs_of_a_tile_as_pair_by_pair():
+    rng = np.random.default_rng(5)
+    at = near_copies.Settings()
+    held = [np.unique(rng.integers(0, 12, rng.integers(1, 30)).astype(np.uint64)) for _ in range(40)]
+    docs = np.array([*range(100, 139), 100])  # one doc_id has two sets
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(100, 139), np.arange(100, 139)))
+    u, v = u[u < v], v[u < v]
+    table = pa.table({"doc": pa.array(docs), "shingles": pa.array([x.tobytes() for x in held], pa.binary())})
+    found = near_copies._alike_in_tile(at)(pa.table({"u": pa.array(u), "v": pa.array(v)}), table)
+    got = set(zip(*(found.column(c).to_pylist() for c in ("u", "v")), strict=True))
+    own = [(int(d), set(x.tolist())) for d, x in zip(docs, held, strict=True)]
+    assert got == {(c, d) for c, a in own for d, b in own if c < d and len(a & b) >= at.similarity * len(a | b)}
+    none = near_copies._alike_in_tile(at)(pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())}), table.slice(0, 0))
+    assert none.num_rows == 0
+
+
+def test_stars_of_a_task():
+    ends = np.array([[5, 9, 7, 1, 30, 2], [7, 5, 3, 2, 40, 1]])
+    assert sorted(components._stars(ends).T.tolist()) == [[2, 1], [5, 3], [7, 3], [9, 3], [40, 30]]
+
+
 def test_links_of_a_crowd_connect_it():
     at = near_copies.Settings(crowd=4, held=50)
     links = near_copies.Links(30, at)
