@@ -252,7 +252,7 @@ def _pair_links(at: Settings, share: tuple[int, int] | None) -> Callable[[pa.Tab
                 x, y = x[new], y[new]
                 wide = b_first[y + 1] - b_first[y]
                 sizes = (a_first[x + 1] - a_first[x]) * wide
-                for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 20))) + 1):
+                for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 18))) + 1):
                     pair = np.repeat(part, sizes[part])
                     place = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
                     compare(a_first[x[pair]] + place // wide[pair], b_first[y[pair]] + place % wide[pair] + shift)
@@ -266,25 +266,14 @@ def _pair_links(at: Settings, share: tuple[int, int] | None) -> Callable[[pa.Tab
 
 
 def _set_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Replace a text by its set of shingles, in ascending order."""
+    """Replace a text by its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles(t, at.words)).tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], ["doc", "shingles"])
-
-    return run
-
-
-def _alike_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for one, two in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
-                a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                alike.append(both >= at.similarity * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+            sets = [np.unique(shingles(t, at.words)) for t in utf8(batch.column("text"))]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            held = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(ends), held)], ["doc", "shingles"])
 
     return run
 
@@ -293,12 +282,11 @@ def _alike_in_tile(at: Settings) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The pairs (u, v) of a tile whose sets (doc, shingles), which all are in the tile, are similar."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        docs = sets.column("doc").to_numpy()
+        docs, held = sets.column("doc").to_numpy(), sets.column("shingles").combine_chunks()
         order = np.argsort(docs, kind="stable")
-        docs, held = docs[order], [sets.column("shingles")[k].as_py() for k in order.tolist()]
-        size = np.array([len(x) // 8 for x in held], np.int64)
-        first = np.cumsum(size) - size
-        _, ids = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)
+        ends = np.cumsum(size := np.diff(held.offsets.to_numpy()).astype(np.int64))
+        docs, size, first = docs[order], size[order], (ends - size)[order]
+        _, ids = np.unique(held.flatten().to_numpy(), return_inverse=True)
         mark = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
         u, v = (pairs.column(c).to_numpy() for c in ("u", "v"))
         # Rows that repeat a doc_id are one place each.
@@ -343,20 +331,23 @@ def _sets(pairs: DataFrame, texts: DataFrame, at: Settings) -> DataFrame:
     """(doc, shingles) of the texts(doc, text) in pairs(u, v)."""
     asked = pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct()
     asked = F.broadcast(asked) if asked.count() <= at.broadcast_ids else asked
-    return materialise(texts.join(asked, "doc", "left_semi").select("doc", "text").mapInArrow(_set_batches(at), "doc long, shingles binary"), "near-sets")
+    return materialise(texts.join(asked, "doc", "left_semi").select("doc", "text").mapInArrow(_set_batches(at), "doc long, shingles array<long>"), "near-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, at: Settings) -> DataFrame:
     """The pairs(u, v) whose sets(doc, shingles) are similar."""
     mine = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("mine"))
     theirs = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("theirs"))
-    found = pairs.select("u", "v").join(mine, "u").join(theirs, "v").select("u", "v", "mine", "theirs")
-    return materialise(found.mapInArrow(_alike_batches(at), "u long, v long"), "near-verified")
+    # both >= similarity * (mine + theirs - both), in whole millionths
+    whole, least = 1_000_000, round(at.similarity * 1_000_000)
+    both = F.size(F.array_intersect("mine", "theirs")).cast("long")
+    alike = both * (whole + least) >= (F.size("mine") + F.size("theirs")).cast("long") * least
+    return materialise(pairs.select("u", "v").join(mine, "u").join(theirs, "v").where(alike).select("u", "v"), "near-verified")
 
 
 def _parts(crowds: DataFrame, sets: DataFrame, at: Settings) -> DataFrame:
     """(doc, crowd, part): the documents of a crowd dealt into parts of bounded number and bytes."""
-    weight = sets.select("doc", F.length("shingles").alias("bytes"))
+    weight = sets.select("doc", (8 * F.size("shingles")).alias("bytes"))
     sizes = crowds.join(weight, "doc").groupBy("crowd").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     number = F.ceil(F.greatest(F.col("n") / at.tile, F.col("bytes") / at.tile_bytes))
     return materialise(crowds.join(sizes, "crowd").select("doc", "crowd", F.pmod(F.xxhash64("doc"), number).alias("part")), "near-parts")

@@ -257,7 +257,7 @@ def test_pairs_of_a_tile_as_pair_by_pair():
     docs = np.array([*range(100, 139), 100])  # one doc_id has two sets
     u, v = (x.ravel() for x in np.meshgrid(np.arange(100, 139), np.arange(100, 139)))
     u, v = u[u < v], v[u < v]
-    table = pa.table({"doc": pa.array(docs), "shingles": pa.array([x.tobytes() for x in held], pa.binary())})
+    table = pa.table({"doc": pa.array(docs), "shingles": pa.array([x.tolist() for x in held], pa.list_(pa.int64()))})
     found = near_copies._alike_in_tile(at)(pa.table({"u": pa.array(u), "v": pa.array(v)}), table)
     got = set(zip(*(found.column(c).to_pylist() for c in ("u", "v")), strict=True))
     own = [(int(d), set(x.tolist())) for d, x in zip(docs, held, strict=True)]
