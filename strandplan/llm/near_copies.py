@@ -10,9 +10,9 @@ once for each text.  A pair of similarity 0.8 is within three bits in a band wit
 
 A task that finds more than ``crowd`` texts linked together passes on the links of a smallest spanning forest by sketch
 distance, else all of them; so a large group of near copies doesn't leave it as all its pairs.  Where the verified links
-leave such a crowd in several groups, its further pairs of texts in different groups are verified in growing shares, by
-a hash of the pair, until the crowd is one group or all its pairs have had their turn.  These pairs are verified in tiles,
-pairs of parts of a crowd, so a set travels once for each tile.
+leave such a crowd in several groups, its further candidates in different groups are found and verified in tiles: first
+within parts of the crowd of bounded size, then between its texts outside its largest group, in parts, and all its parts.
+Parts travel as one row each, and a tile returns only links that join groups, so pairs are never rows.
 
 Null texts are empty.  Texts without words are near copies of each other.  Rows without doc_id are only linked by
 fingerprint, to rows with one and among themselves; doc_id is taken to name one text otherwise.
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,20 +48,18 @@ class Settings:
     #: Texts in a block beyond twice which it is split into parts of so many.
     part: int = 1 << 15
     crowd: int = 64
-    #: Ends of the shares, in 1 / 2**24, in which the further pairs of crowds are verified; the last is all.
-    shares: tuple[int, ...] = (1 << 17, 1 << 24)
     #: Links held at once before those of crowds are reduced.
     held: int = 500_000
     #: Documents of a crowd, and bytes of their sets, that a part should hold; a task verifies the pairs of two parts.
-    tile: int = 1024
-    tile_bytes: int = 8 << 20
-    #: Bound on doc_ids that are broadcast to pick the texts for verification; beyond it they are joined by a shuffle.
+    tile: int = 2048
+    tile_bytes: int = 4 << 20
+    #: Bound on rows of ids that are broadcast; beyond it they are joined by a shuffle.
     broadcast_ids: int = 2_000_000
 
 
 #: Blocks of a band, one more than the budget of bits, and the bits of a block.
 _BLOCKS, _BLOCK_BITS = 4, 8
-_ENTRY = np.dtype([("value", "<u4"), ("sketch", "<u8"), ("doc", "<i8"), ("group", "<i8")])
+_ENTRY = np.dtype([("value", "<u4"), ("sketch", "<u8"), ("doc", "<i8")])
 #: Fixed odd multipliers that make further hashes of a shingle's.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -83,8 +82,10 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 def signature(text: bytes, at: Settings) -> bytes | None:
     """The sketch and the bands of a text's set of shingles; null if it has no words."""
     base = np.unique(shingles(text, at.words))
-    if not len(base):
-        return None
+    return _sign(base, at) if len(base) else None
+
+
+def _sign(base: np.ndarray, at: Settings) -> bytes:
     mixed = np.empty((len(base), 1 + (at.bands + 1) // 2), np.uint64)
     for k in range(mixed.shape[1]):
         column = (base ^ _ODD[k % 8]) * _ODD[(k + 3 + k // 8) % 8]
@@ -142,7 +143,6 @@ def _block_batches(at: Settings, levels: int, crowded: dict[int, int]) -> Callab
             signs = _signs(batch)
             entries = np.zeros(batch.num_rows, _ENTRY)
             entries["doc"], entries["sketch"] = batch.column("doc").to_numpy(), np.ascontiguousarray(signs[:, :8]).view("<u8")[:, 0]
-            entries["group"] = batch.column("group").to_numpy()
             lot = (entries["doc"].astype(np.uint64) * _ODD[3]) >> np.uint64(40)
             rows: list[tuple] = []
             for band, turn, value in _turned(signs, at):
@@ -206,15 +206,8 @@ def _leaves(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return entries, values.astype(np.uint64), np.append(first, len(entries))
 
 
-def _turns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of 24 bits of pairs of doc_ids, either first."""
-    out = np.minimum(a, b).astype(np.uint64) * _ODD[0] ^ np.maximum(a, b).astype(np.uint64) * _ODD[1]
-    out = (out ^ out >> np.uint64(31)) * _ODD[2]
-    return (out >> np.uint64(40)).astype(np.int64)
-
-
-def _pair_links(at: Settings, share: tuple[int, int] | None) -> Callable[[pa.Table], pa.Table]:
-    """Candidates between groups: those whose turn is in the share, or (None) all but of crowds, which have ``cut`` set."""
+def _pair_links(at: Settings) -> Callable[[pa.Table], pa.Table]:
+    """Candidates, all but of crowds, which have ``cut`` set."""
 
     def run(table: pa.Table) -> pa.Table:
         data, second = table.column("data").to_pylist(), table.column("second").to_pylist()
@@ -224,18 +217,11 @@ def _pair_links(at: Settings, share: tuple[int, int] | None) -> Callable[[pa.Tab
         shift = 0 if right is None else len(a)
         nodes = a if right is None else np.concatenate([a, b])
         links = Links(len(nodes), at)
-        further: list[tuple[np.ndarray, np.ndarray]] = []
 
         def compare(i: np.ndarray, j: np.ndarray) -> None:
             distance = np.bitwise_count(nodes["sketch"][i] ^ nodes["sketch"][j])
             near = distance <= at.sketch_bits
-            if share is not None:
-                near &= nodes["group"][i] != nodes["group"][j]
-                u, v = nodes["doc"][i[near]], nodes["doc"][j[near]]
-                turn = _turns(u, v)
-                now = (turn >= share[0]) & (turn < share[1])
-                further.append((u[now], v[now]))
-            elif near.any():
+            if near.any():
                 links.add(i[near], j[near], distance[near])
 
         if right is None and not turn:
@@ -256,9 +242,6 @@ def _pair_links(at: Settings, share: tuple[int, int] | None) -> Callable[[pa.Tab
                     pair = np.repeat(part, sizes[part])
                     place = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
                     compare(a_first[x[pair]] + place // wide[pair], b_first[y[pair]] + place % wide[pair] + shift)
-        if share is not None:
-            u, v = (np.concatenate(x) for x in zip(*further, strict=True)) if further else (np.zeros(0, np.int64),) * 2
-            return pa.table({"u": pa.array(u), "v": pa.array(v), "cut": pa.array(np.zeros(len(u), bool))})
         u, v, _ = links.reduce()
         return pa.table({"u": pa.array(nodes["doc"][u]), "v": pa.array(nodes["doc"][v]), "cut": pa.array(links.crowded[u])})
 
@@ -278,52 +261,92 @@ def _set_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _alike_in_tile(at: Settings) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The pairs (u, v) of a tile whose sets (doc, shingles), which all are in the tile, are similar."""
-
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        docs, held = sets.column("doc").to_numpy(), sets.column("shingles").combine_chunks()
-        order = np.argsort(docs, kind="stable")
-        ends = np.cumsum(size := np.diff(held.offsets.to_numpy()).astype(np.int64))
-        docs, size, first = docs[order], size[order], (ends - size)[order]
-        _, ids = np.unique(held.flatten().to_numpy(), return_inverse=True)
-        mark = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
-        u, v = (pairs.column(c).to_numpy() for c in ("u", "v"))
-        # Rows that repeat a doc_id are one place each.
-        many = [(np.searchsorted(docs, x), np.searchsorted(docs, x, side="right")) for x in (u, v)]
-        wide = many[1][1] - many[1][0]
-        sizes = (many[0][1] - many[0][0]) * wide
-        pair = np.repeat(np.arange(len(u)), sizes)
-        at_pair = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        i, j = many[0][0][pair] + at_pair // wide[pair], many[1][0][pair] + at_pair % wide[pair]
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
-        kept = [np.zeros((2, 0), np.int64)]
-        for some in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
-            if not len(some):
-                continue
-            x, ys = i[some[0]], j[some]
-            mine = ids[first[x] : first[x] + size[x]]
-            mark[mine] = 1
-            begin = np.cumsum(size[ys]) - size[ys]
-            theirs = np.arange(int(size[ys].sum())) + np.repeat(first[ys] - begin, size[ys])
-            both = np.add.reduceat(mark[ids[theirs]], begin)
-            mark[mine] = 0
-            ys = ys[both >= at.similarity * (size[x] + size[ys] - both)]
-            kept.append(np.stack([np.full(len(ys), docs[x]), docs[ys]]))
-        found = np.concatenate(kept, axis=1)
-        return pa.table({"u": pa.array(found[0]), "v": pa.array(found[1])})
+def _joining(left: pa.Table, right: pa.Table, at: Settings) -> pa.Table:
+    """Links (u, v) of similar texts, one of each table, that join what all candidates in different groups join.
+
+    The tables have (doc, group, asks, shingles, signature); pairs of texts that both ask are looked at once, u < v.
+    """
+    sides = (left, right)
+    xs, ys = (t.column("doc").to_numpy() for t in sides)
+    group = np.unique(np.concatenate([t.column("group").to_numpy() for t in sides]), return_inverse=True)[1]
+    x_group, y_group = group[: len(xs)], group[len(xs) :]
+    asks = right.column("asks").to_numpy()
+    signs = [np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, 8 + 4 * at.bands) for t in sides]
+    x_sketch, y_sketch = (np.ascontiguousarray(s[:, :8]).view("<u8")[:, 0] for s in signs)
+    x_bands, y_bands = (np.ascontiguousarray(s[:, 8:]).view("<u4") for s in signs)
+    held = [t.column("shingles").combine_chunks() for t in sides]
+    x_size, y_size = (np.diff(h.offsets.to_numpy()).astype(np.int64) for h in held)
+    size = np.concatenate([x_size, y_size])
+    x_first, y_first = np.split(np.cumsum(size) - size, [len(xs)])
+    _, ids = np.unique(np.concatenate([h.flatten().to_numpy() for h in held]), return_inverse=True)
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
+    kept: list[tuple[int, int]] = []
+    for x, doc in enumerate(xs.tolist()):
+        near = np.flatnonzero((y_group != x_group[x]) & (~asks | (ys > doc)))
+        near = near[np.bitwise_count(y_sketch[near] ^ x_sketch[x]) <= at.sketch_bits]
+        if len(near):
+            near = near[np.bitwise_count(y_bands[near] ^ x_bands[x]).min(axis=1) <= at.budget]
+        if not len(near):
+            continue
+        mine = ids[x_first[x] : x_first[x] + x_size[x]]
+        mark[mine] = 1
+        begin = np.cumsum(y_size[near]) - y_size[near]
+        theirs = np.arange(int(y_size[near].sum())) + np.repeat(y_first[near] - begin, y_size[near])
+        both = np.add.reduceat(mark[ids[theirs]], begin)
+        mark[mine] = 0
+        for y in near[both >= at.similarity * (x_size[x] + y_size[near] - both)].tolist():
+            if (old := y_group[y]) != (new := x_group[x]):
+                kept.append((doc, int(ys[y])))
+                x_group[x_group == old] = new
+                y_group[y_group == old] = new
+    u, v = zip(*kept, strict=True) if kept else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _with_signatures(table: pa.Table, at: Settings) -> pa.Table:
+    held = table.column("shingles").combine_chunks()
+    flat = held.flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum(np.diff(held.offsets.to_numpy()))[:-1]
+    return table.append_column("signature", pa.array([_sign(s, at) for s in np.split(flat, ends)], pa.binary()))
+
+
+def _within_part(at: Settings) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        own = _with_signatures(table, at)
+        return _joining(own, own, at)
+
+    return run
+
+
+def _packed_part(at: Settings) -> Callable[[pa.Table], pa.Table]:
+    """A part (crowd, part, others, doc, group, asks, shingles) as one row (crowd, part, others, data)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = _with_signatures(table.select(["doc", "group", "asks", "shingles"]), at)
+        with pa.ipc.new_stream(sink := pa.BufferOutputStream(), own.schema) as out:
+            out.write_table(own)
+        return table.select(["crowd", "part", "others"]).slice(0, 1).append_column("data", pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+
+    return run
+
+
+def _between_parts(at: Settings) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows < 2:  # the hash left the other part empty
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        left, right = (pa.ipc.open_stream(table.filter(pc.equal(table.column("second"), second)).column("data")[0].as_py()).read_all() for second in (False, True))
+        return _joining(left, right, at)
 
     return run
 
 
-def _candidates(signed: DataFrame, share: tuple[int, int] | None, at: Settings) -> DataFrame:
-    """(u, v, cut) from signed(doc, signature, group)."""
+def _candidates(signed: DataFrame, at: Settings) -> DataFrame:
+    """(u, v, cut) from signed(doc, signature)."""
     levels = min(_BLOCK_BITS, max(2, (signed.count() // at.subtree).bit_length()))
     sizes = signed.select("signature").mapInArrow(_size_batches(at), "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
     crowded = {r.block: -(-r.n // at.part) for r in sizes.where(F.col("n") > 2 * at.part).collect()}
     blocks = signed.mapInArrow(_block_batches(at, levels, crowded), "band int, turn int, path int, p int, q int, second boolean, data binary")
-    found = blocks.groupBy("band", "turn", "path", "p", "q").applyInArrow(_pair_links(at, share), "u long, v long, cut boolean")
+    found = blocks.groupBy("band", "turn", "path", "p", "q").applyInArrow(_pair_links(at), "u long, v long, cut boolean")
     return materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("cut").alias("cut")), "near-pairs")
 
 
@@ -345,25 +368,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, at: Settings) -> DataFrame:
     return materialise(pairs.select("u", "v").join(mine, "u").join(theirs, "v").where(alike).select("u", "v"), "near-verified")
 
 
-def _parts(crowds: DataFrame, sets: DataFrame, at: Settings) -> DataFrame:
-    """(doc, crowd, part): the documents of a crowd dealt into parts of bounded number and bytes."""
-    weight = sets.select("doc", (8 * F.size("shingles")).alias("bytes"))
-    sizes = crowds.join(weight, "doc").groupBy("crowd").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    number = F.ceil(F.greatest(F.col("n") / at.tile, F.col("bytes") / at.tile_bytes))
-    return materialise(crowds.join(sizes, "crowd").select("doc", "crowd", F.pmod(F.xxhash64("doc"), number).alias("part")), "near-parts")
+def _small(rows: DataFrame, at: Settings) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= at.broadcast_ids else rows
+
+
+def _apart(crowds: DataFrame, similar: DataFrame, at: Settings) -> DataFrame:
+    """(doc, crowd, group, asks, parts, asking_parts) of the crowds(doc, crowd, bytes) that are several groups still.
+
+    Texts outside a crowd's largest group ask.  The numbers of parts are those of all its texts and of those that ask.
+    """
+    groups = connected_components(similar).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    now = materialise(crowds.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "near-groups")
+    sizes = now.groupBy("crowd", "group").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.groupBy("crowd").agg(F.max(F.struct("n", "group", "bytes")).alias("most"), F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = lambda n, size: F.greatest(F.ceil(n / at.tile), F.ceil(size / at.tile_bytes), F.lit(1)).cast("int")
+    asking = parts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))
+    state = materialise(sizes.where("groups > 1").select("crowd", F.col("most.group").alias("main"), parts(F.col("n"), F.col("bytes")).alias("parts"), asking.alias("asking_parts")), "near-apart")
+    return materialise(now.join(_small(state, at), "crowd").select("doc", "crowd", "group", (F.col("group") != F.col("main")).alias("asks"), "parts", "asking_parts"), "near-asking")
+
+
+def _linked_within(apart: DataFrame, sets: DataFrame, at: Settings) -> DataFrame:
+    """(u, v): links that join groups within the parts of crowds; there every text asks."""
+    rows = apart.select("doc", "crowd", "group", F.lit(True).alias("asks"), F.pmod(F.xxhash64("doc"), "parts").alias("part"))
+    found = rows.join(sets, "doc").groupBy("crowd", "part").applyInArrow(_within_part(at), "u long, v long")
+    return materialise(found, "near-within")
+
 
+def _linked_between(apart: DataFrame, sets: DataFrame, at: Settings) -> DataFrame:
+    """(u, v): links that join groups between the parts of texts that ask and all parts of a crowd."""
 
-def _verified_in_crowds(pairs: DataFrame, sets: DataFrame, parts: DataFrame, at: Settings) -> DataFrame:
-    """As ``_verified``, for pairs within crowds: a tile, two parts, gets each of its sets once, not once for each pair."""
-    a = parts.select(F.col("doc").alias("u"), "crowd", F.col("part").alias("a"))
-    b = parts.select(F.col("doc").alias("v"), F.col("part").alias("b"))
-    tile = ["crowd", "p", "q"]
-    dealt = pairs.select("u", "v").join(a, "u").join(b, "v")
-    dealt = materialise(dealt.select("crowd", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "u", "v"), "near-tiles")
-    own = [F.col(c).alias(f"own_{c}") for c in tile]
-    held = dealt.select(*own, F.col("u").alias("doc")).union(dealt.select(*own, "v")).distinct().join(sets, "doc")
-    found = dealt.groupBy(*tile).cogroup(held.groupBy(*(f"own_{c}" for c in tile))).applyInArrow(_alike_in_tile(at), "u long, v long")
-    return materialise(found, "near-verified")
+    def packed(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.select("doc", "crowd", "group", "asks", F.pmod(F.xxhash64("doc"), own).alias("part"), F.col(other).alias("others")).join(sets, "doc")
+        return rows.groupBy("crowd", "part").applyInArrow(_packed_part(at), "crowd long, part long, others int, data binary")
+
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1))
+    left = packed(apart.where("asks"), "asking_parts", "parts").select("crowd", F.col("part").alias("a"), each.alias("b"), F.lit(False).alias("second"), "data")
+    right = packed(apart, "parts", "asking_parts").select("crowd", each.alias("a"), F.col("part").alias("b"), F.lit(True).alias("second"), "data")
+    whole = left.unionByName(right).groupBy("crowd", "a", "b").applyInArrow(_between_parts(at), "u long, v long")
+    return materialise(whole, "near-between")
 
 
 def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFrame:
@@ -371,24 +413,23 @@ def similar_links(signed: DataFrame, texts: DataFrame, at: Settings) -> DataFram
 
     They connect what all similar candidates connect, but aren't all of these.
     """
-    signed = signed.select("doc", "signature")
-    pairs = _candidates(signed.withColumn("group", F.col("doc")), None, at)
+    pairs = _candidates(signed.select("doc", "signature"), at)
     sets = _sets(pairs, texts, at)
     similar = _verified(pairs, sets, at)
     cut = pairs.where("cut")
     if cut.isEmpty():
         return similar
-    crowds = materialise(connected_components(cut).select(F.col("node").alias("doc"), F.col("component").alias("crowd")), "near-crowds")
-    parts = _parts(crowds, sets, at)
-    for share in zip((0, *at.shares), at.shares):
-        groups = connected_components(similar).select(F.col("node").alias("doc"), F.col("component").alias("group"))
-        now = materialise(crowds.join(groups, "doc", "left").select("doc", "crowd", F.coalesce("group", "doc").alias("group")), "near-groups")
-        apart = now.groupBy("crowd").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("crowd")
-        if apart.isEmpty():
-            break
-        some = now.join(apart, "crowd", "left_semi").select("doc", "group")
-        similar = similar.union(_verified_in_crowds(_candidates(signed.join(some, "doc"), share, at), sets, parts, at))
-    return similar
+    weight = sets.groupBy("doc").agg(F.sum(8 * F.size("shingles")).alias("bytes"))
+    crowds = connected_components(cut).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
+    crowds = materialise(crowds.join(weight, "doc"), "near-crowds")
+    apart = _apart(crowds, similar, at)
+    if apart.isEmpty():
+        return similar
+    similar = similar.union(_linked_within(apart, sets, at))
+    if apart.where("parts > 1").isEmpty():
+        return similar
+    apart = _apart(crowds, similar, at).where("parts > 1")
+    return similar if apart.isEmpty() else similar.union(_linked_between(apart, sets, at))
 
 
 def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -222,7 +222,7 @@ def test_signature_ignores_how_often_a_line_repeats():
     assert near_copies.signature(once, at) == near_copies.signature(often, at)
 
 
-@pytest.mark.parametrize(("part", "tile", "tile_bytes"), [(7, 16, 1 << 23), (1 << 15, 1024, 20_000), (1 << 15, 1024, 1 << 23)])
+@pytest.mark.parametrize(("part", "tile", "tile_bytes"), [(7, 16, 1 << 23), (1 << 15, 1024, 20_000), (1 << 15, 1024, 1 << 23), (1 << 15, 10, 1 << 23)])
 def test_similar_candidates_of_a_crowd_are_all_verified(spark, part, tile, tile_bytes):
     rng = random.Random(12)
     template = [f"w{rng.randrange(10**6)}" for _ in range(300)]
@@ -250,19 +250,35 @@ def test_similar_candidates_of_a_crowd_are_all_verified(spark, part, tile, tile_
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
-def test_pairs_of_a_tile_as_pair_by_pair():
+@pytest.mark.parametrize("apart", [True, False])
+def test_links_of_a_tile_join_what_its_similar_candidates_join(apart):
     rng = np.random.default_rng(5)
-    at = near_copies.Settings()
-    held = [np.unique(rng.integers(0, 12, rng.integers(1, 30)).astype(np.uint64)) for _ in range(40)]
-    docs = np.array([*range(100, 139), 100])  # one doc_id has two sets
-    u, v = (x.ravel() for x in np.meshgrid(np.arange(100, 139), np.arange(100, 139)))
-    u, v = u[u < v], v[u < v]
-    table = pa.table({"doc": pa.array(docs), "shingles": pa.array([x.tolist() for x in held], pa.list_(pa.int64()))})
-    found = near_copies._alike_in_tile(at)(pa.table({"u": pa.array(u), "v": pa.array(v)}), table)
-    got = set(zip(*(found.column(c).to_pylist() for c in ("u", "v")), strict=True))
-    own = [(int(d), set(x.tolist())) for d, x in zip(docs, held, strict=True)]
-    assert got == {(c, d) for c, a in own for d, b in own if c < d and len(a & b) >= at.similarity * len(a | b)}
-    none = near_copies._alike_in_tile(at)(pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())}), table.slice(0, 0))
+    at = near_copies.Settings(sketch_bits=26, budget=6)
+    base = rng.integers(0, 1 << 62, (4, 60))
+    held = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(0, 1 << 62, 60), base[k % 4])).astype(np.uint64) for k in range(60)]
+    signs = np.array([np.frombuffer(near_copies._sign(x, at), np.uint8) for x in held])
+    group = np.where(np.arange(60) < 12, np.arange(60) % 4, np.arange(60))  # some are linked before
+    asks = np.arange(60) >= 12
+    table = pa.table({"doc": pa.array(range(60)), "group": pa.array(group), "asks": pa.array(asks), "shingles": pa.array([x.view(np.int64).tolist() for x in held], pa.list_(pa.int64()))})
+    table = near_copies._with_signatures(table, at)
+    left = table.filter(pa.array(asks)) if apart else table.set_column(2, "asks", pa.array([True] * 60))
+    found = near_copies._joining(left, table if apart else left, at)
+    got, want = group.copy(), group.copy()
+    for i, j in zip(*(found.column(c).to_pylist() for c in ("u", "v")), strict=True):
+        assert got[i] != got[j] and len(set(held[i]) & set(held[j])) >= at.similarity * len(set(held[i]) | set(held[j]))
+        got[got == got[j]] = got[i]
+    candidates = 0
+    for i in range(60):
+        for j in range(i):
+            differ = np.bitwise_count(signs[i] ^ signs[j])
+            near = differ[:8].sum() <= at.sketch_bits and differ[8:].reshape(-1, 4).sum(axis=1).min() <= at.budget
+            if near and (asks[i] or asks[j] or not apart):
+                candidates += 1
+                if len(set(held[i]) & set(held[j])) >= at.similarity * len(set(held[i]) | set(held[j])):
+                    want[want == want[j]] = want[i]
+    same = lambda g: {tuple(np.flatnonzero(g == x).tolist()) for x in np.unique(g)}
+    assert candidates > 50 and same(got) == same(want) and len(same(want)) < 48
+    none = near_copies._joining(left.slice(0, 0), table, at)
     assert none.num_rows == 0
 
 
