@@ -18,13 +18,16 @@ HELD = 1 << 20
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges``(u long, v long); a component is named by its smallest node.
 
-    Loops and repeated edges are allowed, nulls are not edges.  Each task first replaces the edges that it reads by stars.
-    Every round replaces the edges by ones to smaller
+    Loops and repeated edges are allowed, nulls are not edges.  Each task first replaces the edges that it reads by stars,
+    and those of as many tasks as hold ``HELD`` edges together are contracted once more; what fits in one is done then.
+    Every further round replaces the edges by ones to smaller
     neighbours and writes them to the shared folder; it ends when a round changes nothing, which takes a number of
     rounds logarithmic in the size of the largest component.
     """
-    stars = edges.where("u <> v").select("u", "v").mapInArrow(_star_batches, "u long, v long").distinct()
-    before, stars = None, materialise(stars, "components")
+    stars = materialise(edges.where("u <> v").select("u", "v").mapInArrow(_star_batches, "u long, v long"), "components")
+    tasks = max(1, -(-stars.count() // HELD))
+    stars = materialise(stars.coalesce(tasks).mapInArrow(_star_batches, "u long, v long"), "components")
+    before = _signature(stars) if tasks == 1 else None
     while (now := _signature(stars)) != before:
         before = now
         stars = materialise(_small_star(_large_star(stars)), "components")
