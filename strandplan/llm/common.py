@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandplan.lineage import materialise, shared_folder
 
-__all__ = ["commonest", "lower_ascii", "materialise", "own_name", "repeat_rows", "shared_folder", "shuffle_width", "utf8", "whole_text"]
+__all__ = ["ascii_words", "commonest", "lower_ascii", "materialise", "own_name", "repeat_rows", "shared_folder", "shuffle_width", "utf8", "whole_text"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -66,3 +66,12 @@ def shuffle_width(spark: SparkSession) -> int:
 def utf8(texts: pa.Array) -> list[bytes]:
     """Texts as UTF-8, null ones as empty."""
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
+#: Bytes of words stand for themselves in lower case, others for a blank; UTF-8 beyond ASCII is of words.
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def ascii_words(text: bytes) -> list[bytes]:
+    """Maximal runs of digits, letters a-z (A-Z are lower-cased) and characters beyond ASCII."""
+    return text.translate(_WORDS).split()

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandplan.llm import decontaminate, exact_dedup, lm_score, packing, quality, sharding, simhash, substring_dedup, token_counts, url_filters
+from strandplan.llm import decontaminate, exact_dedup, lexical_search, license_scan, lm_score, packing, quality, sharding, simhash, substring_dedup, token_counts, url_filters, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_benchmark_decontamination, op4_sharding, op5_quality_classifier, op6_lm_scoring, op7_url_filters, op8_simhash_near_dedup, op9_exact_dedup, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_benchmark_decontamination, op4_sharding, op5_quality_classifier, op6_lm_scoring, op7_url_filters, op8_simhash_near_dedup, op9_exact_dedup, op10_substring_dedup, op11_lexical_search, op12_license_scan, op13_embedding_whitening)} | {"pipeline": corpus_pipeline.run}
 
 _NORMALISED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -89,4 +101,19 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AND row_number() OVER (PARTITION BY text_sha256, doc_id) = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_lexical_search": rf"""
+        WITH words AS (
+            SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all({_NORMALISED}, '{lexical_search.TERM}')) AS term FROM documents),
+        sizes AS (SELECT row, count(*) AS n FROM words GROUP BY row),
+        totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+        counts AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY term, docs),
+        wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_NORMALISED}, '{lexical_search.TERM}')) AS term FROM benchmark),
+        scores AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (row), totals GROUP BY item_id, row, doc_id),
+        ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10""",
 }
