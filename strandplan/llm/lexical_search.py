@@ -79,6 +79,15 @@ class Queries:
         return self.holder[self.at[term][place] + inner], place
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest takes."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _unpack(buffer: pa.Buffer, count: int) -> np.ndarray:
+    return np.frombuffer(buffer, f"u{buffer.size // count}").astype(np.int64)
+
+
 def _block(number: int, held: list[tuple[int | None, list[bytes]]]) -> dict:
     tokens = pa.array([t for _, own in held for t in own], pa.large_binary()).dictionary_encode()
     names = tokens.dictionary.to_pylist()
@@ -95,15 +104,15 @@ def _block(number: int, held: list[tuple[int | None, list[bytes]]]) -> dict:
         "terms": int(lengths.sum()),
         "first_doc": min((d for d in ids if d is not None), default=_LAST),
         "names": b" ".join(names),
-        "holders": np.bincount(term, minlength=len(names)).astype(np.uint32).tobytes(),
-        "front_at": np.searchsorted(term[front], np.arange(len(names) + 1)).astype(np.uint32).tobytes(),
-        "front_tf": tf[front].astype(np.uint32).tobytes(),
-        "front_n": lengths[doc[front]].astype(np.uint32).tobytes(),
+        "holders": _pack(np.bincount(term, minlength=len(names))),
+        "front_at": _pack(np.searchsorted(term[front], np.arange(len(names) + 1))),
+        "front_tf": _pack(tf[front]),
+        "front_n": _pack(lengths[doc[front]]),
         "doc_ids": ids,
-        "lengths": lengths.astype(np.uint32).tobytes(),
-        "at": np.searchsorted(doc, np.arange(len(held) + 1)).astype(np.uint32).tobytes(),
-        "term": term.astype(np.uint32).tobytes(),
-        "tf": tf.astype(np.uint32).tobytes(),
+        "lengths": _pack(lengths),
+        "at": _pack(np.searchsorted(doc, np.arange(len(held) + 1))),
+        "term": _pack(term),
+        "tf": _pack(tf),
     }
 
 
@@ -150,21 +159,35 @@ def query_terms(items: DataFrame) -> DataFrame:
 
 
 class _Head:
-    """A block's bounds, for all queries of a batch."""
+    """A block, row ``r`` of a batch, and its bounds for all queries; reads the batch's buffers in place."""
 
-    def __init__(self, row: dict, queries: Queries) -> None:
-        self.row, self.queries = row, queries
-        self.query_term = np.array([queries.number.get(t, -1) for t in row["names"].split(b" ")], np.int64)
+    def __init__(self, batch: pa.RecordBatch, r: int, queries: Queries) -> None:
+        self.batch, self.r, self.queries = batch, r, queries
+        names = batch.column("names")[r].as_py().split(b" ")
+        self.size = len(names)
+        self.query_term = np.fromiter((queries.number.get(t, -1) for t in names), np.int32, self.size)
         self.hits = np.flatnonzero(self.query_term >= 0)
 
+    def numbers(self, column: str, count: int) -> np.ndarray:
+        return _unpack(self.batch.column(column)[self.r].as_buffer(), count)
+
+    @property
+    def first_doc(self) -> int:
+        return self.batch.column("first_doc")[self.r].as_py()
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return self.batch.column("doc_ids")[self.r].as_py()
+
     def holders(self) -> np.ndarray:
-        return np.frombuffer(self.row["holders"], np.uint32)[self.hits].astype(np.int64)
+        return self.numbers("holders", self.size)[self.hits]
 
     def bounds(self) -> np.ndarray:
         out = np.zeros(self.queries.count, np.int64)
         if len(self.hits):
-            tf, n = (np.frombuffer(self.row[c], np.uint32).astype(np.int64) for c in ("front_tf", "front_n"))
-            most = np.maximum.reduceat(self.queries.impact(tf, n), np.frombuffer(self.row["front_at"], np.uint32)[:-1].astype(np.int64))[self.hits]
+            at = self.numbers("front_at", self.size + 1)
+            tf, n = self.numbers("front_tf", at[-1]), self.numbers("front_n", at[-1])
+            most = np.maximum.reduceat(self.queries.impact(tf, n), at[:-1])[self.hits]
             own = self.query_term[self.hits]
             query, place = self.queries.spread(own)
             np.add.at(out, query, (most * self.queries.weight[own])[place])
@@ -172,14 +195,14 @@ class _Head:
 
     def scores(self, alive: np.ndarray) -> np.ndarray:
         """A row for each of the queries ``alive``, a column for each document."""
-        row, queries = self.row, self.queries
-        docs, number = len(row["doc_ids"]), np.full(queries.count, -1)
+        queries, docs = self.queries, self.batch.column("docs")[self.r].as_py()
+        number = np.full(queries.count, -1)
         number[alive] = np.arange(len(alive))
-        at, lengths, term, tf = (np.frombuffer(row[c], np.uint32).astype(np.int64) for c in ("at", "lengths", "term", "tf"))
-        doc, own = np.repeat(np.arange(docs), np.diff(at)), self.query_term[term]
-        hit = own >= 0
-        doc, own = doc[hit], own[hit]
-        value = queries.impact(tf[hit], lengths[doc]) * queries.weight[own]
+        at, lengths = self.numbers("at", docs + 1), self.numbers("lengths", docs)
+        own = self.query_term[self.numbers("term", at[-1])]
+        hit = np.flatnonzero(own >= 0)
+        doc, own, tf = np.repeat(np.arange(docs), np.diff(at))[hit], own[hit], self.numbers("tf", at[-1])[hit]
+        value = queries.impact(tf, lengths[doc]) * queries.weight[own]
         query, place = queries.spread(own)
         wanted = number[query] >= 0
         out = np.zeros(len(alive) * docs, np.int64)
@@ -222,8 +245,8 @@ def _holder_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         queries = shared.value
         holders = np.zeros(len(queries.number), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                head = _Head(row, queries)
+            for r in range(batch.num_rows):
+                head = _Head(batch, r, queries)
                 holders[head.query_term[head.hits]] += head.holders()
         term = np.flatnonzero(holders)
         yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(holders[term])], ["term", "holders"])
@@ -239,10 +262,10 @@ def _seed_batches(shared, seeds: int) -> Callable[[Iterator[pa.RecordBatch]], It
         heaps: list[list[tuple[int, int]]] = [[] for _ in range(queries.count)]
         least = np.zeros(queries.count, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                bounds = _Head(row, queries).bounds()
+            for r, block in enumerate(batch.column("block").to_pylist()):
+                bounds = _Head(batch, r, queries).bounds()
                 for q in np.flatnonzero(bounds > least):
-                    heapq.heappush(heaps[q], (int(bounds[q]), row["block"]))
+                    heapq.heappush(heaps[q], (int(bounds[q]), block))
                     if len(heaps[q]) > seeds:
                         heapq.heappop(heaps[q])
                         least[q] = heaps[q][0][0]
@@ -258,11 +281,12 @@ def _score_batches(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         queries, score, doc = shared.value
         best = _Best(k, score, doc)
         for batch in batches:
-            heads = [(head, head.bounds()) for head in (_Head(row, queries) for row in batch.to_pylist())]
-            for head, bounds in sorted(heads, key=lambda x: -int(x[1].max(initial=0))):
-                alive = np.flatnonzero(best.reached(bounds, head.row["first_doc"]))
+            bounds = [_Head(batch, r, queries).bounds() for r in range(batch.num_rows)]
+            for r in sorted(range(batch.num_rows), key=lambda r: -int(bounds[r].max(initial=0))):
+                alive = np.flatnonzero(best.reached(bounds[r], batch.column("first_doc")[r].as_py()))
                 if len(alive):
-                    best.take(alive, head.scores(alive), head.row["doc_ids"])
+                    head = _Head(batch, r, queries)
+                    best.take(alive, head.scores(alive), head.doc_ids)
         yield best.rows()
 
     return run
@@ -275,7 +299,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def _scored(index: DataFrame, queries: Queries, score: np.ndarray, doc: np.ndarray, k: int) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast((queries, score, doc))
-    columns = [*HEAD, "doc_ids", "lengths", "at", "term", "tf"]
+    columns = [*HEAD, "docs", "doc_ids", "lengths", "at", "term", "tf"]
     return _ranked(index.select(*columns).mapInArrow(_score_batches(shared, k), "query int, doc_id long, score long"), k)
 
 

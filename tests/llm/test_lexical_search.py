@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.fixtures import DOCUMENTS, LONG, awkward, documents
 
@@ -117,13 +118,14 @@ def test_maxima_bound_every_document_and_blocks_are_left_out():
     blocks[7][3] = (59, [b"w1", b"w2", b"w3"])
     number = {b"w1": 0, b"w2": 1, b"w3": 2}
     queries = ls.Queries(number, np.array([0, 1, 2, 3]), np.array([0, 0, 0]), 1, np.array([900, 700, 1100]), 240, sum(len(t) for b in blocks for _, t in b))
-    heads = [ls._Head(ls._block(n, b), queries) for n, b in enumerate(blocks)]
+    batch = pa.RecordBatch.from_pylist([ls._block(n, b) for n, b in enumerate(blocks)])
+    heads = [ls._Head(batch, r, queries) for r in range(batch.num_rows)]
     best, scored = ls._Best(1, np.zeros(1, np.int64), np.full(1, np.iinfo(np.int64).min)), 0
     for head in sorted(heads, key=lambda h: -h.bounds()[0]):
         scores = head.scores(np.array([0]))
         assert head.bounds()[0] >= scores.max()
-        if best.reached(head.bounds(), head.row["first_doc"])[0]:
-            best.take(np.array([0]), scores, head.row["doc_ids"])
+        if best.reached(head.bounds(), head.first_doc)[0]:
+            best.take(np.array([0]), scores, head.doc_ids)
             scored += 1
     assert best.rows().to_pylist() == [{"query": 0, "doc_id": 59, "score": max(int(h.scores(np.array([0])).max()) for h in heads)}]
     assert scored < len(blocks) / 2
