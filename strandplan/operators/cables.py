@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,88 @@ from strandplan.operators.roads import noisy
 Place = tuple[float, float]
 
 
+#: Searches from a node that are kept to go on from where they stopped.
+SEARCHES = 64
+
+
+class Search:
+    """Shortest ways from a node, found as far as they are asked for."""
+
+    def __init__(self, around: dict[int, list[tuple[int, float]]], source: int) -> None:
+        self.around, self.source = around, source
+        self.best: dict[int, tuple[float, int]] = {}
+        self.queue = [(0.0, -1, source)]
+
+    def reach(self, target: int) -> float | None:
+        while target not in self.best and self.queue:
+            d, via, node = heapq.heappop(self.queue)
+            if node not in self.best:
+                self.best[node] = (d, via)
+                for v, size in self.around.get(node, ()):
+                    if v not in self.best:
+                        heapq.heappush(self.queue, (d + size, node, v))
+        return self.best[target][0] if target in self.best else None
+
+    def way(self, target: int) -> list[int]:
+        """Nodes from the source to a target that was reached."""
+        out = [target]
+        while out[-1] != self.source:
+            out.append(self.best[out[-1]][1])
+        return out[::-1]
+
+
+class SegmentCells:
+    """Segments by the cells of a grid that they come through, to find the nearest to a place (planar)."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray) -> None:
+        self.starts, self.ends = starts, ends
+        self.cells: dict[tuple[int, int], set[int]] = defaultdict(set)
+        if not len(starts):
+            return
+        low, high = np.minimum(starts, ends).min(axis=0), np.maximum(starts, ends).max(axis=0)
+        legs = np.abs(ends - starts).max(axis=1)
+        self.side = max(float((high - low).max()) / math.sqrt(len(starts)), float(np.median(legs)), 1e-9)
+        for k, (a, b, leg) in enumerate(zip(starts.tolist(), ends.tolist(), legs.tolist())):
+            pieces = max(1, math.ceil(leg / self.side))
+            for i in range(pieces):
+                p, q = ([x + (y - x) * (i + m) / pieces for x, y in zip(a, b)] for m in (0, 1))
+                (y0, x0), (y1, x1) = self._cell(p), self._cell(q)
+                for y in range(min(y0, y1), max(y0, y1) + 1):
+                    for x in range(min(x0, x1), max(x0, x1) + 1):
+                        self.cells[y, x].add(k)
+        at = np.array(list(self.cells))
+        self.low, self.high = at.min(axis=0).tolist(), at.max(axis=0).tolist()
+
+    def _cell(self, place) -> tuple[int, int]:
+        return math.floor(place[0] / self.side), math.floor(place[1] / self.side)
+
+    def nearest(self, place: Place) -> tuple[int, Place]:
+        """The first of the nearest segments, and the place on it."""
+        y, x = self._cell(place)
+        ring = max(0, *(l - c for l, c in zip(self.low, (y, x))), *(c - h for h, c in zip(self.high, (y, x))))
+        seen: set[int] = set()
+        best: tuple[float, int, Place] | None = None
+        while True:
+            new: set[int] = set()
+            for i in range(max(y - ring, self.low[0]), min(y + ring, self.high[0]) + 1):
+                whole = i in (y - ring, y + ring) or not ring
+                for j in range(max(x - ring, self.low[1]), min(x + ring, self.high[1]) + 1) if whole else (x - ring, x + ring):
+                    new |= self.cells.get((i, j), set())
+            if new := new - seen:
+                seen |= new
+                k = np.array(sorted(new))
+                leg = self.ends[k] - self.starts[k]
+                square = (leg**2).sum(axis=1)
+                share = np.clip(((np.array(place) - self.starts[k]) * leg).sum(axis=1) / np.where(square == 0, 1, square), 0, 1)
+                found = self.starts[k] + share[:, None] * leg
+                off = ((found - np.array(place)) ** 2).sum(axis=1)
+                n = int(off.argmin())
+                best = min(best or (math.inf, 0, place), (float(off[n]), int(k[n]), (float(found[n, 0]), float(found[n, 1]))))
+            if best and best[0] < (ring * self.side * (1 - 1e-9)) ** 2 or len(seen) == len(self.starts):
+                return best[1], best[2]
+            ring += 1
+
+
 class RoadNet:
     """A design's roads: nodes by id as (lat, lon), edges as (u, v, length, line of (lat, lon) from u to v)."""
 
@@ -40,39 +122,50 @@ class RoadNet:
                 ends += own[1:]
                 owner += [(u, v, k) for k in range(len(own) - 1)]
         self.starts, self.ends, self.owner = np.array(starts).reshape(-1, 2), np.array(ends).reshape(-1, 2), owner
+        self.cells = SegmentCells(self.starts, self.ends)
+        self.part = self._parts()
+        self.searches: OrderedDict[int, Search] = OrderedDict()
+
+    def _parts(self) -> dict[int, int]:
+        """For each node, one node of its connected part that all of the part share."""
+        part: dict[int, int] = {}
+        for first in self.node:
+            if first in part:
+                continue
+            part[first], stack = first, [first]
+            while stack:
+                for v, _ in self.around.get(stack.pop(), ()):
+                    if v not in part:
+                        part[v] = first
+                        stack.append(v)
+        return part
 
     def snap(self, place: Place) -> tuple[Place, tuple[int, int], int]:
         """The nearest place on a road (planar), its edge and the segment of the edge's line."""
-        leg = self.ends - self.starts
-        square = (leg**2).sum(axis=1)
-        share = np.clip(((np.array(place) - self.starts) * leg).sum(axis=1) / np.where(square == 0, 1, square), 0, 1)
-        found = self.starts + share[:, None] * leg
-        k = int(((found - np.array(place)) ** 2).sum(axis=1).argmin())
+        k, found = self.cells.nearest(place)
         u, v, segment = self.owner[k]
-        return (float(found[k, 0]), float(found[k, 1])), (u, v), segment
-
-    def shortest(self, source: int) -> dict[int, tuple[float, int]]:
-        """(distance, node before) of every node that is reached."""
-        best: dict[int, tuple[float, int]] = {}
-        queue = [(0.0, -1, source)]
-        while queue:
-            d, via, node = heapq.heappop(queue)
-            if node not in best:
-                best[node] = (d, via)
-                for v, size in self.around[node]:
-                    if v not in best:
-                        heapq.heappush(queue, (d + size, node, v))
-        return best
+        return found, (u, v), segment
+
+    def distance(self, source: int, target: int) -> float | None:
+        """Along the roads, None if they don't lead there; a search goes no further than it must."""
+        if self.part[source] != self.part[target]:
+            return None
+        if source not in self.searches:
+            self.searches[source] = Search(self.around, source)
+            if len(self.searches) > SEARCHES:
+                self.searches.popitem(last=False)
+        self.searches.move_to_end(source)
+        return self.searches[source].reach(target)
 
     def along(self, edge: tuple[int, int], segment: int, place: Place, node: int) -> list[Place]:
         """Vertices from a place on an edge to one of its nodes."""
         own = self.line[edge][1]
         return [place, *own[segment + 1 :]] if node == edge[1] and edge[0] != edge[1] else [place, *own[segment::-1]]
 
-    def route(self, a: Place, b: Place, trees: dict[int, dict]) -> list[Place] | None:
+    def route(self, a: Place, b: Place) -> list[Place] | None:
         """From a over the roads to b: the shortest of the ways that leave and enter at either end of the edges.
 
-        Places on one edge are joined along it.  None if the roads don't connect them.  ``trees`` keeps searches.
+        Places on one edge are joined along it.  None if the roads don't connect them.
         """
         if not self.owner:
             return None
@@ -83,19 +176,15 @@ class RoadNet:
             return without_repeats([a, p, *inner, q, b])
         best: tuple[float, int, int] | None = None
         for s in dict.fromkeys(edge):
-            tree = trees.setdefault(s, {}) or trees[s].update(self.shortest(s)) or trees[s]
             for e in dict.fromkeys(other):
-                if e in tree:
-                    total = float(metres(*p, *self.node[s])) + tree[e][0] + float(metres(*q, *self.node[e]))
+                if (inner := self.distance(s, e)) is not None:
+                    total = float(metres(*p, *self.node[s])) + inner + float(metres(*q, *self.node[e]))
                     if best is None or total < best[0]:
                         best = (total, s, e)
         if best is None:
             return None
         _, s, e = best
-        way = [e]
-        while way[-1] != s:
-            way.append(trees[s][way[-1]][1])
-        way.reverse()
+        way = self.searches[s].way(e)
         path = [a, *self.along(edge, k, p, s)]
         for u, v in zip(way, way[1:]):
             path += self.line[u, v][1]
@@ -110,16 +199,17 @@ def routed(cables: DataFrame, edges: DataFrame, design: str) -> DataFrame:
     """``cables``(design, lat1, lon1, lat2, lon2, ...) with coords (array of struct<lon, lat>) and by_road.
 
     edges(design, u, v, length_m, line); where the roads don't lead from end to end a cable is a straight line.  A
-    design's cables and roads are one grouped task, and searches from a node are shared by its cables.
+    design's cables and roads are one grouped task: ends are looked up in a grid of the road segments, and a search stops
+    at its target and is gone on with by the next cables from its node.
     """
     shown = ["lat1", "lon1", "lat2", "lon2"]
     schema = f"{cables.schema.simpleString()[7:-1]}, coords array<struct<lon: double, lat: double>>, by_road boolean"
 
     def run(rows: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        net, trees = RoadNet(roads), {}
+        net = RoadNet(roads)
         coords, by_road = [], []
         for lat1, lon1, lat2, lon2 in rows[shown].itertuples(index=False):
-            path = net.route((lat1, lon1), (lat2, lon2), trees)
+            path = net.route((lat1, lon1), (lat2, lon2))
             by_road.append(path is not None)
             coords.append([{"lon": lon, "lat": lat} for lat, lon in path or [(lat1, lon1), (lat2, lon2)]])
         rows = rows.reset_index(drop=True)

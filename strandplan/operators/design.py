@@ -2,35 +2,79 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandplan.functions import geo, labels
 from strandplan.lineage import materialise
-from strandplan.operators import clusters, spatial
+from strandplan.operators import cables, clusters, roads, spatial
 
 POP = ("POP/OLT", -7.25, 112.75)
 
 
-def two_levels(houses: DataFrame, design: str, order: str, odp_capacity: int = 8, odc_capacity: int = 4) -> dict[str, DataFrame]:
+class Roads(NamedTuple):
+    """Roads of designs: edges(design, u, v, key, length_m, line of struct<lon, lat>) and, if there are any without edges,
+    nodes(design, node, lat, lon)."""
+
+    edges: DataFrame
+    nodes: DataFrame | None = None
+
+
+def _sites(clustered: DataFrame, design: str, seq: str, members: str, on: Roads | None, segments: DataFrame | None) -> DataFrame:
+    """(design, seq, lat, lon, members): the clusters' mean places, moved to the nearest road."""
+    mean = clusters.centres(clustered, design).select(design, F.col("cluster").alias(seq), "lat", "lon", F.col("members").alias(members))
+    return mean if on is None else spatial.nearest_on_roads(mean, segments, on.nodes, seq, (design,)).drop("segment_id")
+
+
+def two_levels(houses: DataFrame, design: str, order: str, odp_capacity: int = 8, odc_capacity: int = 4, on: Roads | None = None) -> dict[str, DataFrame]:
     """house(design, order, lat, lon, odp_seq, member), odp(design, odp_seq, lat, lon, houses, odc_seq, member) and
-    odc(design, odc_seq, lat, lon, odps) of every design."""
+    odc(design, odc_seq, lat, lon, odps) of every design.
+
+    With roads, ODPs stand on the road nearest to the mean of their houses, are clustered by where they stand, and so do
+    cabinets on the road nearest to the mean of their ODPs.
+    """
+    segments = None if on is None else materialise(roads.segments(on.edges, design), "design-segments")
     house = materialise(clusters.capacitated_clusters(houses.select(design, order, "lat", "lon"), design, order, odp_capacity), "design-house")
-    odp = clusters.centres(house, design).select(design, F.col("cluster").alias("odp_seq"), "lat", "lon", F.col("members").alias("houses"))
+    odp = _sites(house, design, "odp_seq", "houses", on, segments)
     odp = materialise(clusters.capacitated_clusters(odp, design, "odp_seq", odc_capacity), "design-odp")
-    odc = clusters.centres(odp, design).select(design, F.col("cluster").alias("odc_seq"), "lat", "lon", F.col("members").alias("odps"))
+    odc = _sites(odp, design, "odc_seq", "odps", on, segments)
     return {"house": house.withColumnRenamed("cluster", "odp_seq"), "odp": odp.withColumnRenamed("cluster", "odc_seq"), "odc": odc}
 
 
-def full_design(houses: DataFrame, design: str, order: str, odp_capacity: int = 8, odc_capacity: int = 4, apart: float = 40.0, pop: tuple = POP) -> dict[str, DataFrame]:
-    """The two levels with cabinets moved apart and numbered along the feeder chain (i), ODPs (j) and houses (k) within."""
-    made = two_levels(houses, design, order, odp_capacity, odc_capacity)
+def full_design(houses: DataFrame, design: str, order: str, odp_capacity: int = 8, odc_capacity: int = 4, apart: float = 40.0, pop: tuple = POP, on: Roads | None = None) -> dict[str, DataFrame]:
+    """The two levels with cabinets moved apart and numbered along the feeder chain (i), ODPs (j) and houses (k) within.
+
+    With roads there are also feeder, distribution and drop: their cables along the roads, see :func:`cable_lines`.
+    """
+    made = two_levels(houses, design, order, odp_capacity, odc_capacity, on)
     moved = clusters.separated(made["odc"], design, "odc_seq", apart)
     odc = materialise(clusters.feeder_chain(moved, design, "odc_seq", pop[1:]).withColumnRenamed("chain_seq", "i"), "design-odc")
     odp = made["odp"].withColumnRenamed("member", "j").join(odc.select(design, "odc_seq", "i", F.col("lat").alias("odc_lat"), F.col("lon").alias("odc_lon")), [design, "odc_seq"])
     odp = materialise(odp, "design-odp-labelled")
     house = made["house"].withColumnRenamed("member", "k").join(odp.select(design, "odp_seq", "i", "j", F.col("lat").alias("odp_lat"), F.col("lon").alias("odp_lon")), [design, "odp_seq"])
-    return {"house": house, "odp": odp, "odc": odc}
+    out = {"house": house, "odp": odp, "odc": odc}
+    return out if on is None else out | cable_lines(out, design, on, pop)
+
+
+def cable_lines(made: dict[str, DataFrame], design: str, on: Roads, pop: tuple = POP) -> dict[str, DataFrame]:
+    """feeder(design, i, from_label, to_label), distribution(design, i, j) and drop(design, i, j, k), each with coords and by_road.
+
+    All cables of a design are routed in one task over one copy of its roads; straight where these don't lead.
+    """
+    ends = ["lat1", "lon1", "lat2", "lon2"]
+    first, last = F.element_at("coords", 1), F.element_at("coords", -1)
+    feeders = feeder_segments(made["odc"], design, pop)
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    parts = [
+        feeders.select(design, F.lit("feeder").alias("cable"), "i", none.alias("j"), none.alias("k"), "from_label", "to_label", first.lat.alias("lat1"), first.lon.alias("lon1"), last.lat.alias("lat2"), last.lon.alias("lon2")),
+        made["odp"].select(design, F.lit("distribution").alias("cable"), "i", "j", none.alias("k"), text.alias("from_label"), text.alias("to_label"), F.col("odc_lat").alias("lat1"), F.col("odc_lon").alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")),
+        made["house"].select(design, F.lit("drop").alias("cable"), "i", "j", "k", text.alias("from_label"), text.alias("to_label"), F.col("odp_lat").alias("lat1"), F.col("odp_lon").alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")),
+    ]
+    laid = materialise(cables.routed(parts[0].unionByName(parts[1]).unionByName(parts[2]), on.edges, design).drop(*ends), "design-cables")
+    columns = {"feeder": ["i", "from_label", "to_label"], "distribution": ["i", "j"], "drop": ["i", "j", "k"]}
+    return {n: laid.where(F.col("cable") == n).select(design, *c, "coords", "by_road") for n, c in columns.items()}
 
 
 def feeder_segments(odc: DataFrame, design: str, pop: tuple = POP) -> DataFrame:
@@ -42,6 +86,13 @@ def feeder_segments(odc: DataFrame, design: str, pop: tuple = POP) -> DataFrame:
     return odc.select(design, "i", F.lag(name, 1, pop[0]).over(w).alias("from_label"), name.alias("to_label"), F.array(F.coalesce(F.lag(place).over(w), start), place).alias("coords"))
 
 
+def pop_guard(boundaries: DataFrame, design: str, pop: tuple = POP, most: float = 3000.0) -> DataFrame:
+    """(design, distance_m, problem): from the centroid of each of boundaries(design, ring) to the POP; a problem if over ``most``."""
+    placed = boundaries.select(design, geo.centroid("ring").alias("__c"))
+    away = placed.select(design, geo.haversine_atan2(F.col("__c.lat"), F.col("__c.lon"), pop[1], pop[2]).alias("distance_m"))
+    return away.select(design, "distance_m", F.when(F.col("distance_m") > most, "POP too far").alias("problem"))
+
+
 def assigned_design(points: DataFrame, design: str) -> dict[str, DataFrame]:
     """The tables of :func:`full_design` for placed points(design, point_id, kind, lat, lon) of one design each.
 
@@ -73,8 +124,8 @@ def expected(houses: DataFrame, design: str, odp_capacity: int = 8, odc_capacity
 def bill_of_materials(made: dict[str, DataFrame], design: str, pop: tuple = POP, slack: float = 1.2) -> DataFrame:
     """(design, section, i, j, k, sub, type, name, quantity, unit, lat, lon), ordered by the middle columns.
 
-    Cables have no place; distribution and drop cables are straight with slack, feeders follow their coordinates
-    without.  Quantities in metres aren't rounded.
+    Cables have no place; distribution and drop cables are straight with slack, feeders follow their coordinates (along
+    the roads, if the design was made with any) without.  Quantities in metres aren't rounded.
     """
     odc, odp, house = made["odc"], made["odp"], made["house"]
     none = F.lit(None).cast("double")
@@ -90,7 +141,7 @@ def bill_of_materials(made: dict[str, DataFrame], design: str, pop: tuple = POP,
     odc_name, odp_name, house_name = labels.odc_label("i"), labels.odp_label("i", "j"), labels.house_label("i", "j", "k")
     to_odp = geo.haversine_atan2("odc_lat", "odc_lon", "lat", "lon") * slack
     to_house = geo.haversine_atan2("odp_lat", "odp_lon", "lat", "lon") * slack
-    feeders = feeder_segments(odc, design, pop)
+    feeders = made["feeder"] if "feeder" in made else feeder_segments(odc, design, pop)
     arrow = F.lit(" -> ")
     parts = [
         rows(odc.select(design).distinct(), (0, 0, 0, 0, 0), "POP / Server OLT", F.lit(pop[0]), at=(F.lit(float(pop[1])), F.lit(float(pop[2])))),
@@ -109,7 +160,10 @@ def bill_of_materials(made: dict[str, DataFrame], design: str, pop: tuple = POP,
 
 
 def placemarks(made: dict[str, DataFrame], design: str, pop: tuple = POP, homepass: bool = True) -> DataFrame:
-    """(design, seq, folders, name, description, geom_type, coords, colour, size): a design's map, in its order."""
+    """(design, seq, folders, name, description, geom_type, coords, colour, size): a design's map, in its order.
+
+    Cables follow the roads if the design was made with any, and are straight otherwise.
+    """
     odc, odp, house = made["odc"], made["odp"], made["house"]
     point = F.array(F.struct("lon", "lat"))
     i, j, k = F.col("i"), F.col("j"), F.col("k")
@@ -126,7 +180,13 @@ def placemarks(made: dict[str, DataFrame], design: str, pop: tuple = POP, homepa
 
     nothing = F.lit(None).cast("string")
     centre = odc.select(design).distinct().select(design, F.lit(float(pop[2])).alias("lon"), F.lit(float(pop[1])).alias("lat"))
-    feeders = feeder_segments(odc, design, pop)
+    feeders = made["feeder"] if "feeder" in made else feeder_segments(odc, design, pop)
+    to_odp, to_house = line("odc_lat", "odc_lon"), line("odp_lat", "odp_lon")
+    cabled, dropped = odp, house
+    if "drop" in made:
+        cabled = odp.join(made["distribution"].select(design, "i", "j", "coords"), [design, "i", "j"])
+        dropped = house.join(made["drop"].select(design, "i", "j", "k", "coords"), [design, "i", "j", "k"])
+        to_odp, to_house = geo.padded("coords"), geo.padded("coords")
     of_odc = F.concat(F.lit("Splitter: 1:4\nJumlah ODP: "), F.col("odps").cast("string"))
     of_odp = F.concat(F.lit("Splitter: 1:8\nJumlah rumah: "), F.col("houses").cast("string"), F.lit("\nInduk: "), odc_name)
     parts = [
@@ -135,12 +195,12 @@ def placemarks(made: dict[str, DataFrame], design: str, pop: tuple = POP, homepa
         rows(odc, (2, i, 0, 0, 0), [top, "ODC"], odc_name, of_odc, "Point", point, "red", 1.1),
         rows(odc, (2, i, 1, 0, 0), [top, "JOIN CLOSURE"], F.concat(F.lit("JOIN CLOSURE "), odc_name), F.concat(F.lit("Closure untuk "), odc_name), "Point", point, "gray", 0.8),
         rows(odp, (2, i, 2, j, 0), [top, "ODP"], odp_name, of_odp, "Point", point, "blue", 0.9),
-        rows(odp, (2, i, 3, j, 0), [top, "LINE ODC TO ODP"], F.concat(odc_name, F.lit(" TO ODP "), odp_name), nothing, "LineString", line("odc_lat", "odc_lon"), "blue", 2),
+        rows(cabled, (2, i, 3, j, 0), [top, "LINE ODC TO ODP"], F.concat(odc_name, F.lit(" TO ODP "), odp_name), nothing, "LineString", to_odp, "blue", 2),
     ]
     if homepass:
         parts += [
             rows(house, (2, i, 4, j, k), [top, "HC"], house_name, F.concat(F.lit("Induk ODP: "), odp_name), "Point", point, "green", 0.6),
-            rows(house, (2, i, 5, j, k), [top, "LINE ODP TO HC"], F.concat(F.lit("ODP "), odp_name, F.lit(" TO HC "), house_name), nothing, "LineString", line("odp_lat", "odp_lon"), "white", 1),
+            rows(dropped, (2, i, 5, j, k), [top, "LINE ODP TO HC"], F.concat(F.lit("ODP "), odp_name, F.lit(" TO HC "), house_name), nothing, "LineString", to_house, "white", 1),
         ]
     out = parts[0]
     for part in parts[1:]:

@@ -121,6 +121,16 @@ def lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select(*edges.columns)
 
 
+def segments(edges: DataFrame, *by: str) -> DataFrame:
+    """(by, segment_id, a, b): the straight parts of the lines of edges(by, u, v, key, line), in the order of their ends and places.
+
+    An edge is taken from its smaller end, whichever way it is given.
+    """
+    turned = edges.select(*by, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "key", F.when(F.col("u") <= F.col("v"), F.col("line")).otherwise(F.reverse("line")).alias("line"))
+    parts = F.arrays_zip(F.slice("line", 1, F.greatest(F.size("line") - 1, F.lit(0))).alias("a"), F.slice("line", 2, F.greatest(F.size("line") - 1, F.lit(0))).alias("b"))
+    return turned.select(*by, "u", "v", "key", F.posexplode(parts).alias("place", "part")).select(*by, F.struct("u", "v", "key", "place").alias("segment_id"), F.col("part.a").alias("a"), F.col("part.b").alias("b"))
+
+
 def first_of_tiers(features: DataFrame, *by: str) -> DataFrame:
     """Of each group of features(by, tier, place, ...) the one of the lowest tier, then place."""
     w = Window.partitionBy(*by).orderBy("tier", "place")

@@ -31,22 +31,22 @@ def _extent(points: DataFrame, sites: DataFrame) -> tuple[float, float, int]:
     return side, box[4] or 0.0, sites.count()
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: str) -> DataFrame:
-    """``points`` with the id (``site_id``) and distance (``distance_m``) of the nearest of ``sites``.
+def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``points`` with the id (``site_id``) and distance (``distance_m``) of the nearest of ``sites``, of those that share ``by``.
 
     Of equally near sites the smallest id is taken.  Tiles begin at a size that gives a tile one site on average, and a
     point is settled once its best site is nearer than the edge of the block of tiles searched; the others go on to
     tiles eight times as wide, and at last to one that holds everything, so the answer is exact.  Points and sites
-    without coordinates are left out, as are all points if there are no sites.
+    without coordinates are left out, as are all points without any site to go to.
     """
-    sites = sites.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(site_id), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    sites = sites.where("lat IS NOT NULL AND lon IS NOT NULL").select(*(F.col(b).alias(f"__by_{b}") for b in by), F.col(site_id), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
     left = points.where("lat IS NOT NULL AND lon IS NOT NULL")
     extent, latitude, count = _extent(left, sites.select(F.col("__lat").alias("lat"), F.col("__lon").alias("lon")))
     side = max(extent / max(math.sqrt(count), 1.0), 1e-9)
     settled: DataFrame | None = None
     while True:
         last = side >= extent
-        best = _nearest_in_tiles(left, sites, point_id, site_id, side, left.sparkSession.sparkContext.defaultParallelism if last else 1)
+        best = _nearest_in_tiles(left, sites, point_id, site_id, by, side, left.sparkSession.sparkContext.defaultParallelism if last else 1)
         if last:
             return best if settled is None else settled.unionByName(best)
         reach = side * METRES_PER_DEGREE * max(math.cos(math.radians(min(latitude + 2 * side, 89.9))), 0.0)
@@ -58,16 +58,16 @@ def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: st
         side *= 8
 
 
-def _nearest_in_tiles(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, side: float, parts: int) -> DataFrame:
+def _nearest_in_tiles(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, by: tuple[str, ...], side: float, parts: int) -> DataFrame:
     """``parts``: into how many the points of a tile are dealt out; each part meets the sites of the tile."""
 
     def own(p: str) -> list[Column]:
         return [F.floor(F.col(f"{p}lon") / side).cast("long").alias("__x"), F.floor(F.col(f"{p}lat") / side).cast("long").alias("__y")]
 
     placed = points.select("*", *own(""), F.pmod(F.xxhash64(point_id), F.lit(parts)).cast("int").alias("__part"))
-    spread = sites.select("*", *own("__")).select("*", F.explode(_around("__x", "__y")).alias("__t")).select(site_id, "__lat", "__lon", "__t.x", "__t.y")
+    spread = sites.select("*", *own("__")).select("*", F.explode(_around("__x", "__y")).alias("__t")).select(*(f"__by_{b}" for b in by), site_id, "__lat", "__lon", "__t.x", "__t.y")
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    near = placed.join(spread, (F.col("__x") == F.col("x")) & (F.col("__y") == F.col("y")) & (F.col("__part") == F.col("part")))
+    near = placed.join(spread, [F.col("__x") == F.col("x"), F.col("__y") == F.col("y"), F.col("__part") == F.col("part"), *(F.col(b) == F.col(f"__by_{b}") for b in by)])
     distance = geo.haversine("lat", "lon", "__lat", "__lon")
     chosen = near.groupBy(point_id).agg(F.min(F.struct(distance.alias("d"), F.col(site_id).alias("s"))).alias("__best"))
     return points.join(chosen, point_id).select(*points.columns, F.col("__best.s").alias(site_id), F.col("__best.d").alias("distance_m"))
@@ -114,30 +114,74 @@ def standing_apart(sites: DataFrame, site_id: str, metres: float) -> DataFrame:
     return sites.join(crowded, sites[site_id] == F.col("__id"), "left_anti")
 
 
-def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reach: float) -> DataFrame:
-    """``points`` with the nearest of segments(segment_id, a, b) and the place on it; planar.
+def _tiles_along(reach: float) -> Column:
+    """Tiles of side ``reach`` that a segment from a to b comes near to: those around the boxes of its pieces of that length."""
+    dx, dy = F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat")
+    pieces = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / reach))
 
-    a and b are struct<lon, lat>.  Segments further than ``reach`` degrees are not looked at; a point without any keeps
-    its own place and has a null segment_id.  Of equally near segments the smallest id is taken.
-    """
-    def tile(x: Column) -> Column:
-        return F.floor(x / reach).cast("long")
+    def tile(axis: str, d: Column, i: Column, low: bool) -> Column:
+        ends = [F.col(f"a.{axis}") + d * (i + k) / pieces for k in (0, 1)]
+        return F.floor((F.least if low else F.greatest)(*ends) / reach).cast("long") + (-1 if low else 1)
+
+    def block(i: Column) -> Column:
+        rows = F.sequence(tile("lat", dy, i, True), tile("lat", dy, i, False))
+        columns = F.sequence(tile("lon", dx, i, True), tile("lon", dx, i, False))
+        return F.flatten(F.transform(columns, lambda x: F.transform(rows, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
-    def tiles(axis: str) -> Column:
-        return F.sequence(tile(F.least(f"a.{axis}", f"b.{axis}")) - 1, tile(F.greatest(f"a.{axis}", f"b.{axis}")) + 1)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1), block)))
 
-    spread = segments.select("segment_id", "a", "b", F.explode(tiles("lon")).alias("__x")).select("*", F.explode(tiles("lat")).alias("__y"))
-    placed = points.select(point_id, "lat", "lon", tile(F.col("lon")).alias("__x"), tile(F.col("lat")).alias("__y"))
-    share = geo.along_segment("lon", "lat", F.col("a"), F.col("b"))
-    near = placed.join(spread, ["__x", "__y"]).withColumn("t", share)
+
+def _place_on(points: DataFrame, segments: DataFrame, point_id: str, reach: float, by: tuple[str, ...]) -> DataFrame:
+    """(by, point_id, s): for points with a segment within ``reach`` degrees, the nearest and the place on it."""
+    spread = segments.select(*by, "segment_id", "a", "b", F.explode(_tiles_along(reach)).alias("__t")).select(*by, "segment_id", "a", "b", F.col("__t.x").alias("__x"), F.col("__t.y").alias("__y"))
+    at = {c: F.floor(F.col(c) / reach).cast("long") for c in ("lon", "lat")}
+    placed = points.select(*by, point_id, "lat", "lon", at["lon"].alias("__x"), at["lat"].alias("__y"))
+    near = placed.join(spread, [*by, "__x", "__y"]).withColumn("t", geo.along_segment("lon", "lat", F.col("a"), F.col("b")))
     lon, lat = (F.col(f"a.{c}") + F.col("t") * (F.col(f"b.{c}") - F.col(f"a.{c}")) for c in ("lon", "lat"))
-    near = near.select(point_id, "segment_id", "t", lat.alias("snap_lat"), lon.alias("snap_lon"), geo.planar("lat", "lon", lat, lon).alias("off_deg")).where(F.col("off_deg") <= reach)
-    best = near.groupBy(point_id).agg(F.min(F.struct("off_deg", "segment_id", "t", "snap_lat", "snap_lon")).alias("s"))
-    out = points.join(best, point_id, "left")
+    near = near.select(*by, point_id, "segment_id", "t", lat.alias("snap_lat"), lon.alias("snap_lon"), geo.planar("lat", "lon", lat, lon).alias("off_deg")).where(F.col("off_deg") <= reach)
+    return near.groupBy(*by, point_id).agg(F.min(F.struct("off_deg", "segment_id", "t", "snap_lat", "snap_lon")).alias("s"))
+
+
+def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reach: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``points`` with the nearest of segments(by, segment_id, a, b) and the place on it; planar, within groups ``by``.
+
+    a and b are struct<lon, lat>.  Segments further than ``reach`` degrees are not looked at; a point without any keeps
+    its own place and has a null segment_id.  Of equally near segments the smallest id is taken.
+    """
+    out = points.join(_place_on(points, segments, point_id, reach, by), [*by, point_id], "left")
     kept = [F.coalesce(F.col(f"s.snap_{c}"), F.col(c)).alias(f"snap_{c}") for c in ("lat", "lon")]
     return out.select(*points.columns, "s.segment_id", "s.t", *kept, "s.off_deg")
 
 
+def nearest_on_roads(points: DataFrame, segments: DataFrame, nodes: DataFrame | None, point_id: str, by: tuple[str, ...] = (), reach: float = 0.002, widest: float = 1.0) -> DataFrame:
+    """``points`` with lat and lon moved to the nearest place on a road of their group, and segment_id.
+
+    Tiles begin at ``reach`` degrees; points that find nothing so near go on to tiles four times as wide, up to ``widest``.
+    Those without a road even then go to the nearest of nodes(by, node, lat, lon), by distance in metres, and without
+    nodes keep their place; segment_id is null for them.  Points without coordinates keep none.
+    """
+    settled, left = [], points
+    while True:
+        found = materialise(_place_on(left, segments, point_id, min(reach, widest), by), "on-roads")
+        settled.append(found)
+        left = materialise(left.join(found.select(*by, point_id), [*by, point_id], "left_anti"), "off-roads")
+        if reach >= widest or left.isEmpty():
+            break
+        reach *= 4
+    place = settled[0]
+    for more in settled[1:]:
+        place = place.unionByName(more)
+    place = place.select(*by, point_id, F.col("s.segment_id").alias("segment_id"), F.col("s.snap_lat").alias("__lat"), F.col("s.snap_lon").alias("__lon"))
+    if nodes is not None and not left.isEmpty():
+        one = F.struct(*by, point_id).alias("__point")
+        near = nearest_site(left.select(*by, point_id, one, "lat", "lon"), nodes.select(*by, "node", "lat", "lon"), "__point", "node", by)
+        at = nodes.select(*by, "node", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+        near = near.drop("lat", "lon").join(at, [*by, "node"]).select(*by, point_id, F.lit(None).cast(place.schema["segment_id"].dataType).alias("segment_id"), "__lat", "__lon")
+        place = place.unionByName(near)
+    moved = {c: F.coalesce(f"__{c}", c) for c in ("lat", "lon")}
+    return points.join(place, [*by, point_id], "left").withColumns(moved).select(*points.columns, "segment_id")
+
+
 def track_steps(track: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``track`` with step_m, the distance from the vertex before in its group (null for the first)."""
     w = Window.partitionBy(key).orderBy(*order)

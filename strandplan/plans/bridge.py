@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOUTH, WEST = -7.26, 112.74
@@ -95,24 +95,49 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROJECT_SQL = f"project AS (SELECT {', '.join(PROJECT_COLUMNS)} FROM orders)"
 
-#: A road lattice for each design (nation): WIDE x WIDE nodes, some edges missing, lengths from integer hashes.
-WIDE = 12
+#: Designs (nations) and, of each, roads on a lattice over the area.  Every order is a road between two neighbouring nodes, the
+#: lattice is as wide as gives DENSITY orders a node, and lengths follow from the nodes by integer hashes.
+DESIGNS, DENSITY = 25, 2.5
+SIDE = 0.02
+_U = "(o_orderkey * 7919) % (w * w)"
+_ALONG = "(o_orderkey * 48271) % 2147483647 % 2 = 0"
+
+
+def road_width(spark: SparkSession, sf_dir: str) -> int:
+    """Nodes on a side of each lattice."""
+    return max(2, int((table(spark, sf_dir, "orders").count() / DESIGNS / DENSITY) ** 0.5))
 
 
 def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(design, u, v, key, length_m)."""
-    n = WIDE
-    nodes = spark.range(n * n).select(F.col("id").alias("u"))
-    steps = nodes.select("u", F.explode(F.array(F.lit(1), F.lit(n))).alias("step")).where(f"(step = {n} AND u < {n * (n - 1)}) OR (step = 1 AND u % {n} < {n - 1})")
-    both = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("design")).join(steps)
-    edges = both.selectExpr("design", "u", "u + step AS v", "0 AS key", "CAST(50 + (u * 7919 + step * 104729 + design * 31) % 101 AS DOUBLE) AS length_m")
-    return edges.where("(u * 31 + (v - u) * 17 + design * 7) % 10 < 8")
+    w = road_width(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(w).cast("long").alias("w"))
+    ends = orders.selectExpr(f"CAST(o_custkey % {DESIGNS} AS BIGINT) AS design", f"{_U} AS u", f"CASE WHEN {_ALONG} THEN 1L ELSE w END AS step", "w")
+    ends = ends.where("(step = w AND u < w * (w - 1)) OR (step = 1 AND u % w < w - 1)").distinct()
+    return ends.selectExpr("design", "u", "u + step AS v", "0 AS key", "CAST(50 + (u * 7919 + step * 104729 + design * 31) % 101 AS DOUBLE) AS length_m")
+
+
+def road_place(node: str, w: int) -> tuple[Column, Column]:
+    """Latitude and longitude of a node."""
+    return SOUTH + F.floor(F.col(node) / w) * SIDE / (w - 1), WEST + (F.col(node) % w) * SIDE / (w - 1)
+
+
+def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges with lines: straight ones, and every third by way of a place aside."""
+    w = road_width(spark, sf_dir)
+    (lat1, lon1), (lat2, lon2) = road_place("u", w), road_place("v", w)
+
+    def place(lat: Column, lon: Column) -> Column:
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    bent = place((lat1 + lat2) / 2 + SIDE / w / 8, (lon1 + lon2) / 2 + SIDE / w / 8)
+    ends = place(lat1, lon1), place(lat2, lon2)
+    return road_edges(spark, sf_dir).withColumn("line", F.when((F.col("u") + F.col("v")) % 3 == 0, F.array(ends[0], bent, ends[1])).otherwise(F.array(*ends)))
 
 
-ROAD_SQL = f"""step(s) AS (VALUES (1), ({WIDE})),
+ROAD_SQL = f"""lattice(w) AS (SELECT greatest(2, floor(sqrt(count(*) / {DESIGNS} / {DENSITY})))::BIGINT FROM orders),
+    ends AS (SELECT DISTINCT (o_custkey % {DESIGNS})::BIGINT AS design, {_U} AS u, CASE WHEN {_ALONG} THEN 1 ELSE w END AS s, w FROM orders, lattice),
     road AS (
-        SELECT n_nationkey::BIGINT AS design, r.range AS u, r.range + s AS v, (50 + (r.range * 7919 + s * 104729 + n_nationkey::BIGINT * 31) % 101)::DOUBLE AS length_m
-        FROM nation, range({WIDE * WIDE}) r, step
-        WHERE ((s = {WIDE} AND r.range < {WIDE * (WIDE - 1)}) OR (s = 1 AND r.range % {WIDE} < {WIDE - 1}))
-          AND (r.range * 31 + s * 17 + n_nationkey::BIGINT * 7) % 10 < 8),
+        SELECT design, u, u + s AS v, (50 + (u * 7919 + s * 104729 + design * 31) % 101)::DOUBLE AS length_m FROM ends
+        WHERE (s = w AND u < w * (w - 1)) OR (s = 1 AND u % w < w - 1)),
     both_ways AS (SELECT design, u, v, length_m FROM road UNION ALL SELECT design, v, u, length_m FROM road)"""

@@ -449,17 +449,17 @@ def road_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.distances_by_design(edges, sources, "design").select("design", "node", "dist_m")
 
 
-@query(f"""WITH RECURSIVE {bridge.ROAD_SQL}, one AS (SELECT design * {bridge.WIDE ** 2} + u AS u, design * {bridge.WIDE ** 2} + v AS v FROM both_ways),
-    reach(a, b) AS (SELECT n, n FROM (SELECT n_nationkey::BIGINT * {bridge.WIDE ** 2} + r.range AS n FROM nation, range({bridge.WIDE ** 2}) r) UNION SELECT a, v FROM reach JOIN one ON one.u = b),
+@query(f"""WITH RECURSIVE {bridge.ROAD_SQL}, node AS (SELECT d.range * w * w + r.range AS n FROM lattice, range({bridge.DESIGNS}) d, range(10000000) r WHERE r.range < w * w),
+    one AS (SELECT design * w * w + u AS u, design * w * w + v AS v FROM both_ways, lattice),
+    reach(a, b) AS (SELECT n, n FROM node UNION SELECT a, v FROM reach JOIN one ON one.u = b),
     label AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
     best AS (SELECT component FROM label GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
     SELECT node FROM label JOIN best USING (component)""")
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the roads of all designs, as one graph."""
-    size = bridge.WIDE**2
+    size = bridge.road_width(spark, sf_dir) ** 2
     edges = bridge.road_edges(spark, sf_dir).selectExpr(f"design * {size} + u AS u", f"design * {size} + v AS v", "key", "length_m")
-    nodes = bridge.table(spark, sf_dir, "nation").selectExpr(f"explode(sequence(n_nationkey * {size}L, n_nationkey * {size}L + {size - 1})) AS node")
-    return roads.largest_component(edges, nodes)
+    return roads.largest_component(edges, spark.range(bridge.DESIGNS * size).select(F.col("id").alias("node")))
 
 
 @query(f"WITH {bridge.ROAD_SQL} SELECT a.design, a.v AS at_node, a.u AS from_node, b.v AS to_node FROM both_ways a JOIN both_ways b ON a.design = b.design AND a.v = b.u AND b.v <> a.u")
@@ -473,11 +473,11 @@ def adjacency_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def road_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on the way from node 0 to the far corner of each design."""
+    """Nodes on the way from node 0 to the farthest corner that each design's roads reach."""
     edges = bridge.road_edges(spark, sf_dir)
     sources = bridge.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("design"), F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("dist_m"))
     found = roads.distances_by_design(edges, sources, "design")
-    return roads.routes_to(found, found.where(f"node = {bridge.WIDE**2 - 1}").select("design", "node"), "design")
+    return roads.routes_to(found, found.groupBy("design").agg(F.max("node").alias("node")), "design")
 
 
 @query(f"""WITH {bridge.ROAD_SQL}, mixed AS (SELECT *, ((u * 7919 + v * 104729 + 42 * 32452843) % 2147483647 * 48271) % 2147483647 AS x FROM road)
@@ -525,6 +525,53 @@ def full_design_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design.bill_of_materials(design.full_design(bridge.view(spark, sf_dir, "house"), "design", "house_id"), "design")
 
 
+def _on_roads(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    houses = bridge.view(spark, sf_dir, "house").withColumn("design", F.col("design").cast("long"))
+    return design.full_design(houses, "design", "house_id", on=design.Roads(bridge.road_lines(spark, sf_dir)))
+
+
+@query()
+def road_design_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole designs whose sites stand on roads and whose feeders follow them."""
+    return design.bill_of_materials(_on_roads(spark, sf_dir), "design")
+
+
+@query()
+def road_design_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maps of the same designs; all three kinds of cables follow the roads."""
+    return design.placemarks(_on_roads(spark, sf_dir), "design")
+
+
+_ROAD_SEGMENT_SQL = f"""laid AS (SELECT design, u, v, (u + v) % 3 = 0 AS bent, {{SOUTH}} + floor(u / w) * {{SIDE}} / (w - 1) AS lat1, {{WEST}} + (u % w) * {{SIDE}} / (w - 1) AS lon1,
+        {{SOUTH}} + floor(v / w) * {{SIDE}} / (w - 1) AS lat2, {{WEST}} + (v % w) * {{SIDE}} / (w - 1) AS lon2, w FROM road, lattice),
+    mid AS (SELECT *, (lat1 + lat2) / 2 + {{SIDE}} / w / 8 AS lat0, (lon1 + lon2) / 2 + {{SIDE}} / w / 8 AS lon0 FROM laid),
+    seg AS (
+        SELECT design, u, v, 0 AS place, lat1, lon1, lat2, lon2 FROM mid WHERE NOT bent
+        UNION ALL SELECT design, u, v, 0, lat1, lon1, lat0, lon0 FROM mid WHERE bent UNION ALL SELECT design, u, v, 1, lat0, lon0, lat2, lon2 FROM mid WHERE bent)"""
+for _n in ("SOUTH", "WEST", "SIDE"):
+    _ROAD_SEGMENT_SQL = _ROAD_SEGMENT_SQL.replace(f"{{{_n}}}", f"({getattr(bridge, _n)!r}::DOUBLE)")
+
+
+@query(f"""WITH {bridge.view_sql('house')}, {bridge.ROAD_SQL}, {_ROAD_SEGMENT_SQL},
+    s AS (SELECT house_id, lat, lon, u, v, place, lat1, lon1, lat2, lon2, greatest(0::DOUBLE, least(1::DOUBLE, ((lon - lon1) * (lon2 - lon1) + (lat - lat1) * (lat2 - lat1)) / ((lon2 - lon1) * (lon2 - lon1) + (lat2 - lat1) * (lat2 - lat1)))) AS t FROM house JOIN seg USING (design)),
+    d AS (SELECT *, lon1 + t * (lon2 - lon1) AS px, lat1 + t * (lat2 - lat1) AS py FROM s),
+    best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY round((px - lon) * (px - lon) + (py - lat) * (py - lat), 16), u, v, place) = 1)
+    SELECT h.house_id, round(coalesce(py, h.lat), 8) AS lat, round(coalesce(px, h.lon), 8) AS lon FROM house h LEFT JOIN best USING (house_id)""")
+def houses_on_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest place on a road of its design for every house, however far."""
+    houses = bridge.view(spark, sf_dir, "house").select(F.col("design").cast("long").alias("design"), "house_id", "lat", "lon")
+    segments = roads.segments(bridge.road_lines(spark, sf_dir), "design")
+    found = spatial.nearest_on_roads(houses, segments, None, "house_id", ("design",), reach=0.001)
+    return found.select("house_id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+
+
+@query(f"WITH {bridge.view_sql('odc_site')}, d AS (SELECT site_id AS design, {bridge.metres_sql('lat', 'lon', '(-7.27::DOUBLE)', '(112.73::DOUBLE)')} AS d FROM odc_site) SELECT design, round(d, 2) AS distance_m, CASE WHEN d > 3000 THEN 'POP too far' END AS problem FROM d")
+def pop_distance_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a POP outside the area is too far from each region."""
+    rings = bridge.view(spark, sf_dir, "odc_site").select(F.col("site_id").alias("design"), _diamond(F.col("lat"), F.col("lon"), 0.003).alias("ring"))
+    return _rounded(design.pop_guard(rings, "design", ("POP", -7.27, 112.73)), 2, "distance_m")
+
+
 @query()
 def kml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map of each design as one KML and one KMZ file's content."""
@@ -568,30 +615,19 @@ def map_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.view(spark, sf_dir, "odc_site").select("site_id", altitude.alias("altitude"), F.format_string("%.6f", "lat").alias("lat_text"), day.alias("day"), stem.alias("stem"))
 
 
-def _road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Road edges with lines: the lattice laid over the area."""
-    n = bridge.WIDE
-
-    def place(node: str) -> Column:
-        lon, lat = bridge.WEST + (F.col(node) % n) * (0.02 / (n - 1)), bridge.SOUTH + F.floor(F.col(node) / n) * (0.02 / (n - 1))
-        return F.struct(lon.alias("lon"), lat.alias("lat"))
-
-    return bridge.road_edges(spark, sf_dir).withColumn("line", F.array(place("u"), place("v")))
-
-
 @query()
 def routed_feeders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeder cables of the dealt designs along their roads."""
     made = _dealt(spark, sf_dir)
     segments = design.feeder_segments(made["odc"], "design").withColumn("design", F.col("design").cast("long"))
-    return cables.regenerated(segments, _road_lines(spark, sf_dir), "design", 42)
+    return cables.regenerated(segments, bridge.road_lines(spark, sf_dir), "design", 42)
 
 
 @query()
 def routed_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cables from cabinets to distribution points along roads of true length."""
     odp = _dealt(spark, sf_dir)["odp"].select(F.col("design").cast("long").alias("design"), "i", "j", F.col("odc_lat").alias("lat1"), F.col("odc_lon").alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return cables.routed(odp, _road_lines(spark, sf_dir), "design")
+    return cables.routed(odp, bridge.road_lines(spark, sf_dir), "design")
 
 
 @query(f"WITH {bridge.view_sql('house')} SELECT house_id, lat, lon FROM house WHERE lon BETWEEN 112.745::DOUBLE AND 112.752::DOUBLE AND lat BETWEEN -7.255::DOUBLE AND -7.248::DOUBLE")
