@@ -11,7 +11,7 @@ from strandplan.functions import geo, labels
 from strandplan.lineage import shared_folder
 from strandplan.operators import cables, clusters, design, projects, roads, spatial
 from strandplan.plans import bridge
-from strandplan.sources import kml, sinks, tiles
+from strandplan.sources import kml_source, sinks, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -579,6 +579,34 @@ def kml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.documents(marks, "design")
 
 
+_MARK_SQL = f"""{_DEALT_SQL},
+    chain AS (SELECT *, lag(lat, 1, -7.25::DOUBLE) OVER w AS lat0, lag(lon, 1, 112.75::DOUBLE) OVER w AS lon0, lag(format('ODC-{{:03d}}', i), 1, 'POP/OLT') OVER w AS before FROM c WINDOW w AS (PARTITION BY design ORDER BY i)),
+    mark AS (
+        SELECT DISTINCT design, 'POP/OLT' AS name, 'SERVER OLT' AS description, 'Point' AS geom_type, 'OLT' AS folder, 1 AS vertices, -7.25::DOUBLE AS lat, 112.75::DOUBLE AS lon FROM c
+        UNION ALL SELECT design, format('FD {{}} -> ODC-{{:03d}}', before, i), NULL, 'LineString', 'LINE FD', 2, lat0, lon0 FROM chain
+        UNION ALL SELECT design, format('ODC {{:02d}}', i), 'Splitter: 1:4' || chr(10) || 'Jumlah ODP: ' || odps, 'Point', 'ODC ' || i || '/ODC', 1, lat, lon FROM c
+        UNION ALL SELECT design, format('JOIN CLOSURE ODC {{:02d}}', i), format('Closure untuk ODC {{:02d}}', i), 'Point', 'ODC ' || i || '/JOIN CLOSURE', 1, lat, lon FROM c
+        UNION ALL SELECT design, format('{{:02d}}/{{:02d}}', i, j), 'Splitter: 1:8' || chr(10) || 'Jumlah rumah: ' || houses || chr(10) || format('Induk: ODC {{:02d}}', i), 'Point', 'ODC ' || i || '/ODP', 1, lat, lon FROM p
+        UNION ALL SELECT p.design, format('ODC {{:02d}} TO ODP {{:02d}}/{{:02d}}', i, i, j), NULL, 'LineString', 'ODC ' || i || '/LINE ODC TO ODP', 2, c.lat, c.lon FROM p JOIN c USING (design, i)
+        UNION ALL SELECT design, format('{{:02d}}/{{:02d}}-{{:02d}}', i, j, k), format('Induk ODP: {{:02d}}/{{:02d}}', i, j), 'Point', 'ODC ' || i || '/HC', 1, lat, lon FROM h
+        UNION ALL SELECT h.design, format('ODP {{:02d}}/{{:02d}} TO HC {{:02d}}/{{:02d}}-{{:02d}}', i, j, i, j, k), NULL, 'LineString', 'ODC ' || i || '/LINE ODP TO HC', 2, p.lat, p.lon FROM h JOIN p USING (design, i, j))"""
+
+
+@query(f"WITH {_MARK_SQL} SELECT design::VARCHAR AS design, name, description, geom_type, folder, vertices, round(lat, 8) AS lat, round(lon, 8) AS lon FROM mark")
+def kml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placemarks of all maps, read from the zipped files that hold them, one for each design."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/maps-{uuid.uuid4().hex}"
+    kml_source.written(design.placemarks(_dealt(spark, sf_dir), "design"), "design", "seq", path, kmz=True)
+    marks = spark.read.format("kml").load(path)
+    at = F.element_at("line", 1)
+    return marks.select(
+        F.regexp_extract("path", "([0-9]+)[.]kmz$", 1).alias("design"), "name", "description", "geom_type", F.array_join("folders", "/").alias("folder"), F.size("line").alias("vertices"),
+        F.round(at.lat, 8).alias("lat"), F.round(at.lon, 8).alias("lon"),
+    )
+
+
 @query()
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Houses of the designs after their states are written as JSON and read again."""

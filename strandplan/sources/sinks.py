@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from xml.sax.saxutils import escape, quoteattr
 
@@ -30,18 +30,24 @@ def _placemark(row) -> str:
     return f"<Placemark><name>{escape(row.name_)}</name>{description}<Style>{style}</Style><{row.geom_type}><coordinates>{coordinates}</coordinates></{row.geom_type}></Placemark>"
 
 
-def document(rows: list) -> str:
-    """The KML document of placemarks in their order; successive ones of a folder share it."""
-    out, open_folders = ['<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'], []
+def document_parts(rows: Iterable) -> Iterator[str]:
+    """The KML document of placemarks in their order, piece by piece; successive ones of a folder share it."""
+    yield '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'
+    open_folders: list[str] = []
     for folders, group in groupby(rows, key=lambda r: list(r.folders)):
         shared = 0
         while shared < min(len(folders), len(open_folders)) and folders[shared] == open_folders[shared]:
             shared += 1
-        out.append("</Folder>" * (len(open_folders) - shared))
-        out += [f"<Folder id={quoteattr('/'.join(folders[: n + 1]))}><name>{escape(folders[n])}</name>" for n in range(shared, len(folders))]
-        out += [_placemark(r) for r in group]
+        yield "</Folder>" * (len(open_folders) - shared)
+        for n in range(shared, len(folders)):
+            yield f"<Folder id={quoteattr('/'.join(folders[: n + 1]))}><name>{escape(folders[n])}</name>"
+        yield from map(_placemark, group)
         open_folders = folders
-    return "".join([*out, "</Folder>" * len(open_folders), "</Document></kml>"])
+    yield "</Folder>" * len(open_folders) + "</Document></kml>"
+
+
+def document(rows: list) -> str:
+    return "".join(document_parts(rows))
 
 
 def documents(placemarks: DataFrame, design: str) -> DataFrame:
