@@ -152,6 +152,13 @@ def line_length(line: Value) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, e: s + haversine_atan2(e["0"].lat, e["0"].lon, e["1"].lat, e["1"].lon))
 
 
+def planar_length(line: Value) -> Column:
+    """Sum of distances in degrees between successive vertices."""
+    line = _col(line)
+    pairs = F.arrays_zip(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, 2, F.size(line)))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, e: s + planar(e["0"].lat, e["0"].lon, e["1"].lat, e["1"].lon))
+
+
 def without_repeats(line: Value) -> Column:
     """The line without vertices that equal the one before."""
     line = _col(line)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandplan.functions import geo
 from strandplan.lineage import materialise
 
 
@@ -113,8 +114,6 @@ def noisy(edges: DataFrame, seed: int) -> DataFrame:
 
 def lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with length_m where it is null taken from their nodes' places."""
-    from strandplan.functions import geo
-
     u = nodes.select(F.col("node").alias("u"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     v = nodes.select(F.col("node").alias("v"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     out = edges.join(u, "u").join(v, "v").withColumn("length_m", F.coalesce("length_m", geo.haversine("lat1", "lon1", "lat2", "lon2")))
@@ -131,6 +130,58 @@ def segments(edges: DataFrame, *by: str) -> DataFrame:
     return turned.select(*by, "u", "v", "key", F.posexplode(parts).alias("place", "part")).select(*by, F.struct("u", "v", "key", "place").alias("segment_id"), F.col("part.a").alias("a"), F.col("part.b").alias("b"))
 
 
+def located(on_roads: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
+    """Places on roads, as nearest_on_roads gives them, with u, v, key and at_m: metres along the edge from u, which is its smaller end.
+
+    Degrees along the line are taken in proportion to the edge's length.
+    """
+    turned = edges.select(*by, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "key", "length_m", F.when(F.col("u") <= F.col("v"), F.col("line")).otherwise(F.reverse("line")).alias("line"))
+    at = on_roads.where("segment_id IS NOT NULL").select("*", "segment_id.u", "segment_id.v", "segment_id.key", "segment_id.place").drop("segment_id")
+    joined = at.join(turned, [*by, "u", "v", "key"])
+    last = F.element_at("line", F.col("place") + 1)
+    before = geo.planar_length(F.slice("line", 1, F.col("place") + 1)) + geo.planar(last.lat, last.lon, "lat", "lon")
+    share = F.when(geo.planar_length("line") > 0, before / geo.planar_length("line")).otherwise(0.0)
+    return joined.select(*at.columns, (F.least(share, F.lit(1.0)) * F.col("length_m")).alias("at_m")).drop("place")
+
+
+def walks(starts: DataFrame, edges: DataFrame, *by: str, hops: int = 25) -> DataFrame:
+    """Where walks along the roads end: ``starts`` with u, v, key, at_m of the end and ``closed``, whether it is a dead end.
+
+    starts(by, walk, u, v, key, at_m, direction, branch, metres): ``walk`` is an id, at_m counts from u along the edge, and
+    direction 1 goes towards v, -1 towards u.  At a node the ways on are the edges there but the one walked, by their
+    other node and key, and the walk takes number ``branch`` modulo their count.  A walk that still goes on after ``hops``
+    nodes has nulls.  A round moves all walks on by a node, as two joins on keys.
+    """
+    known = edges.where("u <> v").select(*by, "u", "v", "key", "length_m")
+    both = known.select(*by, F.col("u").alias("node"), F.col("v").alias("other"), "u", "v", "key", "length_m")
+    both = both.unionByName(known.select(*by, F.col("v").alias("node"), F.col("u").alias("other"), "u", "v", "key", "length_m"))
+    w = Window.partitionBy(*by, "node")
+    ways = materialise(both.withColumn("nth", F.row_number().over(w.orderBy("other", "key", "u")) - 1).withColumn("count", F.count("*").over(w)), "roads-ways")
+    own = ways.select(*by, F.col("node").alias("end"), "u", "v", "key", "nth", "count", "length_m")
+    on = ways.select(*by, F.col("node").alias("end"), F.col("nth").alias("taken"), F.col("u").alias("__u"), F.col("v").alias("__v"), F.col("key").alias("__key"), F.col("length_m").alias("__length"))
+    state = [*by, "walk", "u", "v", "key", "at_m", "direction", "branch", "left_m"]
+    going = starts.select(*by, "walk", "u", "v", "key", "at_m", "direction", "branch", F.col("metres").cast("double").alias("left_m"))
+    ended: DataFrame | None = None
+    for hop in range(hops):
+        ahead = going.withColumn("end", F.when(F.col("direction") > 0, F.col("v")).otherwise(F.col("u"))).join(own, [*by, "end", "u", "v", "key"])
+        ahead = ahead.withColumn("rest", F.when(F.col("direction") > 0, F.col("length_m") - F.col("at_m")).otherwise(F.col("at_m")))
+        stays, dead = F.col("left_m") <= F.col("rest"), F.col("count") == 1
+        ahead = materialise(ahead.withColumns({"stays": stays, "dead": dead & ~stays}), "roads-walks")
+        last = F.when(F.col("stays"), F.col("at_m") + F.col("direction") * F.col("left_m")).otherwise(F.when(F.col("direction") > 0, F.col("length_m")).otherwise(F.lit(0.0)))
+        done = ahead.where("stays OR dead").select(*by, "walk", "u", "v", "key", last.alias("at_m"), F.col("dead").alias("closed"))
+        ended = done if ended is None else ended.unionByName(done)
+        pick = F.pmod(F.col("branch"), F.col("count") - 1)
+        moved = ahead.where("NOT stays AND NOT dead").withColumn("taken", F.when(pick < F.col("nth"), pick).otherwise(pick + 1)).join(on, [*by, "end", "taken"])
+        towards = F.when(F.col("__u") == F.col("end"), 1).otherwise(-1)
+        going = moved.select(*by, "walk", F.col("__u").alias("u"), F.col("__v").alias("v"), F.col("__key").alias("key"), F.when(towards > 0, 0.0).otherwise(F.col("__length")).alias("at_m"), towards.alias("direction"), "branch", (F.col("left_m") - F.col("rest")).alias("left_m")).select(*state)
+        if hop + 1 < hops:
+            going = materialise(going, "roads-going")
+            if going.isEmpty():
+                break
+    kept = [c for c in starts.columns if c not in ("u", "v", "key", "at_m")]
+    return starts.select(*kept).join(ended, [*by, "walk"], "left")
+
+
 def first_of_tiers(features: DataFrame, *by: str) -> DataFrame:
     """Of each group of features(by, tier, place, ...) the one of the lowest tier, then place."""
     w = Window.partitionBy(*by).orderBy("tier", "place")

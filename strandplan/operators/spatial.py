@@ -6,7 +6,10 @@ Points are columns lat and lon, and an id of which the smaller wins a tie.  Neit
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,16 +84,90 @@ def inside(points: DataFrame, ring: Column) -> DataFrame:
 
 
 def inside_any(points: DataFrame, regions: DataFrame, region_id: str) -> DataFrame:
-    """(points, region_id): regions(region_id, ring) that each point is strictly inside of, joined by tiles."""
-    box = F.col("__box")
-    tiles = F.explode(F.sequence(geo.tile(box.min_lon), geo.tile(box.max_lon)))
-    known = regions.where(F.size("ring") > 2).select(region_id, "ring", geo.bounds("ring").alias("__box"))
-    known = known.select("*", tiles.alias("__x")).select("*", F.explode(F.sequence(geo.tile(box.min_lat), geo.tile(box.max_lat))).alias("__y"))
-    placed = points.select("*", geo.tile("lon").alias("__x"), geo.tile("lat").alias("__y"))
-    met = placed.join(known, ["__x", "__y"]).where(geo.contains("ring", "lon", "lat"))
+    """(points, region_id): regions(region_id, ring) that each point is strictly inside of, joined by the tiles of their covers."""
+    cover = materialise(covers(regions, region_id), "region-covers")
+    levels = sorted(r["__level"] for r in cover.select("__level").distinct().collect())
+    if not levels:
+        return points.select("*", F.lit(None).cast(dict(regions.dtypes)[region_id]).alias(region_id)).where("false")
+    side = F.lit(360.0) / F.expr("shiftleft(1L, __level)")
+    placed = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("*", F.explode(F.array(*map(F.lit, levels))).alias("__level"))
+    placed = placed.select("*", F.floor(F.col("lon") / side).cast("long").alias("__x"), F.floor(F.col("lat") / side).cast("long").alias("__y"))
+    met = placed.join(cover, ["__level", "__x", "__y"]).where(F.col("__whole") | _crosses_oddly("__edges", F.col("lon"), F.col("lat")))
     return met.select(*points.columns, region_id)
 
 
+def _crosses_oddly(edges: str, lon: Column, lat: Column) -> Column:
+    """Of edges x1, y1, x2, y2, all that share the point's latitude: is the point strictly on their inner side?"""
+    def side(e: Column) -> Column:
+        return (e.x2 - e.x1) * (lat - e.y1) - (e.y2 - e.y1) * (lon - e.x1)
+
+    def crosses(e: Column) -> Column:
+        return ((e.y1 <= lat) & (e.y2 > lat) & (side(e) > 0)) | ((e.y1 > lat) & (e.y2 <= lat) & (side(e) < 0))
+
+    def touches(e: Column) -> Column:
+        return lon.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)) & lat.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2)) & (side(e) == 0)
+
+    return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, touches)
+
+
+#: How often the tiles at a ring's edge are cut in four, and the finest tiles.
+CUTS, FINEST = 6, 30
+
+
+def covers(regions: DataFrame, region_id: str) -> DataFrame:
+    """(region_id, __level, __x, __y, __whole, __edges): tiles of 360 / 2^level degrees that hold all that is inside of each ring.
+
+    Tiles wholly inside need no further test and are as wide as they can be; tiles at the edge carry those edges of the ring
+    that share their latitudes, and are at most about a 64th of the ring's width.  So a ring has some hundred tiles
+    however wide it is.  Rings of fewer than three corners hold nothing.
+    """
+    kind = dict(regions.dtypes)[region_id]
+    schema = f"{region_id} {kind}, __level int, __x long, __y long, __whole boolean, __edges array<struct<x1: double, y1: double, x2: double, y2: double>>"
+    names = ("x1", "y1", "x2", "y2")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, ring in zip(batch[region_id], batch["ring"]):
+                rows = [(name, *tile, whole, [dict(zip(names, e)) for e in edges.tolist()]) for *tile, whole, edges in cover_of(np.array([(p["lon"], p["lat"]) for p in ring]))]
+                yield pd.DataFrame(rows, columns=[region_id, "__level", "__x", "__y", "__whole", "__edges"])
+
+    return regions.where(F.size("ring") > 2).select(region_id, "ring").mapInPandas(run, schema)
+
+
+def cover_of(ring: np.ndarray) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
+    """(level, x, y, whole, edges) of a ring(lon, lat), closed or not; edges are rows x1, y1, x2, y2."""
+    edges = np.hstack([ring, np.roll(ring, -1, axis=0)])
+    low, high = ring.min(axis=0), ring.max(axis=0)
+    wide = max(float((high - low).max()), 1e-9)
+    first = max(0, min(FINEST, int(math.floor(math.log2(360 / wide)))))
+    last = min(FINEST, first + CUTS)
+    side = 360.0 / (1 << first)
+    stack = [(first, x, y, edges) for x in range(math.floor(low[0] / side), math.floor(high[0] / side) + 1) for y in range(math.floor(low[1] / side), math.floor(high[1] / side) + 1)]
+    while stack:
+        level, x, y, band = stack.pop()
+        side = 360.0 / (1 << level)
+        slack = 1e-12 * max(1.0, abs(x * side), abs(y * side))
+        west, south, east, north = x * side - slack, y * side - slack, (x + 1) * side + slack, (y + 1) * side + slack
+        band = band[(np.minimum(band[:, 1], band[:, 3]) <= north) & (np.maximum(band[:, 1], band[:, 3]) >= south)]
+        near = band[(np.minimum(band[:, 0], band[:, 2]) <= east) & (np.maximum(band[:, 0], band[:, 2]) >= west)]
+        if len(near):
+            dx, dy = near[:, 2] - near[:, 0], near[:, 3] - near[:, 1]
+            sides = np.stack([dx * (cy - near[:, 1]) - dy * (cx - near[:, 0]) for cx in (west, east) for cy in (south, north)])
+            blur = 1e-9 * side * (np.abs(dx) + np.abs(dy))
+            near = near[(sides.min(axis=0) <= blur) & (sides.max(axis=0) >= -blur)]
+        if not len(near):
+            px, py = (west + east) / 2, (south + north) / 2
+            side_of = (band[:, 2] - band[:, 0]) * (py - band[:, 1]) - (band[:, 3] - band[:, 1]) * (px - band[:, 0])
+            up = (band[:, 1] <= py) & (band[:, 3] > py) & (side_of > 0)
+            down = (band[:, 1] > py) & (band[:, 3] <= py) & (side_of < 0)
+            if (up | down).sum() % 2:
+                yield level, x, y, True, np.zeros((0, 4))
+        elif level == last:
+            yield level, x, y, False, band
+        else:
+            stack += [(level + 1, 2 * x + i, 2 * y + j, band) for i in (0, 1) for j in (0, 1)]
+
+
 def close_pairs(sites: DataFrame, site_id: str, metres: float) -> DataFrame:
     """(a, b, distance_m): all pairs of sites, a < b, nearer than so many metres.
 

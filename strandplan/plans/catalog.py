@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandplan.functions import geo, labels
 from strandplan.lineage import shared_folder
-from strandplan.operators import cables, clusters, design, projects, roads, spatial
+from strandplan.operators import cables, clusters, design, hulls, projects, regions, roads, spatial
 from strandplan.plans import bridge
 from strandplan.sources import kml_source, sinks, tiles
 
@@ -435,13 +435,15 @@ def design_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Roads
 
 
-@query(f"""WITH RECURSIVE {bridge.ROAD_SQL},
+_WALK_SQL = f"""{bridge.ROAD_SQL},
     walk(design, node, dist_m) USING KEY (design, node) AS (
         SELECT n_nationkey::BIGINT, 0::BIGINT, 0.0::DOUBLE FROM nation
         UNION (
             SELECT o.design, o.node, o.d FROM (SELECT w.design, b.v AS node, min(w.dist_m + b.length_m) AS d FROM walk w JOIN both_ways b ON b.design = w.design AND b.u = w.node GROUP BY ALL) o
-            LEFT JOIN recurring.walk k ON k.design = o.design AND k.node = o.node WHERE k.node IS NULL OR o.d < k.dist_m))
-    SELECT design, node, dist_m FROM walk""")
+            LEFT JOIN recurring.walk k ON k.design = o.design AND k.node = o.node WHERE k.node IS NULL OR o.d < k.dist_m))"""
+
+
+@query(f"WITH RECURSIVE {_WALK_SQL} SELECT design, node, dist_m FROM walk")
 def road_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances from node 0 over each design's roads."""
     edges = bridge.road_edges(spark, sf_dir)
@@ -471,7 +473,12 @@ def adjacency_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["design", "at_node"]).where("to_node <> from_node")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WALK_SQL},
+    tree AS (SELECT w.design, w.node, min(p.node) AS via FROM walk w JOIN both_ways b ON b.design = w.design AND b.v = w.node JOIN walk p ON p.design = b.design AND p.node = b.u AND p.dist_m + b.length_m = w.dist_m GROUP BY ALL),
+    way(design, target, hop, node) AS (
+        SELECT design, max(node), 0, max(node) FROM walk GROUP BY design
+        UNION ALL SELECT w.design, w.target, w.hop + 1, t.via FROM way w JOIN tree t ON t.design = w.design AND t.node = w.node)
+    SELECT design, target, hop, node FROM way""")
 def road_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes on the way from node 0 to the farthest corner that each design's roads reach."""
     edges = bridge.road_edges(spark, sf_dir)
@@ -565,6 +572,56 @@ def houses_on_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("house_id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
 
+@query()
+def walks_from_cabinets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where one is 400 metres along the roads from each cabinet's place on them, both ways and by four choices at branches."""
+    lines = bridge.road_lines(spark, sf_dir)
+    sites = bridge.view(spark, sf_dir, "odc_site").select(F.col("site_id").alias("design"), "site_id", "lat", "lon")
+    at = roads.located(spatial.nearest_on_roads(sites, roads.segments(lines, "design"), None, "site_id", ("design",)), lines, "design")
+    ways = at.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("direction")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("branch"))
+    starts = ways.select("design", (F.col("branch") * 2 + (F.col("direction") > 0).cast("int")).alias("walk"), "u", "v", "key", "at_m", "direction", "branch", F.lit(400.0).alias("metres"))
+    return roads.walks(starts, lines, "design")
+
+
+@query(f"""WITH {bridge.ROAD_SQL} SELECT design * w * w + u AS u, design * w * w + v AS v, 0 AS key, length_m,
+    round({{SOUTH}} + floor(u / w) * {{SIDE}} / (w - 1), 9) AS lat, round({{WEST}} + (u % w) * {{SIDE}} / (w - 1) + design * 0.03::DOUBLE, 9) AS lon FROM road, lattice""".replace("{SOUTH}", "(-7.26::DOUBLE)").replace("{WEST}", "(112.74::DOUBLE)").replace("{SIDE}", "(0.02::DOUBLE)"))
+def composed_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roads of all designs, side by side, cut by a quadtree into cells of at most 100 nodes and composed again."""
+    w = bridge.road_width(spark, sf_dir)
+    lat, lon = bridge.road_place("own", w)
+    nodes = spark.range(bridge.DESIGNS * w * w).select(F.col("id").alias("node"), (F.col("id") % (w * w)).alias("own"), F.floor(F.col("id") / (w * w)).alias("design"))
+    nodes = nodes.select("node", lat.alias("lat"), (lon + F.col("design") * 0.03).alias("lon"))
+    edges = bridge.road_edges(spark, sf_dir).selectExpr(f"design * {w * w} + u AS u", f"design * {w * w} + v AS v", "key", "length_m")
+    part_nodes, part_edges = regions.cut(nodes, edges, 100, (bridge.WEST, bridge.SOUTH, bridge.WEST + 0.03 * bridge.DESIGNS, bridge.SOUTH + bridge.SIDE))
+    at = regions.composed(part_nodes, "node").select(F.col("node").alias("u"), F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    return regions.composed(part_edges, "u", "v", "key").join(at, "u").select("u", "v", "key", "length_m", "lat", "lon")
+
+
+@query(f"""WITH {bridge.view_sql('house')}, side AS (
+    SELECT a.design, a.house_id AS a, b.house_id AS b, a.lon, a.lat, (b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon) AS x,
+           (c.lon - a.lon) * (b.lon - a.lon) + (c.lat - a.lat) * (b.lat - a.lat) AS t, (b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat) AS far
+    FROM house a JOIN house b ON b.design = a.design AND b.house_id <> a.house_id JOIN house c ON c.design = a.design)
+    SELECT DISTINCT design, lon, lat FROM side GROUP BY design, a, b, lon, lat HAVING min(x) >= 0 AND bool_and(x <> 0 OR t BETWEEN 0 AND far)""")
+def design_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the convex hull of each design's houses."""
+    found = hulls.convex_hulls(bridge.view(spark, sf_dir, "house").select("design", "lon", "lat"), "design")
+    return found.select("design", F.explode("ring").alias("p")).select("design", "p.lon", "p.lat")
+
+
+@query(f"""WITH {bridge.view_sql('house')}, n AS (SELECT floor(lon * 20)::BIGINT AS tile_x, floor(lat * 20)::BIGINT AS tile_y, count(*) AS features FROM house GROUP BY ALL)
+    SELECT x AS tile_x, y AS tile_y, CASE WHEN x = 2254 THEN 1 ELSE 2 END AS fetch, coalesce(features, 0) AS features
+    FROM range(2254, 2257) a(x), range(-146, -144) b(y) LEFT JOIN n ON tile_x = x AND tile_y = y""")
+def region_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of a store after two overlapping areas were asked for, and which of the two brought each."""
+    import uuid
+
+    houses = bridge.view(spark, sf_dir, "house").select("house_id", "lat", "lon")
+    store = tiles.TileStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "house_id long")
+    for box in ((112.71, -7.29, 112.749, -7.21), (112.74, -7.26, 112.81, -7.24)):
+        store.fetch(lambda _: houses, *box)
+    return store.held()
+
+
 @query(f"WITH {bridge.view_sql('odc_site')}, d AS (SELECT site_id AS design, {bridge.metres_sql('lat', 'lon', '(-7.27::DOUBLE)', '(112.73::DOUBLE)')} AS d FROM odc_site) SELECT design, round(d, 2) AS distance_m, CASE WHEN d > 3000 THEN 'POP too far' END AS problem FROM d")
 def pop_distance_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a POP outside the area is too far from each region."""
@@ -607,7 +664,7 @@ def kml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"WITH {_DEALT_SQL} SELECT design::VARCHAR AS design, i, j, k, round(lat, 9) AS lat, round(lon, 9) AS lon FROM h")
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Houses of the designs after their states are written as JSON and read again."""
     import uuid
@@ -617,7 +674,7 @@ def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made["house"] = made["house"].withColumn("odp_seq", (F.col("i") - 1) * 4 + F.col("j"))
     path = f"{shared_folder(spark)}/design-states-{uuid.uuid4().hex}"
     sinks.states(made, "design", _POP).write.json(path)
-    return sinks.read_states(spark, path)["house"]
+    return _rounded(sinks.read_states(spark, path)["house"], 9, "lat", "lon")
 
 
 @query(f"WITH {bridge.view_sql('house')}, {bridge.view_sql('odp_site')} SELECT house_id AS id, 'hc' AS kind, lat, lon FROM house UNION ALL SELECT site_id, 'odp', lat, lon FROM odp_site UNION ALL SELECT 0, 'olt', -7.25::DOUBLE, 112.75::DOUBLE")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -242,7 +243,7 @@ class KmlWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = place_of(self.path)
         files = [f for m in messages if m for f in m.files]
-        twice = {p for _, p in files if sum(p == q for _, q in files) > 1} if len({p for _, p in files}) < len(files) else set()
+        twice = [p for p, n in Counter(p for _, p in files).items() if n > 1]
         if twice:
             self.abort(messages)
             raise ValueError(f"more than one task wrote {', '.join(sorted(twice)[:3])}")
