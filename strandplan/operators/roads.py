@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -65,6 +66,64 @@ def distances_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
         known = materialise(known.join(front, "node", "left_anti").unionByName(front), "roads-known")
 
 
+def distances_by_cell(edges: DataFrame, cells: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(query, node, dist_m, via): shortest distances over one large graph from the sources(query, node, dist_m) of each query.
+
+    cells(node, cell) deals the nodes out to cells of bounded size, such as those of a quadtree.  A round searches the
+    cells that a shorter way has come into, each from all the nodes at which ways come in, and sends on only what crosses to
+    other cells and is shorter than what is known there; so there are about as many rounds as cells on the longest of
+    the shortest ways.  Distances within cells are made at the end, once, for targets(query, node) if given.  via is the
+    node before, the smallest of several, and null at a source that nothing shorter leads to.
+    """
+    at = cells.select("node", "cell")
+    both = undirected(edges).where(F.col("length_m") < float("inf"))
+    both = both.join(at.withColumnRenamed("node", "u"), "u").join(at.select(F.col("node").alias("v"), F.col("cell").alias("to_cell")), "v")
+    graph = materialise(both.groupBy("cell").agg(F.collect_list(F.struct("u", "v", "length_m", "to_cell")).alias("edges")), "roads-cells")
+    known = materialise(sources.join(at, "node").groupBy("query", "cell", "node").agg(F.min("dist_m").alias("dist_m")).withColumn("via", F.lit(-1).cast("long")), "roads-entries")
+    new, kept = known, [F.col(c) for c in ("query", "cell", "node", "dist_m", "via")]
+    while not new.isEmpty():
+        entered = known.join(new.select("query", "cell").distinct(), ["query", "cell"], "left_semi")
+        sent = _searched(entered, graph, crossing=True).groupBy("query", "cell", "node").agg(F.min(F.struct("dist_m", "via")).alias("way")).select("query", "cell", "node", "way.*")
+        old = known.select("query", "node", F.struct("dist_m", "via").alias("old"))
+        new = materialise(sent.join(old, ["query", "node"], "left").where(F.col("old").isNull() | (F.struct("dist_m", "via") < F.col("old"))).select(*kept), "roads-sent")
+        both_known = known.unionByName(new).groupBy("query", "cell", "node").agg(F.min(F.struct("dist_m", "via")).alias("way"))
+        known = materialise(both_known.select("query", "cell", "node", "way.*"), "roads-entries")
+    found = _searched(known, graph, crossing=False).select("query", "node", "dist_m", F.when(F.col("via") >= 0, F.col("via")).alias("via"))
+    return found if targets is None else found.join(targets.select("query", "node").distinct(), ["query", "node"], "left_semi")
+
+
+def _searched(entries: DataFrame, graph: DataFrame, crossing: bool) -> DataFrame:
+    """(query, cell, node, dist_m, via): the ways that leave a cell, with the node and cell they lead to, or those to its own nodes."""
+    kind = dict(entries.dtypes)["query"]
+    per = entries.groupBy("query", "cell").agg(F.collect_list(F.struct("dist_m", "via", "node")).alias("starts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for query, cell, starts, edges in zip(batch["query"], batch["cell"], batch["starts"], batch["edges"]):
+                around: dict[int, list[tuple[int, float, int]]] = defaultdict(list)
+                for e in edges if edges is not None else ():
+                    around[e["u"]].append((e["v"], e["length_m"], e["to_cell"]))
+                queue = [(s["dist_m"], s["via"], s["node"]) for s in starts]
+                heapq.heapify(queue)
+                best: dict[int, tuple[float, int]] = {}
+                out: dict[int, tuple[float, int, int]] = {}
+                while queue:
+                    d, via, node = heapq.heappop(queue)
+                    if node in best:
+                        continue
+                    best[node] = (d, via)
+                    for v, length, to in around[node]:
+                        if to == cell:
+                            if v not in best:
+                                heapq.heappush(queue, (d + length, node, v))
+                        elif v not in out or (d + length, node) < out[v][:2]:
+                            out[v] = (d + length, node, to)
+                rows = [(query, to, v, d, u) for v, (d, u, to) in out.items()] if crossing else [(query, cell, n, d, via) for n, (d, via) in best.items()]
+                yield pd.DataFrame(rows, columns=["query", "cell", "node", "dist_m", "via"])
+
+    return per.join(graph, "cell", "left").select("query", "cell", "starts", "edges").mapInPandas(run, f"query {kind}, cell long, node long, dist_m double, via long")
+
+
 def distances_by_design(edges: DataFrame, sources: DataFrame, design: str) -> DataFrame:
     """(design, node, dist_m, via) from each design's sources, one grouped task for each design's graph."""
 

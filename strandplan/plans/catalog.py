@@ -451,6 +451,31 @@ def road_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.distances_by_design(edges, sources, "design").select("design", "node", "dist_m")
 
 
+@query(f"""WITH RECURSIVE {bridge.ROAD_SQL},
+    one AS (
+        SELECT design * w * w + u AS u, design * w * w + v AS v, length_m FROM both_ways, lattice
+        UNION ALL SELECT x.range * w * w + r.range * w + w - 1, (x.range + 1) * w * w + r.range * w, 100.0 FROM lattice, range({bridge.DESIGNS - 1}) x, range(100000) r WHERE r.range < w
+        UNION ALL SELECT (x.range + 1) * w * w + r.range * w, x.range * w * w + r.range * w + w - 1, 100.0 FROM lattice, range({bridge.DESIGNS - 1}) x, range(100000) r WHERE r.range < w),
+    walk(node, dist_m) USING KEY (node) AS (
+        SELECT min(u)::BIGINT, 0.0::DOUBLE FROM one
+        UNION (
+            SELECT o.node, o.d FROM (SELECT b.v AS node, min(w.dist_m + b.length_m) AS d FROM walk w JOIN one b ON b.u = w.node GROUP BY ALL) o
+            LEFT JOIN recurring.walk k ON k.node = o.node WHERE k.node IS NULL OR o.d < k.dist_m))
+    SELECT node, dist_m FROM walk""")
+def road_distances_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from the first node with a road, over the roads of all designs laid side by side and joined, searched cell by cell."""
+    w = bridge.road_width(spark, sf_dir)
+    edges = bridge.road_edges(spark, sf_dir).selectExpr(f"design * {w * w} + u AS u", f"design * {w * w} + v AS v", "key", "length_m")
+    joints = spark.range((bridge.DESIGNS - 1) * w).selectExpr(f"id DIV {w} * {w * w} + id % {w} * {w} + {w - 1} AS u", f"(id DIV {w} + 1) * {w * w} + id % {w} * {w} AS v", "0 AS key", "100.0D AS length_m")
+    lat, lon = bridge.road_place("own", w)
+    nodes = spark.range(bridge.DESIGNS * w * w).select(F.col("id").alias("node"), (F.col("id") % (w * w)).alias("own"), F.floor(F.col("id") / (w * w)).alias("design"))
+    coded = regions.placed(nodes.select("node", lat.alias("lat"), (lon + F.col("design") * 0.03).alias("lon")), bridge.WEST, bridge.SOUTH, bridge.WEST + 0.03 * bridge.DESIGNS, bridge.SOUTH + bridge.SIDE)
+    cells = regions.cells_of(coded, regions.quadtree(coded, 4000))
+    joined = edges.unionByName(joints)
+    sources = joined.agg(F.min(F.least("u", "v")).alias("node")).select(F.lit(0).alias("query"), "node", F.lit(0.0).alias("dist_m"))
+    return roads.distances_by_cell(joined, cells, sources).select("node", "dist_m")
+
+
 @query(f"""WITH RECURSIVE {bridge.ROAD_SQL}, node AS (SELECT d.range * w * w + r.range AS n FROM lattice, range({bridge.DESIGNS}) d, range(10000000) r WHERE r.range < w * w),
     one AS (SELECT design * w * w + u AS u, design * w * w + v AS v FROM both_ways, lattice),
     reach(a, b) AS (SELECT n, n FROM node UNION SELECT a, v FROM reach JOIN one ON one.u = b),

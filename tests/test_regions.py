@@ -179,3 +179,37 @@ def test_covers_of_wide_and_ragged_rings(spark):
     cover = spatial.covers(areas, "region").groupBy("region", "__whole").count().collect()
     assert max(r["count"] for r in cover) < 2500 and {r.region for r in cover if r["__whole"]} == {1, 2, 3, 4, 6}
     assert spatial.inside_any(df, areas.where("region = 5"), "region").count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 25, 1000])
+def test_distances_by_cell_equal_a_plain_search(spark, roads_table, most, monkeypatch):
+    nodes, edges = roads_table
+    best = {}
+    for r in edges.collect():
+        for a, b in ((r.u, r.v), (r.v, r.u)):
+            best[a, b] = min(best.get((a, b), math.inf), r.length_m)
+    starts = {0: [(5, 0.0), (17, 2.5)], 1: [(600, 1.0)], 2: [(9999, 0.0)], 3: [(5, 50.0), (5, 3.0), (18, 0.0)]}
+    want = {}
+    for q, own in starts.items():
+        away = {n: min(d for m, d in own if m == n) for n, _ in own if n < 640}
+        for _ in range(640):
+            new = {}
+            for (a, b), length in best.items():
+                if a != b and a in away and away[a] + length < min(away.get(b, math.inf), new.get(b, math.inf)):
+                    new[b] = away[a] + length
+            if not new:
+                break
+            away |= new
+        want |= {(q, n): d for n, d in away.items()}
+    coded = regions.placed(nodes, *BOX)
+    cells = regions.cells_of(coded, regions.quadtree(coded, most))
+    rounds, searched = [], roads._searched
+    monkeypatch.setattr(roads, "_searched", lambda *a, crossing: rounds.append(crossing) or searched(*a, crossing=crossing))
+    sources = spark.createDataFrame([(q, n, d) for q, own in starts.items() for n, d in own], "query int, node long, dist_m double")
+    got = {(r["query"], r.node): r for r in roads.distances_by_cell(edges, cells, sources).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k].dist_m, d, abs_tol=1e-9) for k, d in want.items())
+    for (q, n), r in got.items():
+        assert (r.via is None and (n, r.dist_m) in starts[q]) or math.isclose(want[q, r.via] + best[r.via, n], r.dist_m, abs_tol=1e-9)
+    assert len(rounds) == 2 if most == 1000 else len(rounds) > 2
+    few = roads.distances_by_cell(edges, cells, sources, spark.createDataFrame([(0, 100), (1, 600), (2, 5)], "query int, node long")).collect()
+    assert {(r["query"], r.node) for r in few} == {k for k in want if k in {(0, 100), (1, 600), (2, 5)}}
