@@ -39,7 +39,8 @@ def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: st
 
     Of equally near sites the smallest id is taken.  Tiles begin at a size that gives a tile one site on average, and a
     point is settled once its best site is nearer than the edge of the block of tiles searched; the others go on to
-    tiles eight times as wide, and at last to one that holds everything, so the answer is exact.  Points and sites
+    tiles eight times as wide.  What is left when these would hold everything is far from all sites: a site of each
+    of some thousand tiles tells how far at most, and only the tiles that come as near are looked into.  Points and sites
     without coordinates are left out, as are all points without any site to go to.
     """
     sites = sites.where("lat IS NOT NULL AND lon IS NOT NULL").select(*(F.col(b).alias(f"__by_{b}") for b in by), F.col(site_id), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
@@ -48,10 +49,10 @@ def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: st
     side = max(extent / max(math.sqrt(count), 1.0), 1e-9)
     settled: DataFrame | None = None
     while True:
-        last = side >= extent
-        best = _nearest_in_tiles(left, sites, point_id, site_id, by, side, left.sparkSession.sparkContext.defaultParallelism if last else 1)
-        if last:
+        if side >= extent:
+            best = _nearest_from_afar(left, sites, point_id, site_id, by, max(extent / FAR_TILES, 1e-9))
             return best if settled is None else settled.unionByName(best)
+        best = _nearest_in_tiles(left, sites, point_id, site_id, by, side)
         reach = side * METRES_PER_DEGREE * max(math.cos(math.radians(min(latitude + 2 * side, 89.9))), 0.0)
         done = best.where(F.col("distance_m") < reach)
         settled = done if settled is None else settled.unionByName(done)
@@ -61,21 +62,53 @@ def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: st
         side *= 8
 
 
-def _nearest_in_tiles(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, by: tuple[str, ...], side: float, parts: int) -> DataFrame:
-    """``parts``: into how many the points of a tile are dealt out; each part meets the sites of the tile."""
+#: Tiles on a side of what all sites cover, for points that are far from them.
+FAR_TILES = 48
 
+
+def _nearest_in_tiles(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, by: tuple[str, ...], side: float) -> DataFrame:
     def own(p: str) -> list[Column]:
         return [F.floor(F.col(f"{p}lon") / side).cast("long").alias("__x"), F.floor(F.col(f"{p}lat") / side).cast("long").alias("__y")]
 
-    placed = points.select("*", *own(""), F.pmod(F.xxhash64(point_id), F.lit(parts)).cast("int").alias("__part"))
+    placed = points.select("*", *own(""))
     spread = sites.select("*", *own("__")).select("*", F.explode(_around("__x", "__y")).alias("__t")).select(*(f"__by_{b}" for b in by), site_id, "__lat", "__lon", "__t.x", "__t.y")
-    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    near = placed.join(spread, [F.col("__x") == F.col("x"), F.col("__y") == F.col("y"), F.col("__part") == F.col("part"), *(F.col(b) == F.col(f"__by_{b}") for b in by)])
+    near = placed.join(spread, [F.col("__x") == F.col("x"), F.col("__y") == F.col("y"), *(F.col(b) == F.col(f"__by_{b}") for b in by)])
+    return _chosen(points, near, point_id, site_id)
+
+
+def _chosen(points: DataFrame, near: DataFrame, point_id: str, site_id: str) -> DataFrame:
     distance = geo.haversine("lat", "lon", "__lat", "__lon")
     chosen = near.groupBy(point_id).agg(F.min(F.struct(distance.alias("d"), F.col(site_id).alias("s"))).alias("__best"))
     return points.join(chosen, point_id).select(*points.columns, F.col("__best.s").alias(site_id), F.col("__best.d").alias("distance_m"))
 
 
+def _nearest_from_afar(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, by: tuple[str, ...], side: float) -> DataFrame:
+    """The nearest sites by way of the tiles that hold any, at most (FAR_TILES + 1)^2 of a group, which travel as one row."""
+    groups = [F.col(f"__by_{b}") for b in by]
+    placed = sites.select("*", F.floor(F.col("__lon") / side).cast("long").alias("__x"), F.floor(F.col("__lat") / side).cast("long").alias("__y"))
+    ends = [f(f"__{c}").alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
+    held = placed.groupBy(*groups, "__x", "__y").agg(*ends, F.min(F.struct(site_id, "__lat", "__lon")).alias("one"))
+    tile = F.struct("__x", "__y", "min_lat", "max_lat", "min_lon", "max_lon", F.col("one.__lat").alias("lat"), F.col("one.__lon").alias("lon"))
+    held = held.groupBy(*groups).agg(F.collect_list(tile).alias("__tiles"))
+    lat, lon = F.col("lat"), F.col("lon")
+
+    def away(t: Column) -> Column:
+        """No more than the distance to any place in the tile's box."""
+        north = F.sin(F.radians(F.greatest(F.lit(0.0), t.min_lat - lat, lat - t.max_lat)) / 2)
+        east = F.sin(F.radians(F.least(F.lit(180.0), F.greatest(F.lit(0.0), t.min_lon - lon, lon - t.max_lon))) / 2)
+        narrow = F.least(F.cos(F.radians(t.min_lat)), F.cos(F.radians(t.max_lat)))
+        round_ = t.max_lon - lon > 180  # the other way round may be shorter
+        east = F.when(round_ | (lon - t.min_lon > 180), 0.0).otherwise(east)
+        return F.asin(F.sqrt(F.least(F.lit(1.0), north * north + F.cos(F.radians(lat)) * narrow * east * east))) * (2 * geo.EARTH_RADIUS)
+
+    met = points.join(held, [F.col(b) == F.col(f"__by_{b}") for b in by]) if by else points.crossJoin(F.broadcast(held))  # one row
+    met = met.withColumn("__most", F.array_min(F.transform("__tiles", lambda t: geo.haversine(lat, lon, t.lat, t.lon))))
+    near_tiles = F.filter("__tiles", lambda t: away(t) * (1 - 1e-9) <= F.col("__most"))
+    asked = met.select(*by, point_id, "lat", "lon", F.explode(near_tiles).alias("__t")).select(*by, point_id, "lat", "lon", F.col("__t.__x").alias("x"), F.col("__t.__y").alias("y"))
+    near = asked.join(placed, [F.col("x") == F.col("__x"), F.col("y") == F.col("__y"), *(F.col(b) == F.col(f"__by_{b}") for b in by)])
+    return _chosen(points, near, point_id, site_id)
+
+
 def inside(points: DataFrame, ring: Column) -> DataFrame:
     """Points strictly inside one ring."""
     box = geo.bounds(ring)

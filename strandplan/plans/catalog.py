@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandplan.functions import geo, labels
 from strandplan.lineage import shared_folder
-from strandplan.operators import cables, clusters, design, hulls, projects, regions, roads, spatial
+from strandplan.operators import cables, clusters, design, hulls, ordering, projects, regions, roads, spatial
 from strandplan.plans import bridge
 from strandplan.sources import kml_source, sinks, tiles
 
@@ -60,7 +60,7 @@ def nearest_odc_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spatial.nearest_site(bridge.view(spark, sf_dir, "house"), bridge.view(spark, sf_dir, "odp_site"), "house_id", "site_id")
     loads = found.groupBy("site_id").agg(F.count("*").alias("houses"), F.round(F.avg("distance_m"), 3).alias("mean_m"))
-    return loads.withColumn("label", F.concat(F.lit("ODP-"), labels.number(F.row_number().over(Window.orderBy("site_id")), 3)))
+    return ordering.numbered(loads, "n", "site_id").withColumn("label", F.concat(F.lit("ODP-"), labels.number("n", 3))).drop("n")
 
 
 @query(f"""WITH {bridge.view_sql('house')}, d AS (SELECT house_id, {bridge.metres_sql('lat', 'lon', '(-7.25::DOUBLE)', '(112.75::DOUBLE)')} AS d FROM house)
@@ -195,10 +195,10 @@ _SEGMENT_SQL = f"{bridge.view_sql('odc_site')}, seg AS (SELECT site_id AS segmen
     best AS (SELECT * FROM d WHERE off <= 0.002::DOUBLE QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY off, segment_id) = 1)
     SELECT h.house_id, segment_id, round(t, 6) AS t, round(coalesce(py, h.lat), 8) AS snap_lat, round(coalesce(px, h.lon), 8) AS snap_lon FROM house h LEFT JOIN best USING (house_id)""")
 def snap_to_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy("site_id")
-    a = F.struct("lon", "lat")
     end = F.struct(F.lit(_POP[2]).alias("lon"), F.lit(_POP[1]).alias("lat"))
-    segments = bridge.view(spark, sf_dir, "odc_site").select(F.col("site_id").alias("segment_id"), a.alias("a"), F.coalesce(F.lead(a).over(w), end).alias("b"))
+    sites = ordering.numbered(bridge.view(spark, sf_dir, "odc_site").select(F.col("site_id").alias("segment_id"), F.struct("lon", "lat").alias("a")), "n", "segment_id")
+    after = sites.select((F.col("n") - 1).alias("n"), F.col("a").alias("after"))
+    segments = sites.join(after, "n", "left").select("segment_id", "a", F.coalesce("after", end).alias("b"))
     snapped = spatial.snap_to_segments(bridge.view(spark, sf_dir, "house").select("house_id", "lat", "lon"), segments, "house_id", 0.002)
     return snapped.select("house_id", "segment_id", F.round("t", 6).alias("t"), F.round("snap_lat", 8).alias("snap_lat"), F.round("snap_lon", 8).alias("snap_lon"))
 

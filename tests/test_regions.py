@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandplan.operators import hulls, regions, roads, spatial
+from strandplan.operators import hulls, ordering, regions, roads, spatial
 from strandplan.sources import tiles
 
 BOX = (112.7, -7.3, 112.8, -7.2)
@@ -213,3 +213,33 @@ def test_distances_by_cell_equal_a_plain_search(spark, roads_table, most, monkey
     assert len(rounds) == 2 if most == 1000 else len(rounds) > 2
     few = roads.distances_by_cell(edges, cells, sources, spark.createDataFrame([(0, 100), (1, 600), (2, 5)], "query int, node long")).collect()
     assert {(r["query"], r.node) for r in few} == {k for k in want if k in {(0, 100), (1, 600), (2, 5)}}
+
+
+def test_numbers_in_order(spark):
+    df = spark.createDataFrame([(k * 7919 % 1009, str(k)) for k in range(1009)], "a long, b string").repartition(7)
+    got = ordering.numbered(df, "n", "a").collect()
+    assert [r.n for r in sorted(got)] == list(range(1, 1010)) and all(r.n == r.a + 1 for r in got)
+    assert ordering.numbered(df.where("false"), "n", "a").count() == 0
+
+
+def test_sites_far_from_all_points(spark):
+    def metres(a, b):
+        p, q, d = math.radians(a[0]), math.radians(b[0]), math.radians(b[1] - a[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2
+        return 12742000.0 * math.asin(math.sqrt(min(1, h)))
+
+    rng = random.Random(11)
+    for around, wide in (((40.0, 10.0), 0.5), ((0.0, 0.0), 80.0), ((-60.0, 179.0), 3.0)):
+        sites = [(d, n, around[0] + rng.gauss(0, wide / 3), around[1] + rng.gauss(0, wide)) for d in (1, 2) for n in range(150)]
+        points = [(d, 100 * d + n, rng.uniform(-85, 85), rng.uniform(-180, 180)) for d in (1, 2, 3) for n in range(30)]
+        a = spark.createDataFrame(points, "d int, p long, lat double, lon double")
+        b = spark.createDataFrame([(d, n, max(-89.0, min(89.0, lat)), lon) for d, n, lat, lon in sites], "d int, s long, lat double, lon double")
+        kept = [tuple(r) for r in b.collect()]
+        for by in ((), ("d",)):
+            own = b if by else b.where("d = 1")
+            got = {r.p: (r.s, r.distance_m) for r in spatial.nearest_site(a, own if by else own.drop("d"), "p", "s", by).collect()}
+            for d, p, lat, lon in points:
+                near = [(metres((lat, lon), (y, x)), n) for e, n, y, x in kept if (e == d if by else e == 1)]
+                assert (p in got) == bool(near)
+                if near:
+                    assert math.isclose(got[p][1], min(near)[0], rel_tol=1e-9) and math.isclose(dict((n, m) for m, n in near)[got[p][0]], min(near)[0], rel_tol=1e-9)
