@@ -243,13 +243,17 @@ def _tiles_along(reach: float) -> Column:
 
 def _place_on(points: DataFrame, segments: DataFrame, point_id: str, reach: float, by: tuple[str, ...]) -> DataFrame:
     """(by, point_id, s): for points with a segment within ``reach`` degrees, the nearest and the place on it."""
-    spread = segments.select(*by, "segment_id", "a", "b", F.explode(_tiles_along(reach)).alias("__t")).select(*by, "segment_id", "a", "b", F.col("__t.x").alias("__x"), F.col("__t.y").alias("__y"))
+    x, y, dx, dy, square, t = (F.col(f"__{n}") for n in ("x1", "y1", "dx", "dy", "square", "along"))
+    parts = segments.select(*by, "segment_id", F.col("a.lon").alias("__x1"), F.col("a.lat").alias("__y1"), (F.col("b.lon") - F.col("a.lon")).alias("__dx"), (F.col("b.lat") - F.col("a.lat")).alias("__dy"), F.explode(_tiles_along(reach)).alias("__t"))
+    spread = parts.withColumn("__square", dx * dx + dy * dy).withColumns({"__x": F.col("__t.x"), "__y": F.col("__t.y")}).drop("__t")
     at = {c: F.floor(F.col(c) / reach).cast("long") for c in ("lon", "lat")}
     placed = points.select(*by, point_id, "lat", "lon", at["lon"].alias("__x"), at["lat"].alias("__y"))
-    near = placed.join(spread, [*by, "__x", "__y"]).withColumn("t", geo.along_segment("lon", "lat", F.col("a"), F.col("b")))
-    lon, lat = (F.col(f"a.{c}") + F.col("t") * (F.col(f"b.{c}") - F.col(f"a.{c}")) for c in ("lon", "lat"))
-    near = near.select(*by, point_id, "segment_id", "t", lat.alias("snap_lat"), lon.alias("snap_lon"), geo.planar("lat", "lon", lat, lon).alias("off_deg")).where(F.col("off_deg") <= reach)
-    return near.groupBy(*by, point_id).agg(F.min(F.struct("off_deg", "segment_id", "t", "snap_lat", "snap_lon")).alias("s"))
+    share = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("lon") - x) * dx + (F.col("lat") - y) * dy) / square)))
+    near = placed.join(spread, [*by, "__x", "__y"]).withColumn("__along", share)
+    off = geo.planar("lat", "lon", y + t * dy, x + t * dx)
+    best = near.groupBy(*by, point_id).agg(F.min(F.struct(off.alias("off_deg"), "segment_id", t.alias("t"), x.alias("x"), y.alias("y"), dx.alias("dx"), dy.alias("dy"))).alias("s")).where(F.col("s.off_deg") <= reach)
+    snap = [(F.col(f"s.{c}") + F.col("s.t") * F.col(f"s.d{c}")).alias(n) for c, n in (("y", "snap_lat"), ("x", "snap_lon"))]
+    return best.select(*by, point_id, F.struct("s.off_deg", "s.segment_id", "s.t", *snap).alias("s"))
 
 
 def snap_to_segments(points: DataFrame, segments: DataFrame, point_id: str, reach: float, by: tuple[str, ...] = ()) -> DataFrame:

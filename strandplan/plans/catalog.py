@@ -689,7 +689,7 @@ def kml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_DEALT_SQL} SELECT design::VARCHAR AS design, i, j, k, round(lat, 9) AS lat, round(lon, 9) AS lon FROM h")
+@query(f"WITH {_DEALT_SQL} SELECT design::VARCHAR AS design, i, j, k, lat, lon FROM h")
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Houses of the designs after their states are written as JSON and read again."""
     import uuid
@@ -699,7 +699,7 @@ def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made["house"] = made["house"].withColumn("odp_seq", (F.col("i") - 1) * 4 + F.col("j"))
     path = f"{shared_folder(spark)}/design-states-{uuid.uuid4().hex}"
     sinks.states(made, "design", _POP).write.json(path)
-    return _rounded(sinks.read_states(spark, path)["house"], 9, "lat", "lon")
+    return sinks.read_states(spark, path)["house"]
 
 
 @query(f"WITH {bridge.view_sql('house')}, {bridge.view_sql('odp_site')} SELECT house_id AS id, 'hc' AS kind, lat, lon FROM house UNION ALL SELECT site_id, 'odp', lat, lon FROM odp_site UNION ALL SELECT 0, 'olt', -7.25::DOUBLE, 112.75::DOUBLE")
