@@ -8,7 +8,8 @@ new one inserted.  A full filter doubles and is refilled from the stored keys.
 digest and indexed again.
 
 Null texts count as empty.  Null doc_ids are smaller than any other.  Rows repeated with equal doc_id and equal text
-form one group with the rest, and exactly one of them is kept.
+form one group with the rest, and exactly one of them is kept.  Very long texts are digested whole, and only digests and
+lengths travel.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

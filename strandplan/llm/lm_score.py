@@ -21,11 +21,13 @@ on the settings.  Each round then deals out the contexts, sums the features that
 weights by the scaled gradient.  The softmax within classes is trained where its contexts are: occurrences are dealt out
 by a hash of (a, class) in packed blocks, into as many parts as the corpus needs; a part has all that concerns its
 contexts, so it moves its own weights by rounds of the gradient and then scores its occurrences, held-out ones included.
-As a is never one of the commonest tokens, and as equal texts of a chunk are dealt out once, no context fills a part.
+As a is never one of the commonest tokens, and as equal texts of a chunk are dealt out once, a context fills a part only
+if it stands in very many different texts.
 
 The counts of the ``frequent`` commonest tokens are broadcast, those of rarer ones are dealt out and joined.  Training
 uses rows for which crc32(doc_id as text) mod 10 isn't 0, and those without doc_id.  Null texts are empty: one end.
-Rows that repeat doc_id and text are each trained on and each returned.  Without training rows every score is finite.
+Rows that repeat doc_id and text are each trained on and each returned.  Without training rows every score is finite.  A
+text of any length is scored whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

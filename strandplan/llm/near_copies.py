@@ -15,7 +15,8 @@ within parts of the crowd of bounded size, then between its texts outside its la
 Parts travel as one row each, and a tile returns only links that join groups, so pairs are never rows.
 
 Null texts are empty.  Texts without words are near copies of each other.  Rows without doc_id are only linked by
-fingerprint, to rows with one and among themselves; doc_id is taken to name one text otherwise.
+fingerprint, to rows with one and among themselves; doc_id is taken to name one text otherwise, and of rows that repeat
+one a single row stays.  Sets hold all shingles of a text, however long it is.  An empty table stays empty.
 """
 
 from __future__ import annotations

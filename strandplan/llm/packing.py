@@ -12,7 +12,8 @@ sequence whose length is a power of two needs no padding, which the end of a str
 cut into powers of two while this costs less than padding it.  The last sequence of a chunk is carried into the next,
 so only a task's last one is short for want of documents.
 
-Null and empty texts are a single closing id.  Rows repeated, or without doc_id, are packed like any other.
+Null and empty texts are a single closing id.  Rows repeated, or without doc_id, are packed like any other.  A very long text
+is turned into ids whole and fills as many sequences as it needs.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ weights exp(cosine / temperature).
 Only a labelled row's own text and label are learnt from: never lang, source or doc_id, the last of which only decides
 whether a row is held out and which rows make the bounded sample.  A null text is empty; an empty text, and any text
 when no label is known, scores the share of label 1 in the sample (0.5 without a sample).  Of several labels for one
-doc_id the mean decides, 1 on a tie; of several texts for one labelled doc_id the smallest is learnt from.
+doc_id the mean decides, 1 on a tie; of several texts for one labelled doc_id the smallest is learnt from.  Very long texts
+are read whole, in pieces of 2^20 bytes.  Repeated rows are scored alike and each returned.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

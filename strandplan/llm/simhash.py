@@ -11,7 +11,8 @@ A task traverses the node pairs below each block together, adding up the bits in
 pair once it exceeds the budget.  As only components are asked
 for, a task keeps a spanning forest of its links, so a dense cluster doesn't leave it as all its pairs.
 
-Null texts are empty.  Rows with equal fingerprints are one node, however many they are.
+Null texts are empty.  Rows with equal fingerprints are one node, however many they are; repeated rows are among them and
+each returned.  All shingles of a text count, however long it is.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ those of the ``frequent`` commonest pre-tokens meet their counts in the task (th
 is broadcast), those of rarer ones are dealt out and joined.  Ids are never materialised.
 
 A null text is empty.  Rows that repeat doc_id and text are counted alike and each returned.  Special strings in a text
-are one token each, as the library takes them by default.
+are one token each, as the library takes them by default.  A text of any length is counted whole, by one task, which holds
+the frequencies of its pre-tokens.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -51,3 +51,15 @@ def test_a_repeated_doc_id_is_learnt_once(spark):
     at = quality.Settings(max_labelled=4)
     models = [quality.fit(documents(spark, r), labels, at) for r in (rows, rows[::-1])]
     assert len(models[0].labels) == 4 and (models[0].vectors == models[1].vectors).all()
+
+
+def test_texts_beyond_a_piece_are_read_whole():
+    at, np = quality.Settings(), quality.np
+    rng = np.random.default_rng(1)
+    text = bytes(rng.integers(97, 123, (1 << 21) + 12345, dtype=np.uint8))
+    raw = np.frombuffer(text, np.uint8).astype(np.uint32)
+    mixed = (raw[:-2] * quality._MULTIPLIERS[0]) ^ ((raw[1:-1] + np.uint32(257)) * quality._MULTIPLIERS[1]) ^ ((raw[2:] + np.uint32(65537)) * quality._MULTIPLIERS[2])
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= quality._MULTIPLIERS[1]
+    counts = np.bincount(mixed >> np.uint32(32 - int(np.log2(at.buckets))), minlength=at.buckets)
+    assert np.allclose(quality.features(text, at)[: at.buckets], np.log1p(counts))
