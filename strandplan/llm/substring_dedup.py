@@ -5,22 +5,24 @@ words.  For each of ``hashes`` hash functions the Cartesian tree over the tokens
 (l, c, r): every subsequence from between l and c to between c and r has its minimum at c.  Only windows of at least
 ``shortest`` words are kept, about two for every ``shortest`` words of text and hash function.
 
-Windows whose minimum is the same token share a signature.  In each such group every window is linked to the window of
-the smallest doc_id and to that of the doc_id before its own, first within a batch and then, for the batch's first and
-last, over all batches: a passage that many documents hold makes as many links as documents, not all pairs, and a batch
-passes on two rows of a signature.  The first document may hold less of a passage than later ones share, and then these
-are linked by the second kind.  Verbatim passages don't rest on these links: where windows of the first hash function
+Windows whose minimum is the same token share a signature.  Only those whose signature another text has too are looked
+at further.  In a document, ``agreeing`` of them, of different functions, that hold a common sequence of the shortest
+passage's tokens make a joint window, and those of equal signatures are linked: every joint window to that of the
+smallest doc_id and to that of the doc_id before its own, first within a batch and then, for the batch's first and last,
+over all batches.  So a passage that many documents hold makes as many links as documents, not all pairs, and a batch
+passes on two rows of a signature; and documents that hold a passage's phrases apart from each other, or less of it, don't
+stand between those that share it.  Verbatim passages don't rest on these links: where windows of the first hash function
 share their signature with another document's, every run of the shortest passage's tokens around their minimum is a key
 of its own, and is linked to the smallest doc_id that holds the whole run, again first within a batch, where links of
-successive runs become one.  The links between two documents are joined by the intervals that they cover; where links of
-at least ``agreeing`` hash functions overlap, the passages are verified against the texts: runs of common shingles,
-bridged over ``bridge`` of them, must hold at least ``shortest`` words and have Jaccard similarity ``similarity`` or
-more, or be verbatim.
+successive runs become one.  The links between two documents are joined by the intervals that they cover, and these are
+verified against the texts: runs of common shingles, bridged over ``bridge`` of them, must hold at least ``shortest``
+words and have Jaccard similarity ``similarity`` or more, or be verbatim.
 
 Identical passages of ``shortest`` words or more share a window of the first hash function and are always found, in the
-later of their texts at least.  Passages of similarity 0.8 share three of five signatures with probability 0.94; those
-that differ can still be missed where, of the documents that share some of their signatures, the first and the one
-before both hold too little of them (the tests measure the share that is found).  Texts that are equal up to case and
+later of their texts at least.  Passages of similarity 0.8 share three of five signatures with probability 0.94, and each
+sequence of the shortest passage's length inside longer ones is a further trial; those that differ can still be missed
+where, for every joint window that they share, the first document and the one before have the same three minima as close
+together and yet are less than similar.  Texts that are equal up to case and
 white space are one class: its smallest doc_id stands for it, and the others are reported as copies.  Null texts are
 empty, texts of fewer than ``shortest`` words hold no passage, rows without doc_id are left out, rows that repeat doc_id
 and text count once; of several texts of one doc_id that of the smallest digest counts.  Long texts are looked at in
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -144,11 +147,14 @@ def _linked(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([star, chain]), np.concatenate([leader[star], before[chain]])
 
 
-def _window_rows(ids: list[int], texts: list[np.ndarray], starts: list[int], at: Settings) -> pa.RecordBatch:
-    """Links within these texts, and rows without a link for the first windows of each signature's first and last document.
+#: A window whose key must be looked for in other batches, one of a key that texts of its batch share, and one of these for each key and batch.
+_ALONE, _KNOWN, _SPEAKS = 0, 1, 2
+_WINDOWS = pa.schema([(name, pa.int64()) for name in ("key", "doc", "place")] + [("state", pa.int8())])
+WINDOWS = "key long, doc long, place long, state byte"
 
-    ``starts``: which token of its document each text begins with.
-    """
+
+def _window_rows(ids: list[int], texts: list[np.ndarray], starts: list[int], at: Settings) -> pa.RecordBatch:
+    """All windows of these texts, with their states.  ``starts``: which token of its document each text begins with."""
     sizes = np.array([len(t) for t in texts])
     tokens, ends = np.concatenate(texts), np.cumsum(sizes)
     begins, docs, shift = ends - sizes, np.array(ids, np.int64), np.array(starts, np.int64)
@@ -162,15 +168,109 @@ def _window_rows(ids: list[int], texts: list[np.ndarray], starts: list[int], at:
     key, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((place, doc, key))
     key, doc, place = key[order], doc[order], place[order]
+    first, group, several = _groups(key, doc)
+    state = np.where(several[group], np.where(first, _SPEAKS, _KNOWN), _ALONE).astype(np.int8)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, place, state)], schema=_WINDOWS)
+
+
+def _groups(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in the order of (key, doc): which are the first of their key, the number of each one's key, and which keys several docs have."""
+    first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    at = np.flatnonzero(first)
+    last = np.append(at[1:], len(key)) - 1
+    return first, np.cumsum(first) - 1, doc[at] != doc[last[: len(at)]]
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (key, doc): those whose key texts of their batch share, or several rows' docs."""
+    held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int8))  # of the last key, until it is known to be shared
+    told = False  # the row that is held stands for a shared key and has been passed on
+    for batch in batches:
+        rows = tuple(c.to_numpy() for c in batch.columns)
+        if (known := rows[3] == _KNOWN).any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in rows], schema=_WINDOWS)
+        rows = tuple(np.concatenate([x, y[~known]]) for x, y in zip(held, rows, strict=True))
+        key, doc, _, state = rows
+        if not len(key):
+            continue
+        _, group, several = _groups(key, doc)
+        several |= np.bincount(group, state == _SPEAKS) > 0
+        out = several[group] | (state == _SPEAKS)
+        if told:
+            several[0] = True
+            out |= group == 0
+            out[0] = False
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in rows], schema=_WINDOWS)
+        told = bool(several[-1])
+        kept = [len(key) - 1] if told else np.flatnonzero(group == group[-1])
+        held = tuple(x[kept] for x in rows)
+
+
+def _joint_windows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, at: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, doc, place) for every ``agreeing`` functions whose windows hold a common sequence of the shortest passage's tokens.
+
+    A function's windows hold disjoint sets of such sequences, each a range of first tokens.  Where these ranges begin or
+    end, the windows are looked up; the place is that of the first function's minimum, its reach is what all have.
+    """
+    c, left, right = _unpack(place)
+    text = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 32
+    begin = text + c - np.minimum(left, at.tokens - 1)
+    end = text + c + np.minimum(right, at.tokens - 1) - at.tokens + 2
+    cuts = np.unique(np.concatenate([begin, end]))
+    owner = []
+    for j in range(at.hashes):
+        own = np.flatnonzero(key & 7 == j)
+        own = own[np.lexsort((end[own], begin[own]))]
+        k = np.searchsorted(begin[own], cuts, side="right") - 1
+        reach = np.maximum.accumulate(end[own])
+        owner.append(np.where((k >= 0) & (np.append(reach, 0)[k] > cuts), np.append(own, -1)[k], -1))
+    parts = []
+    for number, chosen in enumerate(combinations(owner, at.agreeing)):
+        rows = np.stack(chosen)
+        every = (rows >= 0).all(0)
+        new = every & np.concatenate([[True], ~every[:-1] | (rows[:, 1:] != rows[:, :-1]).any(0)])
+        rows = rows[:, new]
+        joint = np.full(rows.shape[1], _ODD[number % len(_ODD)], np.uint64)
+        for r in rows:
+            joint = (joint ^ key[r].view(np.uint64)) * np.uint64(_ODD[0])
+            joint ^= joint >> np.uint64(29)
+        low, high = (c - left)[rows].max(0), (c + right)[rows].min(0)
+        parts.append((joint.view(np.int64), doc[rows[0]], _pack(c[rows[0]], c[rows[0]] - low, high - c[rows[0]])))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _joint_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of windows in the order of (doc, place): links of joint windows within some documents, and rows without a link for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns[:3]))
+            if sum(len(x[0]) for x in held) < at.chunk:
+                continue
+            rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            whole = int(np.searchsorted(rows[1], rows[1][-1]))  # rows of documents that are complete
+            if whole:
+                yield _link_rows(*_joint_windows(*(x[:whole] for x in rows), at))
+            held = [tuple(x[whole:] for x in rows)]
+        if sum(len(x[0]) for x in held):
+            yield _link_rows(*_joint_windows(*(np.concatenate(x) for x in zip(*held, strict=True)), at))
+
+    return run
+
+
+def _link_rows(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Links within these rows, and rows without a link for the first row of each key's first and last document."""
+    order = np.lexsort((place, doc, key))
+    key, doc, place = key[order], doc[order], place[order]
     if not len(key):
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, schema=_LINKS)
     row, to = _linked(key, doc)
     first = np.concatenate([[True], key[1:] != key[:-1]])
     new_doc = np.flatnonzero(first | np.concatenate([[True], doc[1:] != doc[:-1]]))
     sent = np.union1d(np.flatnonzero(first), new_doc[np.append(first[new_doc[1:]], True)])
-    leader = np.flatnonzero(first)[np.cumsum(first) - 1]
-    own = np.flatnonzero((doc == doc[leader]) & ~first & (key & 7 == 0))  # all places of a document for the first function
-    row, to = np.concatenate([row, own, sent]), np.concatenate([to, leader[own], sent])
+    row, to = np.concatenate([row, sent]), np.concatenate([to, sent])
     none = np.arange(len(row)) >= len(row) - len(sent)
     return pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(doc[row]), pa.array(place[row]), pa.array(doc[to], mask=none), pa.array(place[to], mask=none)], schema=_LINKS)
 
@@ -301,34 +401,28 @@ _FOUND = pa.schema([(name, pa.int64()) for name in ("doc", "lo", "hi", "to_doc",
 FOUND = ", ".join(f"{name} long" for name in _FOUND.names)
 
 
-def _join_intervals(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of links in the order of (doc, to_doc, lo): the stretches that overlapping links of enough functions cover."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 7
-        for batch in batches:
-            rows = [np.concatenate([old, new.to_numpy()]) for old, new in zip(rest, batch.columns, strict=True)]
-            doc, to_doc, lo, hi, _, _, _ = rows
-            pair = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (to_doc[1:] != to_doc[:-1]))])
-            covered = np.maximum.accumulate((pair << 32) + hi)
-            begins = np.concatenate([[True], (pair[1:] << 32) + lo[1:] > covered[:-1]])
-            cut = np.flatnonzero(begins)
-            yield from _stretches([x[: cut[-1]] for x in rows], cut[:-1], at)
-            rest = [x[cut[-1] :] for x in rows]
-        if len(rest[0]):
-            yield from _stretches(rest, np.array([0]), at)
-
-    return run
-
-
-def _stretches(rows: list[np.ndarray], cut: np.ndarray, at: Settings) -> Iterator[pa.RecordBatch]:
-    if not len(cut):
-        return
-    doc, to_doc, lo, hi, to_lo, to_hi, functions = rows
-    agreed = np.bitwise_count(np.bitwise_or.reduceat(functions, cut)) >= at.agreeing
+def _join_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of links in the order of (doc, to_doc, lo): the stretches that overlapping links cover."""
+    rest = [np.zeros(0, np.int64)] * 6
+    for batch in batches:
+        rows = [np.concatenate([old, new.to_numpy()]) for old, new in zip(rest, batch.columns, strict=True)]
+        doc, to_doc, lo, hi, _, _ = rows
+        if not len(doc):
+            continue
+        pair = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (to_doc[1:] != to_doc[:-1]))])
+        covered = np.maximum.accumulate((pair << 32) + hi)
+        cut = np.flatnonzero(np.concatenate([[True], (pair[1:] << 32) + lo[1:] > covered[:-1]]))
+        if len(cut) > 1:
+            yield _stretches([x[: cut[-1]] for x in rows], cut[:-1])
+        rest = [x[cut[-1] :] for x in rows]
+    if len(rest[0]):
+        yield _stretches(rest, np.array([0]))
+
+
+def _stretches(rows: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
+    doc, to_doc, lo, hi, to_lo, to_hi = rows
     columns = [doc[cut], lo[cut], np.maximum.reduceat(hi, cut), to_doc[cut], np.minimum.reduceat(to_lo, cut), np.maximum.reduceat(to_hi, cut)]
-    if agreed.any():
-        yield pa.RecordBatch.from_arrays([pa.array(c[agreed]) for c in columns], schema=_FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_FOUND)
 
 
 def common_passages(a: np.ndarray, b: np.ndarray, at: Settings) -> list[tuple[int, int, int, int, float]]:
@@ -422,50 +516,48 @@ def _verify_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def shared_runs(texts: DataFrame, links: DataFrame, copies: DataFrame, at: Settings) -> DataFrame:
-    """Links of ``n`` successive runs of tokens, each as long as the shortest passage, that texts share.
+def shared_windows(texts: DataFrame, copies: DataFrame, at: Settings) -> DataFrame:
+    """(key, doc, place) of the windows whose signature other texts have too.
 
-    Equal texts count once, as the smallest doc_id: copies(doc, source_id) has the others.
+    A task tells those that texts of a batch share, and passes one row of such a key on; the others are looked for by
+    key.  So a key has a row or two for each batch there, however many documents hold it.  Equal texts of several tasks
+    aren't other texts: they are replaced by the smallest doc_id, and what is shared is told again.
     """
-    first = links.where("key & 7 = 0")
-    windows = first.select("doc", "place").union(first.select("to_doc", "to_place"))
-    standing = windows.join(copies.select("doc", "source_id"), "doc", "left").select(F.coalesce("source_id", "doc").alias("doc"), "place")
-    places = standing.groupBy("doc").agg(F.collect_set("place").alias("places"))
+
+    def told(windows: DataFrame) -> DataFrame:
+        spread = F.when(F.col("state") == _KNOWN, F.xxhash64("doc", "place")).otherwise(F.col("key"))
+        return windows.repartition(spread).sortWithinPartitions("key", "doc", "place").mapInArrow(_shared_batches, WINDOWS)
+
+    shared = materialise(told(texts.mapInArrow(_window_batches(at), WINDOWS)), "passages-shared")
+    standing = shared.join(copies.select("doc", "source_id"), "doc", "left")
+    return told(standing.select("key", F.coalesce("source_id", "doc").alias("doc"), "place", "state")).select("key", "doc", "place")
+
+
+def shared_runs(texts: DataFrame, windows: DataFrame, at: Settings) -> DataFrame:
+    """Links of ``n`` successive runs of tokens, each as long as the shortest passage, that texts share."""
+    places = windows.where("key & 7 = 0").groupBy("doc").agg(F.collect_set("place").alias("places"))
     runs = materialise(texts.join(places, "doc").select("doc", "text", "places").mapInArrow(_run_batches(at), RUNS), "passages-runs")
     firsts = runs.where("key IS NOT NULL").repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(_first_runs, RUNS)
     return runs.where("key IS NULL").unionByName(firsts).select("doc", "place", "to_doc", "to_place", "n")
 
 
 def candidate_stretches(texts: DataFrame, copies: DataFrame, at: Settings) -> DataFrame:
-    """(doc, lo, hi, to_doc, to_lo, to_hi), in tokens, of ``texts``(doc, text binary).
+    """(doc, lo, hi, to_doc, to_lo, to_hi), in tokens, of ``texts``(doc, text binary), to_doc smaller than doc.
 
-    A task looks at one of equal texts only; copies(doc, source_id) tells which texts are equal.
+    Equal texts count once, as the smallest doc_id: copies(doc, source_id) has the others.
     """
-    windows = texts.mapInArrow(_window_batches(at), LINKS)
-    links = windows.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(_link_batches, LINKS)
-    links = materialise(links, "passages-links")
+    windows = materialise(shared_windows(texts, copies, at), "passages-windows")
+    joint = windows.repartition("doc").sortWithinPartitions("doc", "place").mapInArrow(_joint_batches(at), LINKS)
+    spread = F.when(F.col("to_doc").isNotNull(), F.xxhash64("doc", "place")).otherwise(F.col("key"))
+    links = joint.repartition(spread).sortWithinPartitions("key", "doc", "place").mapInArrow(_link_batches, LINKS)
     c, left, right = (f"{p}" for p in ("shiftright(place, 32)", "(shiftright(place, 16) & 65535)", "(place & 65535)"))
     to_c, to_left, to_right = (x.replace("place", "to_place") for x in (c, left, right))
-    both = links.where("doc <> to_doc").selectExpr("doc", "to_doc", f"{c} AS c", f"{to_c} AS to_c", f"least({left}, {to_left}) AS l", f"least({right}, {to_right}) AS r", "shiftleft(1L, cast(key & 7 AS int)) AS functions")
-    spans = both.selectExpr("doc", "to_doc", "c - l AS lo", "c + r AS hi", "to_c - l AS to_lo", "to_c + r AS to_hi", "functions").where(f"l + r + 1 >= {int(at.tokens * at.similarity)}")
-    more, every = at.tokens - 2, (1 << at.hashes) - 1  # all functions agree on an identical run
-    runs = shared_runs(texts, links, copies, at)
-    spans = spans.unionByName(runs.selectExpr("doc", "to_doc", "place AS lo", f"place + n + {more} AS hi", "to_place AS to_lo", f"to_place + n + {more} AS to_hi", f"{every}L AS functions"))
-    return spans.repartition("doc", "to_doc").sortWithinPartitions("doc", "to_doc", "lo").mapInArrow(_join_intervals(at), FOUND)
-
-
-def standing_for(found: DataFrame, copies: DataFrame) -> DataFrame:
-    """Stretches of texts as those of the smallest doc_id of their class; copies(doc, source_id) has the others.
-
-    Places are the same in all copies.  The larger doc_id comes first.
-    """
-    for column in ("doc", "to_doc"):
-        known = copies.select(F.col("doc").alias("__doc"), F.col("source_id").alias("__first"))
-        found = found.join(known, F.col(column) == F.col("__doc"), "left").withColumn(column, F.coalesce("__first", column)).drop("__doc", "__first")
-    turned = F.col("doc") < F.col("to_doc")
-    pairs = (("doc", "to_doc"), ("lo", "to_lo"), ("hi", "to_hi"))
-    swapped = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in pairs] + [F.when(turned, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in pairs]
-    return found.where("doc <> to_doc").select(*swapped).select(*_FOUND.names).distinct()
+    both = links.where("doc <> to_doc").selectExpr("doc", "to_doc", f"{c} AS c", f"{to_c} AS to_c", f"least({left}, {to_left}) AS l", f"least({right}, {to_right}) AS r")
+    spans = both.selectExpr("doc", "to_doc", "c - l AS lo", "c + r AS hi", "to_c - l AS to_lo", "to_c + r AS to_hi").where(f"l + r + 1 >= {int(at.tokens * at.similarity)}")
+    more = at.tokens - 2
+    runs = shared_runs(texts, windows, at)
+    spans = spans.unionByName(runs.selectExpr("doc", "to_doc", "place AS lo", f"place + n + {more} AS hi", "to_place AS to_lo", f"to_place + n + {more} AS to_hi"))
+    return spans.repartition("doc", "to_doc").sortWithinPartitions("doc", "to_doc", "lo").mapInArrow(_join_intervals, FOUND)
 
 
 def substring_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -491,8 +583,7 @@ def substring_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     copied = copies.select(F.col("doc").alias("doc_id"), zero.alias("start"), "n_words", "source_id", zero.alias("source_start"), F.lit(1.0).alias("similarity"))
 
     texts = own.select("doc", F.encode("text", "UTF-8").alias("text"))
-    found = standing_for(candidate_stretches(texts, copies.select("doc", "source_id"), at), copies.select("doc", "source_id"))
-    found = materialise(found, "passages-found")
+    found = materialise(candidate_stretches(texts, copies, at), "passages-found")
     asked = found.select("doc").union(found.select("to_doc")).distinct()
     asked = F.broadcast(asked) if asked.count() <= at.broadcast_ids else asked
     texts = texts.join(asked, "doc", "left_semi")
