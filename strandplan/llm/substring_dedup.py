@@ -57,7 +57,7 @@ class Settings:
     chunk: int = 1 << 18
     #: Runs that a task compares before it passes them on.
     runs: int = 1 << 21
-    #: Bound on doc_ids that are broadcast to pick the texts for verification; beyond it they are joined by a shuffle.
+    #: Bound on doc_ids that are broadcast to pick texts; beyond it they are joined by a shuffle.
     broadcast_ids: int = 2_000_000
 
     @property
@@ -280,14 +280,12 @@ def _window_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         ids: list[int] = []
         texts: list[np.ndarray] = []
         starts: list[int] = []
-        held, seen = 0, set()
+        held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = word_hashes(text)
-                tokens = shingle_hashes(words, at.words)
-                if len(tokens) < at.tokens or (same := xxhash.xxh3_128_digest(words.tobytes())) in seen:
+                tokens = shingle_hashes(word_hashes(text), at.words)
+                if len(tokens) < at.tokens:
                     continue
-                seen.add(same)
                 for start in range(0, max(1, len(tokens) - 4 * at.tokens), at.chunk):
                     piece = tokens[start : start + at.chunk + 4 * at.tokens]
                     if held + len(piece) > max(at.chunk, len(piece)) and ids:
@@ -425,38 +423,44 @@ def _stretches(rows: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_FOUND)
 
 
+def _spans(places: list[int], bridge: int) -> list[tuple[int, int]]:
+    """First and last of every run of ascending places at most ``bridge`` apart."""
+    if not places:
+        return []
+    cut = [k for k in range(1, len(places)) if places[k] - places[k - 1] > bridge]
+    return [(places[i], places[j - 1]) for i, j in zip([0, *cut], [*cut, len(places)], strict=True)]
+
+
 def common_passages(a: np.ndarray, b: np.ndarray, at: Settings) -> list[tuple[int, int, int, int, float]]:
     """(start and words in a, start and words in b, similarity) of the common passages of two word sequences."""
     x, y = shingle_hashes(a, at.words), shingle_hashes(b, at.words)
-    if not len(x) or not len(y):
+    mine, theirs = x.tolist(), y.tolist()
+    known = set(theirs)
+    places = [i for i, token in enumerate(mine) if token in known]
+    if not places or places[-1] - places[0] + 1 < at.tokens:
         return []
-    places = np.flatnonzero(np.isin(x, y))
-    order = np.argsort(y, kind="stable")
     out: list[tuple[int, int, int, int, float]] = []
     for bridge in (at.bridge, 1):
-        breaks = np.flatnonzero(np.diff(places) > bridge) + 1
-        for run in np.split(places, breaks):
-            if not len(run) or run[-1] - run[0] + 1 < at.tokens:
-                continue
-            lo, hi = int(run[0]), int(run[-1]) + 1
-            if any(s <= lo and hi <= s + n - at.words + 1 for s, n, _, _, _ in out):
+        for lo, last in _spans(places, bridge):
+            hi = last + 1
+            if hi - lo < at.tokens or any(s <= lo and hi <= s + n - at.words + 1 for s, n, _, _, _ in out):
                 continue
-            part, inside = np.unique(x[lo:hi]), np.isin(y, x[lo:hi])
-            for other in np.split(np.flatnonzero(inside), np.flatnonzero(np.diff(np.flatnonzero(inside)) > bridge) + 1):
-                if not len(other):
-                    continue
-                there = np.unique(y[other[0] : other[-1] + 1])
-                both = len(np.intersect1d(part, there, assume_unique=True))
+            part = set(mine[lo:hi])
+            for first, end in _spans([j for j, token in enumerate(theirs) if token in part], bridge):
+                there = set(theirs[first : end + 1])
+                both = len(part & there)
                 alike = both / (len(part) + len(there) - both)
-                if alike >= at.similarity and other[-1] - other[0] + 1 >= at.similarity * at.tokens:
-                    out.append((lo, hi - lo + at.words - 1, int(other[0]), int(other[-1] - other[0]) + at.words, alike))
+                if alike >= at.similarity and end - first + 1 >= at.similarity * at.tokens:
+                    out.append((lo, hi - lo + at.words - 1, first, end - first + at.words, alike))
                     break
+    left = [(lo, last + 1) for lo, last in _spans(places, 1) if last + 1 - lo >= at.tokens]
+    left = [(lo, hi) for lo, hi in left if not any(s <= lo and hi <= s + n - at.words + 1 for s, n, _, _, _ in out)]
+    if not left:
+        return out
+    order = np.argsort(y, kind="stable")
     if not out:
         return _verbatim(x, y, order, at)
-    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
-        lo, hi = int(run[0]), int(run[-1]) + 1
-        if hi - lo < at.tokens or any(s <= lo and hi <= s + n - at.words + 1 for s, n, _, _, _ in out):
-            continue
+    for lo, hi in left:
         for s, n, t, _, alike in _verbatim(x[lo:hi], y, order, at):
             if not any(b <= lo + s and lo + s + n <= b + m for b, m, _, _, _ in out):
                 out.append((lo + s, n, t, n, alike))
@@ -516,21 +520,15 @@ def _verify_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def shared_windows(texts: DataFrame, copies: DataFrame, at: Settings) -> DataFrame:
+def shared_windows(texts: DataFrame, at: Settings) -> DataFrame:
     """(key, doc, place) of the windows whose signature other texts have too.
 
     A task tells those that texts of a batch share, and passes one row of such a key on; the others are looked for by
-    key.  So a key has a row or two for each batch there, however many documents hold it.  Equal texts of several tasks
-    aren't other texts: they are replaced by the smallest doc_id, and what is shared is told again.
+    key.  So a key has a row or two for each batch there, however many documents hold it.
     """
-
-    def told(windows: DataFrame) -> DataFrame:
-        spread = F.when(F.col("state") == _KNOWN, F.xxhash64("doc", "place")).otherwise(F.col("key"))
-        return windows.repartition(spread).sortWithinPartitions("key", "doc", "place").mapInArrow(_shared_batches, WINDOWS)
-
-    shared = materialise(told(texts.mapInArrow(_window_batches(at), WINDOWS)), "passages-shared")
-    standing = shared.join(copies.select("doc", "source_id"), "doc", "left")
-    return told(standing.select("key", F.coalesce("source_id", "doc").alias("doc"), "place", "state")).select("key", "doc", "place")
+    spread = F.when(F.col("state") == _KNOWN, F.xxhash64("doc", "place")).otherwise(F.col("key"))
+    windows = texts.mapInArrow(_window_batches(at), WINDOWS)
+    return windows.repartition(spread).sortWithinPartitions("key", "doc", "place").mapInArrow(_shared_batches, WINDOWS).select("key", "doc", "place")
 
 
 def shared_runs(texts: DataFrame, windows: DataFrame, at: Settings) -> DataFrame:
@@ -541,12 +539,9 @@ def shared_runs(texts: DataFrame, windows: DataFrame, at: Settings) -> DataFrame
     return runs.where("key IS NULL").unionByName(firsts).select("doc", "place", "to_doc", "to_place", "n")
 
 
-def candidate_stretches(texts: DataFrame, copies: DataFrame, at: Settings) -> DataFrame:
-    """(doc, lo, hi, to_doc, to_lo, to_hi), in tokens, of ``texts``(doc, text binary), to_doc smaller than doc.
-
-    Equal texts count once, as the smallest doc_id: copies(doc, source_id) has the others.
-    """
-    windows = materialise(shared_windows(texts, copies, at), "passages-windows")
+def candidate_stretches(texts: DataFrame, at: Settings) -> DataFrame:
+    """(doc, lo, hi, to_doc, to_lo, to_hi), in tokens, of ``texts``(doc, text binary), which differ; to_doc is smaller than doc."""
+    windows = materialise(shared_windows(texts, at), "passages-windows")
     joint = windows.repartition("doc").sortWithinPartitions("doc", "place").mapInArrow(_joint_batches(at), LINKS)
     spread = F.when(F.col("to_doc").isNotNull(), F.xxhash64("doc", "place")).otherwise(F.col("key"))
     links = joint.repartition(spread).sortWithinPartitions("key", "doc", "place").mapInArrow(_link_batches, LINKS)
@@ -583,7 +578,9 @@ def substring_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     copied = copies.select(F.col("doc").alias("doc_id"), zero.alias("start"), "n_words", "source_id", zero.alias("source_start"), F.lit(1.0).alias("similarity"))
 
     texts = own.select("doc", F.encode("text", "UTF-8").alias("text"))
-    found = materialise(candidate_stretches(texts, copies, at), "passages-found")
+    others = materialise(copies.select("doc"), "passages-copies")
+    others = F.broadcast(others) if others.count() <= at.broadcast_ids else others
+    found = materialise(candidate_stretches(texts.join(others, "doc", "left_anti"), at), "passages-found")
     asked = found.select("doc").union(found.select("to_doc")).distinct()
     asked = F.broadcast(asked) if asked.count() <= at.broadcast_ids else asked
     texts = texts.join(asked, "doc", "left_semi")
