@@ -13,7 +13,12 @@ P(token | class, a, b) is 1 for a class of one token.  Else it is a softmax over
 the last two tokens before, whatever lies between, whose class isn't theirs alone.  Features are the skip bigram
 (a, token) and the skip trigram (b, a, token), hashed, and a bias, the log of (c + 0.1) / (n + 0.1 * (v + 1)) with the
 class's n training tokens of v kinds; the 1 stands for all tokens never seen.  A feature exists if training rows hold it
-``least`` times and its token is one of the ``frequent`` commonest, so the features grow with the corpus.
+``least`` times, so the features grow with the corpus.  Tokens beyond the ``frequent`` commonest share features: those of
+a class are hashed to ``buckets`` buckets, a bucket's features stand for its tokens, and within a bucket a token's share
+is by its count.  A bucket has the share of its tokens and of one never seen.
+
+Contexts are hashes of as many bits as the number of training tokens asks for (28, and one more for every doubling beyond
+2^21), the same ones whatever they are dealt out to, so scores don't depend on the number of partitions.
 
 Training.  One pass counts all training tokens.  Another sums, per task and then over tasks, how often each context and
 each feature with each class occurs: all the softmax over classes needs to know of the data, of a size that only depends
@@ -61,8 +66,9 @@ class Settings:
     step: float = 0.3
     #: Tasks of a round; each deals out tables of the weights' size.
     tasks: int = 4
-    #: Bound on the broadcast table of counts.
+    #: Bound on the broadcast table of counts, and buckets of a class for the tokens beyond it.
     frequent: int = 1 << 18
+    buckets: int = 2048
     #: Distinct tokens that a task holds, and tokens that it looks at together.
     held: int = 300_000
     chunk: int = 400_000
@@ -95,6 +101,11 @@ def suffix_class(token: bytes, at: Settings) -> int:
     return 1 + at.words + zlib.crc32(letters[-3:] + token[len(letters) :][-1:]) % at.suffixes
 
 
+def bucket(token: bytes, suffix: int, at: Settings) -> int:
+    """The number among all classes' buckets."""
+    return (suffix - 1 - at.words) * at.buckets + zlib.crc32(token) % at.buckets
+
+
 class Codes(dict):
     """A frequent token's rank, or -1 - class - classes * hash for a rarer one; of those it remembers ``held``."""
 
@@ -112,7 +123,7 @@ class Codes(dict):
 
 @dataclass
 class Lexicon:
-    """Frequent tokens, the most frequent first, with their counts and classes; by class n and v."""
+    """Frequent tokens, the most frequent first, with their counts and classes; by class n and v, by bucket those of rarer tokens."""
 
     at: Settings
     tokens: list[bytes]
@@ -121,6 +132,12 @@ class Lexicon:
     kinds: int
     class_total: np.ndarray
     class_kinds: np.ndarray
+    bucket_total: np.ndarray
+    bucket_kinds: np.ndarray
+
+    @property
+    def context_bits(self) -> int:
+        return min(28 + max(int(self.total).bit_length() - 21, 0), 60)
 
     def codes(self) -> Codes:
         return Codes(self.tokens, self.at)
@@ -155,8 +172,8 @@ def _counts(seen: Counter) -> pa.RecordBatch:
 def _suffix_batches(at: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [suffix_class(t, at) for t in batch.column("token").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column("c")], ["class", "c"])
+            found = [bucket(t, suffix_class(t, at), at) for t in batch.column("token").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column("c")], ["bucket", "c"])
 
     return run
 
@@ -169,13 +186,18 @@ def lexicon(counts: DataFrame, at: Settings) -> Lexicon:
     if END not in found:  # it has a class of its own, however rare
         for r in counts.where(F.col("token") == F.lit(END)).collect():
             found, sizes = [*found, END], [*sizes, r.c]
-    lex = Lexicon(at, found, np.array(sizes, np.float64), total, kinds, np.zeros(at.classes), np.zeros(at.classes))
-    for r in counts.mapInArrow(_suffix_batches(at), "class int, c long").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        lex.class_total[r["class"]], lex.class_kinds[r["class"]] = r.n, r.v
+    lex = Lexicon(at, found, np.array(sizes, np.float64), total, kinds, *(np.zeros(n) for n in (at.classes, at.classes, at.suffixes * at.buckets, at.suffixes * at.buckets)))
+    sums = counts.mapInArrow(_suffix_batches(at), "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
+    place = sums.column("bucket").to_numpy()
+    lex.bucket_total[place], lex.bucket_kinds[place] = sums.column("n").to_numpy(), sums.column("v").to_numpy()
+    lex.class_total[1 + at.words :], lex.class_kinds[1 + at.words :] = (x.reshape(at.suffixes, -1).sum(1) for x in (lex.bucket_total, lex.bucket_kinds))
     for w, c, k in zip(lex.tokens, lex.counts, lex.classes(), strict=False):
+        suffix = suffix_class(w, at)
+        lex.bucket_total[bucket(w, suffix, at)] -= c
+        lex.bucket_kinds[bucket(w, suffix, at)] -= 1
         if k <= at.words:  # it has a class of its own instead
-            lex.class_total[suffix_class(w, at)] -= c
-            lex.class_kinds[suffix_class(w, at)] -= 1
+            lex.class_total[suffix] -= c
+            lex.class_kinds[suffix] -= 1
             lex.class_total[k], lex.class_kinds[k] = c, 1
     return lex
 
@@ -334,6 +356,12 @@ class Model:
     base_rest: float
     inside_rest: np.ndarray
 
+    def shares(self) -> np.ndarray:
+        """What the bias gives a token in its class, by rank, and after the ranks the tokens of each bucket together."""
+        at, lex = self.lex.at, self.lex
+        rest = 10 ** np.repeat(self.inside_rest[1 + at.words :], at.buckets)
+        return np.concatenate([10.0**self.inside, (lex.bucket_total + SMOOTH * (lex.bucket_kinds + 1)) * rest])
+
 
 def fit(docs: DataFrame, counts: DataFrame, at: Settings = Settings()) -> Model:
     """Learn from all rows of ``docs``, whose token counts ``counts`` has."""
@@ -366,12 +394,13 @@ def _unpacked(data: bytes, columns: int, press: zstandard.ZstdDecompressor) -> n
     return np.ascontiguousarray(raw.transpose(0, 2, 1)).view("<u4")[:, :, 0]
 
 
-def _occurrences(code: np.ndarray, s0: np.ndarray, begins: np.ndarray, copies: np.ndarray, parts: int, at: Settings) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """By part: context, further context, rank + 1 (0: rare), training copies and text of every token that has a context.
+def _occurrences(code: np.ndarray, s0: np.ndarray, begins: np.ndarray, copies: np.ndarray, parts: int, lex: Lexicon) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """By part: context, further context, rank + 1 (of rarer tokens the bucket), training copies and text of every token that has a context.
 
-    Contexts are hashes of 24 bits, further contexts, within these, of 16.
-    ``copies``: of each text, how many training rows hold it; -1 leaves the text out.
+    Contexts are hashes of ``lex.context_bits`` bits, of which the part is the remainder, further contexts, within these,
+    of 16.  ``copies``: of each text, how many training rows hold it; -1 leaves the text out.
     """
+    at = lex.at
     place = np.flatnonzero(s0 > at.words)
     text = np.searchsorted(begins, place, side="right") - 1
     one, two = np.zeros(len(place), bool), np.zeros(len(place), bool)
@@ -381,12 +410,13 @@ def _occurrences(code: np.ndarray, s0: np.ndarray, begins: np.ndarray, copies: n
     if not len(kept):
         return
     own, before = code[place[kept]], code[place[kept - 1]]
-    context = _mixed(before, s0[place[kept]])
+    context = _mixed(before, s0[place[kept]]) >> np.uint64(64 - lex.context_bits)
     further = np.where(two[kept], (_mixed(code[place[np.maximum(kept - 2, 0)]]) >> np.uint64(48)) + np.uint64(1), np.uint64(0))
-    part = (context & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
-    context >>= np.uint64(40)
+    context, part = np.divmod(context, np.uint64(parts))
+    hashes, suffix = np.divmod(-1 - own, at.classes)
+    rank = 1 + np.where(own >= 0, own, len(lex.tokens) + (suffix - 1 - at.words) * at.buckets + hashes % at.buckets)
     order = np.lexsort((context, part))
-    columns = [c[order] for c in (context, further, np.maximum(own + 1, 0), copies[text[kept]], text[kept])]
+    columns = [c[order] for c in (context, further, rank, copies[text[kept]], text[kept])]
     part = part[order]
     cut = np.flatnonzero(np.diff(part)) + 1
     for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
@@ -403,7 +433,7 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
 def part_deltas(context: np.ndarray, further: np.ndarray, rank: np.ndarray, copies: np.ndarray, share: np.ndarray, at: Settings) -> np.ndarray:
     """Train the softmax within classes over a part's occurrences and give the change of each one's log-probability.
 
-    ``share``: of a frequent token, by rank, what the bias alone gives it in its class.
+    ``share``: of a token or bucket, by rank, what the bias alone gives it in its class.
     """
     u64 = np.uint64
     near, n_near, _ = _numbered(context)
@@ -447,8 +477,7 @@ def _part_scores(shared) -> Callable[[pa.Table], pa.Table]:
         at, press, pull = model.lex.at, zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
         blocks = [_unpacked(d, 5, pull) for d in table.column("data").to_pylist()]
         context, further, rank, copies, text = (np.concatenate([np.cumsum(b[k], dtype=np.uint64) if k == 0 else b[k] for b in blocks]) for k in range(5))
-        share = np.concatenate([10.0**model.inside, np.ones(1)])
-        delta = part_deltas(context, further, rank, copies, share, at)
+        delta = part_deltas(context, further, rank, copies, model.shares(), at)
         out, begin = [], 0
         for b in blocks:
             texts, place = np.unique(b[4], return_inverse=True)
@@ -542,7 +571,7 @@ def _score_batches(shared, parts: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 copies = np.where(text == np.arange(len(text)), np.bincount(text, training[first : first + len(docs)], len(text)).astype(np.int64), -1)
                 block += 1
                 rows.append((None,) * 7 + (-1, block, _id_bytes(ids[first : first + len(docs)], hashes[first : first + len(docs)], text), None))
-                rows += [(None,) * 7 + (part, block, None, _packed(columns, press)) for part, columns in _occurrences(code, s0, begins, copies, parts, at)]
+                rows += [(None,) * 7 + (part, block, None, _packed(columns, press)) for part, columns in _occurrences(code, s0, begins, copies, parts, lex)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PARTS, strict=True)], schema=_PARTS)
 
     return run
@@ -560,7 +589,7 @@ def lm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     counts = materialise(token_counts(training, at), "lm-counts")
     model = fit(training, counts, at)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n_parts = max(shuffle_width(docs.sparkSession), -(-model.lex.total // at.part_tokens))
+    n_parts = max(shuffle_width(docs.sparkSession), -(-model.lex.total // at.part_tokens), 1 << max(model.lex.context_bits - 32, 0))
     training_row = F.expr(f"cast(NOT {HELD_OUT} AS int)").alias("training")
     rows = _texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("hash"), training_row)
     parts = materialise(rows.mapInArrow(_score_batches(shared, n_parts), PARTS), "lm-parts")
