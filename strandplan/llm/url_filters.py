@@ -7,9 +7,14 @@ fetch time: its host and the host's parent domains are looked up among the inter
 longest pattern decides, on a tie between lists "allow" before "block".  No entry: the capture passes.
 
 Only DataFrame functions are used, and plain equality joins: the list may be of any size and none is broadcast by hand.
-Each capture makes at most ``LABELS`` look-ups, as patterns have at most so many labels.  Captures without a host
-(a null or malformed url) or without a fetch time match nothing and pass.  Entries with a null list, pattern, day or
-action are ignored.  Captures that repeat url and fetch time are looked up once.
+Each host is looked up once, however many captures it has, with at most ``LABELS`` patterns, as patterns have at most so
+many labels.  The intervals of a host's patterns then travel as one row to its captures, where its fetch time chooses among
+them.  Both joins are salted: short patterns, which many hosts share, by host, and captures by page_id, those without
+a host by themselves; so neither a common ending nor a host of very many captures meets in one task.
+
+Captures without a host (a null or malformed url) or without a fetch time match nothing and pass.  Entries with a null
+list, pattern, day or action are ignored.  Captures that repeat are each returned.  An empty table of captures gives an
+empty result, an empty list lets all pass; a url of any length is read whole.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ from pyspark.sql import functions as F
 #: Labels that a pattern may have; longer ones can't match a host, which has at most 127.
 LABELS = 127
 
+#: Labels of patterns that many hosts share, and the salts of either join.
+SHORT, SALTS = 2, 16
+
 #: The default list: (list_name, pattern, day, action).
 ENTRIES = [
     ("spam", "spam-farm.example.org", "2024-01-15", "block"),
@@ -60,17 +68,35 @@ def intervals(entries: DataFrame) -> DataFrame:
 def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row for each row of ``captures``(page_id, url, fetched_at): page_id, host, fetched_at, and of the entry that
     decides list_name, pattern, action and valid_from, all null without one; kept is false where the action is block."""
-    rows = captures.select("page_id", host("url").alias("host"), "fetched_at")
-    labels = F.split("host", r"\.")
-    first = F.greatest(F.lit(1), F.size(labels) - (LABELS - 1))
-    parents = F.transform(F.sequence(first, F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    asked = rows.where("host IS NOT NULL AND fetched_at IS NOT NULL").select("host", "fetched_at").distinct()
-    asked = asked.select("host", "fetched_at", F.explode(parents).alias("pattern"))
-    listed = intervals(entries)
-    active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("fetched_at") < F.col("valid_until")))
-    valid = asked.join(listed, "pattern").where(active)
-    rank = F.struct(F.length("pattern"), F.col("action") == "allow", F.col("list_name"))
-    chosen = valid.groupBy("host", "fetched_at").agg(F.max_by(F.struct("list_name", "pattern", "action", "valid_from"), rank).alias("entry"))
-    out = rows.join(chosen, ["host", "fetched_at"], "left")
+    lot = F.xxhash64("page_id", "url")
+    salted = F.when(F.col("host").isNotNull(), F.pmod(lot, F.lit(SALTS))).otherwise(lot)
+    rows = captures.select("page_id", "url", host("url").alias("host"), "fetched_at").select("page_id", "host", "fetched_at", salted.alias("salt"))
+    known = by_host(rows.select("host"), intervals(entries)).select("*", F.explode(_salts()).alias("salt"))
+    time = F.col("fetched_at")
+    active = F.filter("intervals", lambda i: (i.valid_from <= time) & (i.valid_until.isNull() | (time < i.valid_until)))
+    out = rows.join(known, ["host", "salt"], "left").withColumn("entry", F.array_max(active))
     entry = [F.col(f"entry.{c}").alias(c) for c in ("list_name", "pattern", "action", "valid_from")]
     return out.select("page_id", "host", "fetched_at", *entry, F.coalesce(F.col("entry.action") != "block", F.lit(True)).alias("kept"))
+
+
+def _salts() -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+
+
+def by_host(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(host, intervals): of each host of ``rows`` with any, the intervals of its own and its parents' patterns.
+
+    Of intervals that hold at a time the largest decides: the longest pattern, "allow" first, the last list.
+    """
+    labels = F.split("host", r"\.")
+    first = F.greatest(F.lit(1), F.size(labels) - (LABELS - 1))
+    parents = F.transform(
+        F.sequence(first, F.size(labels)),
+        lambda k: F.struct(F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("pattern"), (F.size(labels) - k < SHORT).alias("short")),
+    )
+    short = F.size(F.split("pattern", r"\.")) <= SHORT
+    listed = listed.select("*", F.explode(F.when(short, _salts()).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
+    asked = rows.where("host IS NOT NULL").distinct().select("host", F.explode(parents).alias("p"))
+    asked = asked.select("host", "p.pattern", F.when(F.col("p.short"), F.pmod(F.xxhash64("host"), F.lit(SALTS))).otherwise(F.lit(0)).alias("salt"))
+    ranked = F.struct(F.length("pattern").alias("length"), (F.col("action") == "allow").alias("allowed"), "list_name", "pattern", "action", "valid_from", "valid_until")
+    return asked.join(listed, ["pattern", "salt"]).groupBy("host").agg(F.collect_list(ranked).alias("intervals"))

@@ -42,6 +42,22 @@ def test_against_brute_force(spark):
     assert sum(not r.kept for r in got) > 50
 
 
+def test_common_endings_hot_hosts_and_captures_without_one(spark):
+    """A host with most captures, endings that most hosts share, entries for short patterns, and many captures without a host."""
+    rng = random.Random(5)
+    entries = [("l1", "com", START, "block"), ("l2", "big.com", START + timedelta(days=2), "allow"), ("l2", "big.com", START + timedelta(days=4), "remove")]
+    entries += [("l1", "h3.big.com", START + timedelta(days=1), "block"), ("l3", "a.h4.big.com", START + timedelta(days=3), "allow")]
+    hosts = ["big.com"] * 600 + [f"h{k}.big.com" for k in range(100)] + ["a.h4.big.com", "x.a.h4.big.com", "big.org", "com"] * 10 + [None] * 300
+    rows = [(i, h and f"http://{h}/{'p' * rng.randrange(3)}", START + timedelta(hours=rng.randrange(150))) for i, h in enumerate(hosts)]
+    rows += [(7, "http://" + "y." * 200 + "big.com/" + "z" * 100_000, START + timedelta(days=2))]  # more labels than a host has
+    listed = spark.createDataFrame(entries, "list_name string, pattern string, day timestamp, action string")
+    got = uf.verdicts(spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp"), listed).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = brute(r.host, r.fetched_at, entries)
+        assert (r.list_name, r.pattern, r.action, r.valid_from) == (want or (None,) * 4) and r.kept == (not want or want[2] != "block")
+
+
 def test_empty_tables(spark):
     captures = spark.createDataFrame([(1, "http://a.b", START)], "page_id long, url string, fetched_at timestamp")
     entries = uf.default_entries(spark)
