@@ -608,6 +608,31 @@ def walks_from_cabinets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.walks(starts, lines, "design")
 
 
+@query(f"""WITH RECURSIVE {bridge.ROAD_SQL},
+    side AS (SELECT design, u AS node, v AS other, u, v, length_m FROM road UNION ALL SELECT design, v, u, u, v, length_m FROM road),
+    way AS (SELECT *, row_number() OVER (PARTITION BY design, node ORDER BY other) - 1 AS nth, count(*) OVER (PARTITION BY design, node) AS n FROM side),
+    state AS (
+        SELECT design, (u * 2 + (v - u = 1)::INT) * 8 + b.range * 2 + (d > 0)::INT AS walk, d AS direction, b.range::INT AS branch, u, v, length_m / 2 AS at_m, d AS towards, 400.0::DOUBLE AS left_m
+        FROM road, (SELECT unnest([1, -1]) AS d), range(4) b
+        UNION ALL
+        SELECT s.design, walk, direction, branch, x.u, x.v, CASE WHEN x.u = e.node THEN 0.0 ELSE x.length_m END, CASE WHEN x.u = e.node THEN 1 ELSE -1 END, left_m - CASE WHEN towards > 0 THEN e.length_m - at_m ELSE at_m END
+        FROM state s JOIN way e ON e.design = s.design AND e.u = s.u AND e.v = s.v AND e.node = CASE WHEN towards > 0 THEN s.v ELSE s.u END
+        JOIN way x ON x.design = e.design AND x.node = e.node AND x.nth = branch % (e.n - 1) + CASE WHEN branch % (e.n - 1) < e.nth THEN 0 ELSE 1 END
+        WHERE e.n > 1 AND left_m > CASE WHEN towards > 0 THEN e.length_m - at_m ELSE at_m END),
+    last AS (
+        SELECT s.*, e.n, e.length_m, CASE WHEN towards > 0 THEN e.length_m - at_m ELSE at_m END AS rest
+        FROM state s JOIN way e ON e.design = s.design AND e.u = s.u AND e.v = s.v AND e.node = CASE WHEN towards > 0 THEN s.v ELSE s.u END)
+    SELECT design, walk, direction, branch, 400.0::DOUBLE AS metres, u, v, 0 AS key, CASE WHEN left_m <= rest THEN at_m + towards * left_m WHEN towards > 0 THEN length_m ELSE 0.0 END AS at_m, left_m > rest AS closed
+    FROM last WHERE left_m <= rest OR n = 1""")
+def walks_along_all_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where one is 400 metres from the middle of each road, both ways and by four choices at branches."""
+    edges = bridge.road_edges(spark, sf_dir)
+    ways = edges.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("direction")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("branch"))
+    walk = (F.col("u") * 2 + (F.col("v") - F.col("u") == 1).cast("int")) * 8 + F.col("branch") * 2 + (F.col("direction") > 0).cast("int")
+    starts = ways.select("design", walk.alias("walk"), "u", "v", "key", (F.col("length_m") / 2).alias("at_m"), "direction", "branch", F.lit(400.0).alias("metres"))
+    return roads.walks(starts, edges, "design")
+
+
 @query(f"""WITH {bridge.ROAD_SQL} SELECT design * w * w + u AS u, design * w * w + v AS v, 0 AS key, length_m,
     round({{SOUTH}} + floor(u / w) * {{SIDE}} / (w - 1), 9) AS lat, round({{WEST}} + (u % w) * {{SIDE}} / (w - 1) + design * 0.03::DOUBLE, 9) AS lon FROM road, lattice""".replace("{SOUTH}", "(-7.26::DOUBLE)").replace("{WEST}", "(112.74::DOUBLE)").replace("{SIDE}", "(0.02::DOUBLE)"))
 def composed_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
