@@ -284,7 +284,9 @@ def statistics(docs: DataFrame, lex: Lexicon) -> list[np.ndarray]:
     add = _add_blocks(np.int64)
     own = _texts(docs).mapInArrow(_statistics_batches(shared), _SUMS)
     some = own.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("block", "salt").drop("salt").mapInArrow(add, _SUMS)
-    return _gather(some.repartition("block").mapInArrow(add, _SUMS), lex.at.shapes, np.int64)
+    out = _gather(some.repartition("block").mapInArrow(add, _SUMS), lex.at.shapes, np.int64)
+    shared.destroy()
+    return out
 
 
 @dataclass
@@ -426,29 +428,49 @@ def _occurrences(code: np.ndarray, s0: np.ndarray, begins: np.ndarray, copies: n
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
     """Numbers of the distinct keys, how many there are, and where each occurs first."""
-    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    del ordered
+    first = order[new]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return number, len(first), first
 
 
 def part_deltas(context: np.ndarray, further: np.ndarray, rank: np.ndarray, copies: np.ndarray, share: np.ndarray, at: Settings) -> np.ndarray:
     """Train the softmax within classes over a part's occurrences and give the change of each one's log-probability.
 
-    ``share``: of a token or bucket, by rank, what the bias alone gives it in its class.
+    ``share``: of a token or bucket, by rank, what the bias alone gives it in its class.  Of the occurrences little more than
+    three numbers of 32 bits each is held at once.
     """
     u64 = np.uint64
+
+    def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        out = high.astype(u64)
+        out <<= u64(32)
+        out |= low
+        return out
+
+    def bias(first: np.ndarray) -> np.ndarray:
+        return share[np.maximum(rank[first].astype(np.int64) - 1, 0)]
+
     near, n_near, _ = _numbered(context)
-    far, n_far, far_first = _numbered(near.astype(u64) << u64(32) | further)
-    two, n_two, two_first = _numbered(near.astype(u64) << u64(32) | rank)
-    three, n_three, three_first = _numbered(far.astype(u64) << u64(32) | rank)
-    c_near, c_far, c_two, c_three = (np.bincount(k, copies, n) for k, n in ((near, n_near), (far, n_far), (two, n_two), (three, n_three)))
-    base = share[np.maximum(rank.astype(np.int64) - 1, 0)]
-    has_two = (c_two >= at.least) & (rank[two_first] > 0)
-    has_three = (c_three >= at.least) & (rank[three_first] > 0)
-    b, t = np.flatnonzero(has_two), np.flatnonzero(has_three)
-    b_near, b_base = near[two_first[b]], base[two_first[b]]
-    t_far, t_base, t_two = far[three_first[t]], base[three_first[t]], two[three_first[t]]
-    near_of_far = near[far_first]
-    o_two, o_three = c_two[b] - at.discount, c_three[t] - at.discount
+    c_near = np.bincount(near, copies, n_near)
+    two, n_two, first = _numbered(joined(near, rank))
+    c_two = np.bincount(two, copies, n_two)
+    b = np.flatnonzero((c_two >= at.least) & (rank[first] > 0))
+    b_near, b_base, o_two = near[first[b]], bias(first[b]), c_two[b] - at.discount
+    del c_two
+    far, n_far, first = _numbered(joined(near, further))
+    near_of_far, c_far = near[first], np.bincount(far, copies, n_far)
+    del near
+    three, n_three, first = _numbered(joined(far, rank))
+    c_three = np.bincount(three, copies, n_three)
+    t = np.flatnonzero((c_three >= at.least) & (rank[first] > 0))
+    t_far, t_base, t_two, o_three = far[first[t]], bias(first[t]), two[first[t]], c_three[t] - at.discount
+    del c_three, first
     w, v = np.zeros(n_two), np.zeros(n_three)
     # The bigrams' own optimum, were there no trigrams, is the start.
     left = 1 - np.bincount(b_near, o_two / np.maximum(c_near[b_near], 1), n_near)
@@ -466,7 +488,10 @@ def part_deltas(context: np.ndarray, further: np.ndarray, rank: np.ndarray, copi
         e_two = b_base * np.exp(w[b]) * np.bincount(near_of_far, weight, n_near)[b_near] + np.bincount(t_two, gain * np.expm1(v[t]), n_two)[b]
         v[t] += 0.5 * np.clip((o_three - e_three - at.ridge * v[t]) / (np.maximum(o_three, e_three) + at.ridge), -1, 1)
         w[b] += 0.5 * np.clip((o_two - e_two - at.ridge * w[b]) / (np.maximum(o_two, e_two) + at.ridge), -1, 1)
-    return w[two] + v[three] - np.log(normaliser())[far]
+    out = w[two]
+    out += v[three]
+    out -= np.log(normaliser())[far]
+    return out
 
 
 def _part_scores(shared) -> Callable[[pa.Table], pa.Table]:
@@ -475,15 +500,24 @@ def _part_scores(shared) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         model: Model = shared.value
         at, press, pull = model.lex.at, zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
-        blocks = [_unpacked(d, 5, pull) for d in table.column("data").to_pylist()]
-        context, further, rank, copies, text = (np.concatenate([np.cumsum(b[k], dtype=np.uint64) if k == 0 else b[k] for b in blocks]) for k in range(5))
-        delta = part_deltas(context, further, rank, copies, model.shares(), at)
+        texts: list[np.ndarray] = []
+        found: tuple[list[np.ndarray], ...] = ([], [], [], [])
+        for data in table.column("data"):
+            first, *rest, text = _unpacked(data.as_py(), 5, pull)
+            texts.append(text.copy())
+            for own, column in zip(found, (np.cumsum(first, dtype=np.uint64), *(c.copy() for c in rest)), strict=True):
+                own.append(column)
+        columns = []
+        for own in found:
+            columns.append(np.concatenate(own))
+            own.clear()
+        delta = part_deltas(*columns, model.shares(), at)
         out, begin = [], 0
-        for b in blocks:
-            texts, place = np.unique(b[4], return_inverse=True)
-            sums = np.bincount(place, delta[begin : begin + b.shape[1]]).view("<u4").reshape(-1, 2).T
-            out.append(_packed([texts, *sums], press))
-            begin += b.shape[1]
+        for text in texts:
+            own, place = np.unique(text, return_inverse=True)
+            sums = np.bincount(place, delta[begin : begin + len(text)]).view("<u4").reshape(-1, 2).T
+            out.append(_packed([own, *sums], press))
+            begin += len(text)
         return pa.table({"block": table.column("block"), "data": pa.array(out, pa.binary())})
 
     return run

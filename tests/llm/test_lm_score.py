@@ -212,3 +212,26 @@ def test_no_rows_and_no_training_rows(spark):
     only = next(i for i in range(100) if held_out(i))
     got = lm_score.lm_scores(documents(spark, [(only, "x y")]), at).collect()
     assert [(r.n_known, r.train_tokens, r.base_score) for r in got] == [(0, 0, 0.0)] and math.isfinite(got[0].score)
+
+
+def test_a_part_is_trained_in_little_memory():
+    """A million occurrences in packed blocks; 64-bit numbers and copies of all columns took over 120 MB."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import zstandard
+
+    n, blocks, at = 1_000_000, 10, lm_score.Settings()
+    rng, press = np.random.default_rng(1), zstandard.ZstdCompressor(1)
+    data = []
+    for _ in range(blocks):
+        context = np.sort(rng.zipf(1.3, n // blocks) % 200_000)
+        data.append(lm_score._packed([np.diff(context, prepend=0), *(rng.zipf(1.3, n // blocks) % k for k in (5000, 500_000, 3)), np.arange(n // blocks)], press))
+    model = SimpleNamespace(lex=SimpleNamespace(at=at), shares=lambda: np.full(500_000, 1e-4))
+    run = lm_score._part_scores(SimpleNamespace(value=model))
+    tracemalloc.start()
+    out = run(pa.table({"block": pa.array(range(blocks), pa.int64()), "data": pa.array(data, pa.binary())}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == blocks and peak < 100e6, peak
