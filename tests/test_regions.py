@@ -243,3 +243,17 @@ def test_sites_far_from_all_points(spark):
                 assert (p in got) == bool(near)
                 if near:
                     assert math.isclose(got[p][1], min(near)[0], rel_tol=1e-9) and math.isclose(dict((n, m) for m, n in near)[got[p][0]], min(near)[0], rel_tol=1e-9)
+
+
+def test_components_over_few_rounds(spark, monkeypatch):
+    """Of a ladder only what joins stretches of ids goes through the rounds, which took all edges before."""
+    edges = spark.range(400).selectExpr("id AS u", "id + 1 AS v", "0 AS key").where("u % 100 <> 99").union(spark.createDataFrame([(399, 0, 0), (7, 7, 0)], "u long, v long, key int"))
+    nodes = spark.range(405).withColumnRenamed("id", "node")
+    spread, seen = roads._spread, []
+    monkeypatch.setattr(roads, "_spread", lambda e, n: seen.append(e.count()) or spread(e, n))
+    for together, left in ((1 << 16, 0), (30, 13)):
+        monkeypatch.setattr(roads, "TOGETHER", together)
+        got = dict(map(tuple, roads.components(edges, nodes).collect()))
+        want = {n: n // 100 * 100 if n < 300 else 0 if n < 400 else n for n in range(405)}
+        assert got == want and seen.pop() == left
+    assert sorted(r.node for r in roads.largest_component(edges, nodes).collect()) == [*range(100), *range(300, 400)]
