@@ -245,6 +245,18 @@ def test_sites_far_from_all_points(spark):
                     assert math.isclose(got[p][1], min(near)[0], rel_tol=1e-9) and math.isclose(dict((n, m) for m, n in near)[got[p][0]], min(near)[0], rel_tol=1e-9)
 
 
+def test_walks_that_leave_their_stretch(spark, monkeypatch):
+    """Stretches of four ids, which most walks leave; and within one stretch a walk is sent on once, where each node was a round of two joins."""
+    written, materialise = [], roads.materialise
+    monkeypatch.setattr(roads, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    starts = spark.createDataFrame([(1, 7, 0, 1, 0, 0.5, 1, 0, 19.0)], "d int, walk long, u long, v long, key int, at_m double, direction int, branch int, metres double")
+    chain = spark.range(60).selectExpr("1 AS d", "id AS u", "id + 1 AS v", "0 AS key", "1.0D AS length_m")
+    assert roads.walks(starts, chain, "d").select("u", "v", "at_m", "closed").collect() == [(19, 20, 0.5, False)] and len(written) < 4
+    monkeypatch.setattr(roads, "WALKED", 4)
+    assert roads.walks(starts, chain, "d").select("u", "v", "at_m", "closed").collect() == [(19, 20, 0.5, False)]
+    test_walks_equal_plain_ones(spark)
+
+
 def test_components_over_few_rounds(spark, monkeypatch):
     """Of a ladder only what joins stretches of ids goes through the rounds, which took all edges before."""
     edges = spark.range(400).selectExpr("id AS u", "id + 1 AS v", "0 AS key").where("u % 100 <> 99").union(spark.createDataFrame([(399, 0, 0), (7, 7, 0)], "u long, v long, key int"))
