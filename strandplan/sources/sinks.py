@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
+from types import SimpleNamespace
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: KML colours as alpha, blue, green, red.
 COLOURS = {"red": "ff0000ff", "blue": "ffff0000", "green": "ff008000", "gray": "ff808080", "white": "ffffffff"}
@@ -50,20 +53,54 @@ def document(rows: list) -> str:
     return "".join(document_parts(rows))
 
 
-def documents(placemarks: DataFrame, design: str) -> DataFrame:
-    """(design, kml, kmz): one file's content for each design, which is one task's group."""
-    kind = dict(placemarks.dtypes)[design]
+def _marks(batches: Iterator[pa.RecordBatch], design: str) -> Iterator[tuple[object, SimpleNamespace]]:
+    for row in (row for batch in batches for k in range(0, batch.num_rows, 1000) for row in batch.slice(k, 1000).to_pylist()):
+        yield row[design], SimpleNamespace(name_=row["name"], size_=row["size"], **{c: row[c] for c in ("folders", "description", "geom_type", "coords", "colour")})
+
+
+def _cell(content: bytearray, kind: pa.DataType) -> pa.Array:
+    """One text or binary value over the content's own memory."""
+    sizes = pa.py_buffer(struct.pack("<2i", 0, len(content)))
+    return pa.Array.from_buffers(kind, 1, [None, sizes, pa.py_buffer(content)])
+
+
+def files_of(design: str, placed: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row of a design's two files for all its placemarks, which follow each other in the batches."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(list(rows.columns[rows.columns.str.startswith("seq_")]), kind="stable")
-        text = document(list(ordered.rename(columns={"name": "name_", "size": "size_"}).itertuples(index=False)))
-        packed = io.BytesIO()
-        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr(zipfile.ZipInfo("doc.kml"), text)
-        return pd.DataFrame({design: [key[0]], "kml": [text], "kmz": [packed.getvalue()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, own in groupby(_marks(batches, design), key=lambda r: r[0]):
+            text, packed = bytearray(), io.BytesIO()
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(zipfile.ZipInfo("doc.kml"), "w", force_zip64=True) as inner:
+                for piece in _pieces(document_parts(mark for _, mark in own)):
+                    text += piece
+                    inner.write(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([key], placed), _cell(text, pa.string()), _cell(packed.getbuffer(), pa.binary())], [design, "kml", "kmz"])
 
-    flat = placemarks.select("*", *(F.col(f"seq.o{n}").alias(f"seq_{n}") for n in range(5))).drop("seq")
-    return flat.groupBy(design).applyInPandas(run, f"{design} {kind}, kml string, kmz binary")
+    return run
+
+
+def documents(placemarks: DataFrame, design: str) -> DataFrame:
+    """(design, kml, kmz): one file's content for each design, whose placemarks come to one task in their order.
+
+    They are written and packed as they come, so a task holds little more than one design's two files.
+    """
+    kind = dict(placemarks.dtypes)[design]
+    columns = ["folders", "name", "description", "geom_type", "coords", "colour", "size"]
+    run = files_of(design, to_arrow_type(placemarks.schema[design].dataType))
+    ordered = placemarks.repartition(design).sortWithinPartitions(design, "seq").select(design, *columns)
+    return ordered.mapInArrow(run, f"{design} {kind}, kml string, kmz binary")
+
+
+def _pieces(parts: Iterable[str], step: int = 1 << 16) -> Iterator[bytes]:
+    """The parts' bytes, many parts at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= step:
+            yield "".join(held).encode()
+            held, size = [], 0
+    yield "".join(held).encode()
 
 
 def merged(files: DataFrame, *order: str) -> DataFrame:
