@@ -1,6 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from tests.llm.fixtures import DOCUMENTS, awkward, documents
 
 from strandplan.llm import substring_dedup as sd
@@ -61,6 +64,44 @@ def test_compact_windows_hold_every_subsequence_once():
                     assert inside.sum() == 1 and mixed[c[inside][0]] == mixed[i : j + 1].min()
 
 
+def test_words_hashed_together():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aBcÄ日 \t\n\x0b\x00\x1c") for _ in range(rng.randrange(200))).encode() for _ in range(200)]
+    texts += [b"", b" ", b" lead", b"trail ", *(b"x" * n + b" y" for n in (1, 3, 4, 7, 8, 9, 12, 15, 16, 31, 32, 33, 5000))]
+    for text, (found, n) in zip(texts, sd.hashed_texts(texts), strict=True):
+        assert found.tolist() == sd.word_hashes(text).tolist() == [xxhash.xxh64_intdigest(w) for w in text.lower().split()] and n == len(found)
+    shingles = [found[: max(0, n - 4)].tolist() for found, n in sd.hashed_texts(texts, lambda words: sd.shingle_hashes(words, 5))]
+    assert shingles == [sd.shingle_hashes(sd.word_hashes(t), 5).tolist() for t in texts]
+    tokens = np.random.default_rng(3).integers(0, 1 << 63, 3, dtype=np.uint64)[np.random.default_rng(4).integers(0, 3, 900)]
+    for size in (1, 3, 46, 64):
+        runs = {}
+        for i, key in enumerate(sd.run_hashes(tokens, size).tolist()):
+            assert runs.setdefault(tuple(tokens[i : i + size].tolist()), key) == key
+        assert len(set(runs.values())) == len(runs) and len(sd.run_hashes(tokens, size)) == 901 - size
+
+
+def test_links_are_joined_before_they_are_dealt_out():
+    """Documents that share a long passage pass on a stretch or two for each two that are linked, not a link for each joint window."""
+    rng = random.Random(8)
+    prose = lambda n: [f"l{rng.randrange(10**6)}" for _ in range(n)]
+    passage, at = prose(600), sd.Settings()
+    texts = [" ".join(prose(60) + passage + prose(60)).encode() for _ in range(20)]
+    (rows,) = sd._window_batches(at)(iter([pa.record_batch([pa.array(range(20)), pa.array(texts)], ["doc", "text"])]))
+    shared = rows.filter(pc.greater(rows["state"], sd._ALONE)).sort_by([("doc", "ascending"), ("place", "ascending")])
+    found = [(r["doc"], r["to_doc"]) for b in sd._joint_batches(at)(iter([shared])) for r in b.to_pylist() if r["to_doc"] is not None]
+    assert {(i, j) for i in range(1, 20) for j in (0, i - 1)} <= set(found) and len(found) < 190
+
+
+def test_shuffle_files_go_with_the_step(spark):
+    before = spark.conf.get(sd._CLEANUP, None)
+    written = sd._written(spark.range(5000).repartition("id"), "passages-test")
+    left = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    deal = spark.range(5000).repartition("id")
+    sd._written(deal, "passages-test")
+    after = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    assert written.count() == 5000 and after.count("shuffle_") <= left.count("shuffle_") and spark.conf.get(sd._CLEANUP, None) == before
+
+
 def test_planted_passages(spark):
     rng = random.Random(4)
     prose = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
