@@ -16,6 +16,8 @@ from strandplan.lineage import materialise
 
 #: Cuts at most; places that still share a cell then stay together.
 DEEPEST = 20
+#: The level at which places are counted first.
+HALFWAY = 10
 
 
 def _code(axes: tuple[Column, Column]) -> Column:
@@ -41,13 +43,19 @@ def placed(nodes: DataFrame, west: float, south: float, east: float, north: floa
 def quadtree(coded: DataFrame, most: int) -> DataFrame:
     """(level, prefix, cell, nodes): the cells that cover all of coded(code), with at most ``most`` nodes unless at the last level.
 
-    ``cell`` orders cells from south-west to north-east.  Counts of all levels come from one grouping of the codes, and a
-    cell is kept if it isn't too full and the one around it was.
+    ``cell`` orders cells from south-west to north-east.  Counts of the upper levels come from one grouping at ``HALFWAY``,
+    those of the levels below from the codes in cells that are too full there, and a cell is kept if it isn't too full and
+    the one around it was.
     """
-    by_code = coded.groupBy("code").agg(F.count("*").alias("nodes"))
-    levels = by_code.select("nodes", "code", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST))).alias("level"))
-    counts = levels.groupBy("level", _prefix("code", "level").alias("prefix")).agg(F.sum("nodes").alias("nodes"))
-    counts = materialise(counts, "quadtree-counts")
+    def counted(by_code: DataFrame, low: int, high: int) -> DataFrame:
+        levels = by_code.select("nodes", "code", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("level"))
+        return levels.groupBy("level", _prefix("code", "level").alias("prefix")).agg(F.sum("nodes").alias("nodes"))
+
+    coarse = F.shiftleft(F.shiftright("code", 2 * (DEEPEST - HALFWAY)), 2 * (DEEPEST - HALFWAY))
+    halfway = materialise(coded.groupBy(coarse.alias("code")).agg(F.count("*").alias("nodes")), "quadtree-halfway")
+    crowded = halfway.where(F.col("nodes") > most).select(F.col("code").alias("coarse"))
+    deep = coded.select("code", coarse.alias("coarse")).join(crowded, "coarse", "left_semi").groupBy("code").agg(F.count("*").alias("nodes"))
+    counts = materialise(counted(halfway, 0, HALFWAY).unionByName(counted(deep, HALFWAY + 1, DEEPEST)), "quadtree-counts")
     full = counts.where(F.col("nodes") > most).select((F.col("level") + 1).alias("level"), F.col("prefix").alias("around"))
     inner = counts.withColumn("around", F.shiftright("prefix", 2)).join(full, ["level", "around"]).drop("around")
     kept = inner.unionByName(counts.where("level = 0")).where((F.col("nodes") <= most) | (F.col("level") == DEEPEST))
