@@ -69,3 +69,18 @@ def test_no_roads_and_no_cables():
     straight = found(cables.RoadNet(table.slice(0, 0)), ends[1:3])
     assert [r for r, _ in straight.values()] == [False, False] and straight[0][1] == [tuple(ends[1, :2]), tuple(ends[1, 2:])]
     assert not list(cables.laid(cables.RoadNet(table), ends[:0]))
+
+
+@pytest.mark.parametrize("rooted", [False, True])
+def test_ends_are_looked_up_together(rooted):
+    table, ends = net_of(6)
+    cells = cables.RoadNet(table).cells
+    places = np.vstack([ends[1:, :2], ends[1:, 2:], np.round(ends[1:60, :2]), [[-400.0, 3.0], [5.0, 900.0], [0.0, 0.0]]])
+    segment, off, on = cells.nearest_of_all(places, rooted, step=70)
+    for n, place in enumerate(places.tolist()):
+        k, found = cells.nearest(tuple(place), rooted)
+        leg = cells.ends - cells.starts
+        share = np.clip(((place - cells.starts) * leg).sum(axis=1) / np.maximum((leg**2).sum(axis=1), 1e-300), 0, 1)
+        assert (k, found) == (segment[n], tuple(on[n]))
+        least = float(((cells.starts + share[:, None] * leg - place) ** 2).sum(axis=1).min())
+        assert (off[n] ** 2 if rooted else off[n]) == pytest.approx(least)
